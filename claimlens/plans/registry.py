@@ -8,9 +8,9 @@ from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 
-from claimlens.operators import outpatient
+from claimlens.operators import fdh, outpatient
 from claimlens.params import Params
-from claimlens.plans import oracle_outpatient
+from claimlens.plans import oracle_fdh, oracle_outpatient
 from claimlens.plans.sqltext import dated
 from claimlens.sources.binding import bind, with_clause
 from claimlens.sources.tables import Tables
@@ -71,6 +71,18 @@ OUTPATIENT = {
     "dispensing_per_visit": partial(outpatient.dispensing, fanout="per_visit"),
 }
 
+FDH = {
+    **_of(
+        fdh,
+        *"fdh_ins fdh_ins_43 fdh_pat fdh_opd fdh_orf fdh_odx fdh_oop fdh_irf fdh_ipd fdh_iop".split(),
+        *"fdh_cht fdh_cha fdh_idx fdh_lvd fdh_dru fdh_labfu fdh_phdb".split(),
+    ),
+    "fdh_ins_opd_only": _with(fdh.fdh_ins, include_ipd=False),
+    "fdh_orf_by_visit": partial(fdh.fdh_orf, match="vn"),
+    "fdh_odx_by_visit": partial(fdh.fdh_odx, match="vn"),
+}
+
 QUERIES: dict[str, Query] = {
+    **_family(FDH, oracle_fdh.SQL),
     **_family(OUTPATIENT, oracle_outpatient.SQL),
 }
