@@ -17,7 +17,6 @@ from claimlens.functions.flags import (
     nonempty,
     person_name,
     picks,
-    yn,
 )
 from claimlens.operators.scope import (
     PATIENT_PAYS,

@@ -8,9 +8,9 @@ from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 
-from claimlens.operators import fdh, outpatient
+from claimlens.operators import fdh, inpatient, outpatient
 from claimlens.params import Params
-from claimlens.plans import oracle_fdh, oracle_outpatient
+from claimlens.plans import oracle_fdh, oracle_inpatient, oracle_outpatient
 from claimlens.plans.sqltext import dated
 from claimlens.sources.binding import bind, with_clause
 from claimlens.sources.tables import Tables
@@ -82,7 +82,14 @@ FDH = {
     "fdh_odx_by_visit": partial(fdh.fdh_odx, match="vn"),
 }
 
+INPATIENT = _of(
+    inpatient,
+    *"ipn_ipadt cipn_ipadt cipn_ipdx cipn_ipop cipn_invoices cipn_billitems ipn_ipdx ipn_ipop".split(),
+    *"ipn_invoices ipn_billitems cipn_group46".split(),
+)
+
 QUERIES: dict[str, Query] = {
     **_family(FDH, oracle_fdh.SQL),
+    **_family(INPATIENT, oracle_inpatient.SQL),
     **_family(OUTPATIENT, oracle_outpatient.SQL),
 }
