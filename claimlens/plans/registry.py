@@ -8,9 +8,9 @@ from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 
-from claimlens.operators import fdh, inpatient, outpatient
+from claimlens.operators import catalogue, fdh, inpatient, outpatient, rules
 from claimlens.params import Params
-from claimlens.plans import oracle_fdh, oracle_inpatient, oracle_outpatient
+from claimlens.plans import oracle_catalogue, oracle_fdh, oracle_inpatient, oracle_outpatient, oracle_rules
 from claimlens.plans.sqltext import dated
 from claimlens.sources.binding import bind, with_clause
 from claimlens.sources.tables import Tables
@@ -88,8 +88,17 @@ INPATIENT = _of(
     *"ipn_invoices ipn_billitems cipn_group46".split(),
 )
 
+RULES = _of(
+    rules, *"cancer_missing_z cancer_z_preview walkin_with_cancer adp_with_morphine controlled_drug_class".split()
+)
+LIST_RULES = _of(rules, "cancer_procedures", "payer_code_unknown")
+CATALOGUE = _of(catalogue, *oracle_catalogue.SQL)
+
 QUERIES: dict[str, Query] = {
     **_family(FDH, oracle_fdh.SQL),
     **_family(INPATIENT, oracle_inpatient.SQL),
+    **_family(RULES, oracle_rules.SQL),
+    **_family(LIST_RULES, oracle_rules.SQL, long_lists=True),
+    **_family(CATALOGUE, oracle_catalogue.SQL, long_lists=True),
     **_family(OUTPATIENT, oracle_outpatient.SQL),
 }
