@@ -8,9 +8,10 @@ from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 
-from claimlens.operators import catalogue, fdh, inpatient, outpatient, rules
+from claimlens.operators import audit, catalogue, fdh, inpatient, outpatient, rules, scoreboard
 from claimlens.params import Params
-from claimlens.plans import oracle_catalogue, oracle_fdh, oracle_inpatient, oracle_outpatient, oracle_rules
+from claimlens.plans import oracle_audit, oracle_catalogue, oracle_fdh, oracle_inpatient, oracle_outpatient, oracle_rules
+from claimlens.plans.audit_rules import Rule
 from claimlens.plans.sqltext import dated
 from claimlens.sources.binding import bind, with_clause
 from claimlens.sources.tables import Tables
@@ -94,11 +95,43 @@ RULES = _of(
 LIST_RULES = _of(rules, "cancer_procedures", "payer_code_unknown")
 CATALOGUE = _of(catalogue, *oracle_catalogue.SQL)
 
+
+
+def _scored(score: Callable[[DataFrame], DataFrame]) -> Operator:
+    return lambda t, p: score(audit.full_audit(t, p))
+
+
+USER_GROUP_TABLES = ["officer_group", "officer_group_module_access", "officer_group_task_access"]
+PRICE_RULE = Rule("bill", "nondrugitems", "price", ("istatus=Y",), ("0", "0.00"))
+
+AUDIT: dict[str, Operator] = {
+    "audit_basic": audit.basic_audit,
+    "audit_full": audit.full_audit,
+    "bill_sections": audit.bill_sections,
+    "audit_driver_tables": lambda t, p: audit.audit_columns(t, oracle_audit.DRIVER_RULES),
+    "audit_linked": lambda t, p: audit.audit_linked(t, "documents", "labels", "doc_id", ("quality!0", "toxic!0")),
+    "audit_missing_rows": lambda t, p: audit.audit_missing_rows(t, PRICE_RULE),
+    "table_counts": lambda t, p: audit.table_counts(t, USER_GROUP_TABLES),
+    "table_contract": lambda t, p: audit.table_contract(t),
+    "section_score": _scored(audit.section_score),
+    "section_score_weighted": _scored(audit.section_score_weighted),
+    "overall_score": _scored(audit.overall_score),
+    "score_bands": _scored(audit.score_bands),
+    "basic_scoreboard": scoreboard.basic_scoreboard,
+}
+SCOREBOARD: dict[str, Operator] = {
+    "fund_scoreboard": scoreboard.fund_scoreboard,
+    "errors_only": lambda t, p: scoreboard.errors_only(inpatient.cipn_group46(t, p)),
+    "check_breakdown": lambda t, p: scoreboard.check_breakdown(fdh.fdh_opd(t, p)),
+}
+
 QUERIES: dict[str, Query] = {
     **_family(FDH, oracle_fdh.SQL),
     **_family(INPATIENT, oracle_inpatient.SQL),
     **_family(RULES, oracle_rules.SQL),
     **_family(LIST_RULES, oracle_rules.SQL, long_lists=True),
     **_family(CATALOGUE, oracle_catalogue.SQL, long_lists=True),
+    **_family(AUDIT, oracle_audit.SQL, long_lists=True),
+    **_family(SCOREBOARD, oracle_audit.SQL),
     **_family(OUTPATIENT, oracle_outpatient.SQL),
 }

@@ -689,6 +689,7 @@ SELECT {txt('c_custkey')} AS officer_id, {emp('c_custkey', 9, 8, "'u' || CAST(c_
     {emp('c_custkey', 17, 19, pad('c_custkey', 13))} AS officer_cid, {yn('c_custkey', 10)} AS officer_active
 FROM {{customer}}""",
     "officer_group": "SELECT n_nationkey AS officer_group_id, n_name AS officer_group_name FROM {nation}",
+    "officer_group_module_access": _catalogue("k % 25 AS officer_group_id, k AS module_id"),
     "clinic": _catalogue(
         f"""{txt('k')} AS clinic, 'clinic ' || CAST(k AS STRING) AS name, {emp('k', 5, 4, "'1'")} AS clinic_type_id,
         {emp('k', 3, 7, yn('k', 2))} AS chronic, {nul('k', 4, "'N'")} AS no_export, {yn('k', 7)} AS active_status"""
