@@ -71,31 +71,39 @@ def resolve_column(
 
 
 class Tally:
-    """Totals and filled counts of many rules over one DataFrame in one aggregate."""
+    """Totals and filled counts of many rules over one DataFrame in one aggregate.
+
+    Conditions are SQL text: a rule set has hundreds of them, and one parsed
+    expression each is far cheaper to build than a tree of column objects.
+    """
 
     def __init__(self, rows: DataFrame, by: Sequence[str] = ()):
         self.rows, self.by = rows, list(by)
-        self.parts: list[tuple[tuple[str, ...], Column, Column]] = []
+        self.parts: list[tuple[tuple[str, ...], str, str]] = []
 
-    def add(self, labels: tuple[str, ...], condition: Column | None, filled: Column) -> None:
-        meets = F.lit(True) if condition is None else F.coalesce(condition, F.lit(False))
-        self.parts.append((labels, F.count(F.when(meets, 1)), F.count(F.when(meets & filled, 1))))
+    def add(self, labels: tuple[str, ...], condition: str, filled: str) -> None:
+        self.parts.append((labels, condition, filled))
 
     def long(self, names: Sequence[str]) -> DataFrame:
         """One row per rule (and group): the labels under ``names``, ``tot`` and ``ok``."""
-        sums = [
-            c.alias(f"{kind}{i}") for i, (_, tot, ok) in enumerate(self.parts) for kind, c in (("tot", tot), ("ok", ok))
-        ]
+        sums, lines = [], []
+        for i, (labels, condition, filled) in enumerate(self.parts):
+            sums.append(F.expr(f"count(CASE WHEN {condition} THEN 1 END) AS tot{i}"))
+            sums.append(F.expr(f"count(CASE WHEN ({condition}) AND ({filled}) THEN 1 END) AS ok{i}"))
+            shown = ", ".join(f"'{v}' AS {n}" for n, v in zip(names, labels))
+            lines.append(f"struct({shown}, tot{i} AS tot, ok{i} AS ok)")
         wide = self.rows.groupBy(*self.by).agg(*sums)
-        lines = [
-            F.struct(
-                *[F.lit(v).alias(n) for n, v in zip(names, labels)],
-                F.col(f"tot{i}").alias("tot"),
-                F.col(f"ok{i}").alias("ok"),
-            )
-            for i, (labels, _, _) in enumerate(self.parts)
-        ]
-        return wide.select(*self.by, F.inline(F.array(*lines)))
+        return wide.selectExpr(*self.by, f"inline(array({', '.join(lines)}))")
+
+
+def missing_sql(column: str, sentinels: Sequence[str] = ()) -> str:
+    """The SQL text of ``is_missing``."""
+    values = ", ".join(f"'{v}'" for v in ("", *sentinels))
+    return f"(`{column}` IS NULL OR CAST(`{column}` AS STRING) IN ({values}))"
+
+
+def filled_sql(column: str, sentinels: Sequence[str] = ()) -> str:
+    return f"NOT {missing_sql(column, sentinels)}"
 
 
 def _union(frames: list[DataFrame]) -> DataFrame:
@@ -108,29 +116,28 @@ def _fixed_rows(t: Tables, rows: list[tuple]) -> DataFrame:
 
 def _condition(t: Tables, rows: DataFrame, terms: Sequence[str], aliases, strict: bool):
     """The rows with any membership columns added, the condition, and a status."""
-    condition: Column | None = None
+    parts = []
     for term in terms:
         if LOOKUP_TERM.match(term):
             name, value = term.split("=")
             found = resolve_column(rows.columns, name, aliases)
             if found is None:
                 if strict:
-                    return rows, None, SKIP
+                    return rows, "", SKIP
                 continue  # no such column: the rule covers all rows
-            part = F.col(found) == value
+            parts.append(f"`{found}` = '{value}'")
         elif member := MEMBER_TERM.match(term):
             column, table = member["column"], member["table"]
             if column not in rows.columns or table not in t:
-                return rows, None, ERROR
+                return rows, "", ERROR
             flag = f"_in_{len(rows.columns)}"
             rows = with_membership(rows, column, t[table].where(member["where"]), member["key"], flag)
-            part = ~F.col(flag) if member["word"] == "NOT IN" else F.col(flag)
+            parts.append(f"NOT {flag}" if member["word"] == "NOT IN" else flag)
         else:
             if term.replace("=", " ").split()[0] not in rows.columns:
-                return rows, None, ERROR
-            part = F.expr(term)
-        condition = part if condition is None else condition & part
-    return rows, condition, OK
+                return rows, "", ERROR
+            parts.append(f"({term})")
+    return rows, " AND ".join(parts) or "TRUE", OK
 
 
 def audit_columns(
@@ -151,7 +158,7 @@ def audit_columns(
     for table, table_rules in groupby(by_table, key=lambda r: r.table):
         answered = []
         rows = t[table] if table in t else None
-        conditions: dict[tuple[str, ...], tuple[Column | None, str]] = {}
+        conditions: dict[tuple[str, ...], tuple[str, str]] = {}
         for rule in table_rules:
             info = "Y" if rule.info else "N"
             column = None if rows is None else resolve_column(t[table].columns, rule.column, aliases)
@@ -166,7 +173,7 @@ def audit_columns(
                 unanswered.append((rule.section, rule.name, table, column, 0, 0, status, info))
                 continue
             labels = (rule.section, rule.name, table, column, OK, info)
-            answered.append((labels, condition, ~is_missing(column, rule.sentinels)))
+            answered.append((labels, condition, filled_sql(column, rule.sentinels)))
         if answered:
             tally = Tally(rows)
             for part in answered:
@@ -211,9 +218,9 @@ def audit_linked(
     """Rows of ``main`` whose key is in ``other``, and those for which a column there is filled."""
     rows = t[main].where(where) if where else t[main]
     tally = Tally(_linked(rows, t[other], key, columns))
-    tally.add((section, other, main, key), None, F.col("_present").isNotNull())
+    tally.add((section, other, main, key), "TRUE", "_present")
     for i, spec in enumerate(columns):
-        tally.add((section, f"{other}.{column_spec(spec)[0]}", main, key), None, F.coalesce(f"_filled{i}", F.lit(False)))
+        tally.add((section, f"{other}.{column_spec(spec)[0]}", main, key), "TRUE", f"_filled{i}")
     rows = tally.long(["section", "rule", "table_name", "column_name"])
     return rows.withColumns({"status": F.lit(OK), "info": F.lit("N")}).select(*RESULT.names)
 
@@ -255,7 +262,7 @@ def bill_sections(t: Tables, p: Params | None = None) -> DataFrame:
     Categories are read and matched as data; nothing is collected.  Rules that
     a category does not have are dropped after the aggregate.
     """
-    is_item = F.col("_item").isNotNull()
+    is_item = "_item = 1"
     names = ["rule", "table_name", "column_name"]
     section = F.concat(F.lit("bill"), F.col("code"))
 
@@ -299,7 +306,7 @@ def bill_sections(t: Tables, p: Params | None = None) -> DataFrame:
     items = Tally(_per_category(t, services), ["code"])
     found, absent = split("nondrugitems", ITEM_COLUMNS)
     for column, actual, sentinels in found:
-        items.add((f"nondrugitems.{column}", "nondrugitems", actual), is_item, ~is_missing(actual, sentinels))
+        items.add((f"nondrugitems.{column}", "nondrugitems", actual), is_item, filled_sql(actual, sentinels))
     frames = [finish(items.long(names).where(has_rule))]
     if absent:
         code = F.regexp_replace("section", "^bill", "")
@@ -311,10 +318,10 @@ def bill_sections(t: Tables, p: Params | None = None) -> DataFrame:
         flags = _link_flags(t["nondrugitems_sks_bc"], "icode", specs)
         linked = _per_category(t, services, LINKED_CATEGORIES).join(flags, F.col("icode") == F.col("_key"), "left")
         links = Tally(linked, ["code"])
-        links.add(("nondrugitems_sks_bc", "nondrugitems", "icode"), is_item, F.col("_present").isNotNull())
+        links.add(("nondrugitems_sks_bc", "nondrugitems", "icode"), is_item, "_present")
         for i, spec in enumerate(specs):
             label = f"nondrugitems_sks_bc.{column_spec(spec)[0]}"
-            links.add((label, "nondrugitems", "icode"), is_item, F.coalesce(f"_filled{i}", F.lit(False)))
+            links.add((label, "nondrugitems", "icode"), is_item, f"_filled{i}")
         frames.append(finish(links.long(names)))
 
     if "drugitems" in t:
@@ -326,11 +333,11 @@ def bill_sections(t: Tables, p: Params | None = None) -> DataFrame:
         tally = Tally(drugs, ["code"])
         found, absent = split("drugitems", DRUG_COLUMNS)
         for column, actual, sentinels in found:
-            covered = is_item & F.col("_thai") if column == "ttmt_code" else is_item
-            tally.add((f"drugitems.{column}", "drugitems", actual), covered, ~is_missing(actual, sentinels))
+            covered = f"{is_item} AND _thai" if column == "ttmt_code" else is_item
+            tally.add((f"drugitems.{column}", "drugitems", actual), covered, filled_sql(actual, sentinels))
         for label, words in CONTROLLED_DRUGS.items():
-            covered = is_item & controlled_name(words)
-            tally.add((label, "drugitems", "drug_control_type_id"), covered, ~is_missing("drug_control_type_id"))
+            covered = f"{is_item} AND {controlled_name(words)}"
+            tally.add((label, "drugitems", "drug_control_type_id"), covered, filled_sql("drug_control_type_id"))
         frames.append(finish(tally.long(names)))
         if absent:
             frames.append(skipped("drugitems", absent, DRUG_CATEGORIES))
@@ -353,8 +360,7 @@ def audit_missing_rows(t: Tables, rule: Rule, limit: int | None = 150) -> DataFr
     rows, condition, status = _condition(t, source, rule.terms, COLUMN_ALIASES, strict=False)
     if status != OK:
         raise ValueError(f"{rule.table}: a column of the condition is missing")
-    rows = rows.where(is_missing(column, rule.sentinels))
-    rows = (rows if condition is None else rows.where(condition)).select(*source.columns)
+    rows = rows.where(missing_sql(column, rule.sentinels)).where(condition).select(*source.columns)
     order = []
     in_use = next((c for c in STATUS_COLUMNS if c in rows.columns), None)
     if in_use:
@@ -406,56 +412,64 @@ def table_contract(t: Tables, required: Sequence[str] = REQUIRED) -> DataFrame:
 # -- scores --------------------------------------------------------------------
 
 
-def _valid(results: DataFrame) -> DataFrame:
-    rows = results.where((F.col("status") == OK) & (F.col("info") == "N") & (F.col("tot") > 0))
-    return rows.withColumn("share", F.try_divide("ok", "tot"))
-
-
 def _percent(share: Column) -> Column:
     return F.round(F.round(share, 9) * 100).cast("bigint")
 
 
-def section_score(results: DataFrame) -> DataFrame:
-    """Per section: mean share over its valid rules in percent, full and short columns.
+def section_sums(results: DataFrame) -> DataFrame:
+    """What all scores are made of, per section and in one pass over the results.
 
-    A section without a valid rule scores 0.
+    A rule counts towards the shares if it was answered, is scored and covers
+    at least one row; towards the record sums if it was answered.
     """
-    sections = results.select("section").distinct()
-    full = F.col("share") >= 1
-    scores = _valid(results).groupBy("section").agg(
-        _percent(F.avg("share")).alias("pct"),
-        F.count(F.when(full, 1)).alias("n_full"),
-        F.count(F.when(~full, 1)).alias("n_short"),
-    )
-    zero = F.lit(0).cast("bigint")
-    return sections.join(scores, "section", "left").select(
-        "section", *[F.coalesce(c, zero).alias(c) for c in ("pct", "n_full", "n_short")]
+    answered = F.col("status") == OK
+    scored = answered & (F.col("info") == "N") & (F.col("tot") > 0)
+    share = F.when(scored, F.try_divide("ok", "tot"))
+
+    def total(x: Column) -> Column:
+        return F.sum(F.when(answered, x).otherwise(0)).cast("bigint")
+
+    return results.groupBy("section").agg(
+        F.coalesce(_percent(F.avg(share)), F.lit(0).cast("bigint")).alias("pct"),
+        F.sum(share).alias("share_sum"),
+        F.count(share).alias("n_scored"),
+        F.count(F.when(share >= 1, 1)).alias("n_full"),
+        F.count(F.when(share < 1, 1)).alias("n_short"),
+        total(F.col("tot")).alias("tot"),
+        total(F.col("ok")).alias("ok"),
+        total(F.greatest(F.col("tot") - F.col("ok"), F.lit(0))).alias("missing"),
     )
 
 
+def section_score(results: DataFrame) -> DataFrame:
+    """Per section: mean share over its scored rules in percent, full and short columns.
+
+    A section without a scored rule gets 0.
+    """
+    return section_sums(results).select("section", "pct", "n_full", "n_short")
+
+
+def _record_percent() -> Column:
+    return F.when(F.col("tot") > 0, _percent(F.try_divide("ok", "tot")))
+
+
 def section_score_weighted(results: DataFrame) -> DataFrame:
     """Per section: filled rows over covered rows in percent, and the missing ones.
 
     The percentage is unknown where no rule covers any row.
     """
-    answered = F.col("status") == OK
-    sums = results.groupBy("section").agg(
-        F.sum(F.when(answered, F.col("tot")).otherwise(0)).cast("bigint").alias("tot"),
-        F.sum(F.when(answered, F.col("ok")).otherwise(0)).cast("bigint").alias("ok"),
-        F.sum(F.when(answered, F.greatest(F.col("tot") - F.col("ok"), F.lit(0))).otherwise(0)).cast("bigint").alias("missing"),
-    )
-    share = F.when(F.col("tot") > 0, _percent(F.try_divide("ok", "tot")))
-    return sums.select("section", share.alias("pct"), "tot", "ok", "missing")
+    return section_sums(results).select("section", _record_percent().alias("pct"), "tot", "ok", "missing")
 
 
 def overall_score(results: DataFrame) -> DataFrame:
-    """Mean share over all valid rules in percent; sections at 100 and the rest."""
+    """Mean share over all scored rules in percent; sections at 100 and the rest."""
     complete = F.col("pct") == 100
-    sections = section_score(results).agg(
-        F.count(F.when(complete, 1)).alias("complete"), F.count(F.when(~complete, 1)).alias("incomplete")
+    mean = F.try_divide(F.sum("share_sum"), F.sum("n_scored"))
+    return section_sums(results).agg(
+        F.count(F.when(complete, 1)).alias("complete"),
+        F.count(F.when(~complete, 1)).alias("incomplete"),
+        F.coalesce(_percent(mean), F.lit(0).cast("bigint")).alias("overall_pct"),
     )
-    overall = _valid(results).agg(F.coalesce(_percent(F.avg("share")), F.lit(0).cast("bigint")).alias("pct")).scalar()
-    return sections.withColumn("overall_pct", overall)
 
 
 def score_band(pct: Column, style: str = "rules") -> Column:
@@ -475,9 +489,10 @@ def score_band(pct: Column, style: str = "rules") -> Column:
 
 def score_bands(results: DataFrame) -> DataFrame:
     """Both scores of each section with their bands."""
-    rules = section_score(results).select("section", F.col("pct").alias("rule_pct"))
-    records = section_score_weighted(results).select("section", F.col("pct").alias("record_pct"))
-    return rules.join(records, "section").withColumns(
+    scores = section_sums(results).select(
+        "section", F.col("pct").alias("rule_pct"), _record_percent().alias("record_pct")
+    )
+    return scores.withColumns(
         {
             "rule_band": score_band(F.col("rule_pct")),
             "record_band": score_band(F.col("record_pct"), "records"),

@@ -201,13 +201,10 @@ def payer_code_unknown(t: Tables, p: Params | None = None) -> DataFrame:
     return rows.withColumn("note", F.lit("เพิ่มข้อมูลสิทธิในตาราง provis_instype"))
 
 
-def controlled_name(names: str) -> Column:
-    """One of the names occurs in any name column, in any letter case."""
+def controlled_name(names: str) -> str:
+    """SQL text: one of the names occurs in any name column, in any letter case."""
     pattern = "(?i)" + "|".join(names.split())
-    found = F.lit(False)
-    for column in CONTROLLED_NAME_COLUMNS:
-        found = found | F.coalesce(F.col(column).rlike(pattern), F.lit(False))
-    return found
+    return "(" + " OR ".join(f"coalesce({c} RLIKE '{pattern}', FALSE)" for c in CONTROLLED_NAME_COLUMNS) + ")"
 
 
 def controlled_drug_class(t: Tables, p: Params | None = None) -> DataFrame:
@@ -219,7 +216,7 @@ def controlled_drug_class(t: Tables, p: Params | None = None) -> DataFrame:
     drugs = drugs.withColumn("income", F.lpad("income", 2, "0")).where(F.col("income").isin(*DRUG_INCOMES))
     sums = []
     for i, names in enumerate(CONTROLLED_DRUGS.values()):
-        hit = controlled_name(names)
+        hit = F.expr(controlled_name(names))
         sums.append(F.count(F.when(hit, 1)).alias(f"tot{i}"))
         sums.append(F.count(F.when(hit & filled(F.col("drug_control_type_id").cast("string")), 1)).alias(f"ok{i}"))
     wide = drugs.groupBy("income").agg(*sums)

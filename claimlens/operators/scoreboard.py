@@ -36,7 +36,7 @@ def check_breakdown(df: DataFrame, columns: Sequence[str] | None = None) -> Data
     """Per flag: rows, and rows that fail it, in one pass."""
     tally = Tally(df)
     for name in columns if columns is not None else check_columns(df):
-        tally.add((name,), None, F.coalesce(F.col(name) == "N", F.lit(False)))
+        tally.add((name,), "TRUE", f"`{name}` = 'N'")
     return tally.long(["check_name"]).select("check_name", F.col("tot").alias("total"), F.col("ok").alias("failed"))
 
 

@@ -7,10 +7,13 @@ from dataclasses import dataclass
 from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from claimlens.operators import audit, catalogue, fdh, inpatient, outpatient, rules, scoreboard
+from claimlens.operators import audit, catalogue, corrections, fdh, inpatient, outpatient, rules, scoreboard
+from claimlens.operators.invoice import Invoices, next_debt_id
+from claimlens.operators.scope import date_window
 from claimlens.params import Params
-from claimlens.plans import oracle_audit, oracle_catalogue, oracle_fdh, oracle_inpatient, oracle_outpatient, oracle_rules
+from claimlens.plans import oracle_audit, oracle_catalogue, oracle_changes, oracle_fdh, oracle_inpatient, oracle_outpatient, oracle_rules
 from claimlens.plans.audit_rules import Rule
 from claimlens.plans.sqltext import dated
 from claimlens.sources.binding import bind, with_clause
@@ -125,6 +128,78 @@ SCOREBOARD: dict[str, Operator] = {
     "check_breakdown": lambda t, p: scoreboard.check_breakdown(fdh.fdh_opd(t, p)),
 }
 
+
+
+# -- corrections and invoices ----------------------------------------------------
+
+
+def _scheme_edits(t: Tables) -> corrections.Changed:
+    return corrections.apply_field_edits(t["pttype"], t["scheme_edits"], corrections.EDIT_POLICIES["pttype"])
+
+
+def _hospital_updates(t: Tables) -> corrections.Changed:
+    rule = corrections.KEYED_UPDATES["entitlement_hospitals"]
+    return corrections.apply_keyed_updates(t[rule.table], t["hospital_updates"], rule)
+
+
+def _cancer_drugs(t: Tables) -> corrections.Changed:
+    return corrections.upsert_by_key(t["drugitems_cancer"], t["cancer_drug_rows"], "icode")
+
+
+def _more_morphine(t: Tables) -> DataFrame:
+    rows = catalogue.morphine_candidates(t)
+    return corrections.append_numbered(t["drug_morphine"], rows, "drug_morphine_id", ["icode"]).table
+
+
+def _without_lines(rule: Operator, code: str) -> Operator:
+    def run(t: Tables, p: Params) -> DataFrame:
+        visits = rule(t, p).select(F.col("VN").alias("vn"))
+        return corrections.delete_charge_lines(t, visits, code).table
+
+    return run
+
+
+CORRECTIONS: dict[str, Operator] = {
+    "keyed_updates": lambda t, p: _hospital_updates(t).table,
+    "keyed_updates_report": lambda t, p: _hospital_updates(t).report,
+    "insert_missing": lambda t, p: corrections.insert_missing(t["sks_icd10tm_check"], t["ovst_sks_icd10tm"], "code").table,
+    "upsert_rows": lambda t, p: _cancer_drugs(t).table,
+    "upsert_report": lambda t, p: _cancer_drugs(t).report,
+    "append_numbered": lambda t, p: _more_morphine(t),
+    "delete_by_key": lambda t, p: corrections.delete_by_key(t["drugitems_cancer"], t["cancer_drug_rows"], "icode").table,
+    "delete_walkin_lines": _without_lines(rules.walkin_with_cancer, "WALKIN"),
+    "delete_adp_lines": _without_lines(rules.adp_with_morphine, "ADP30001"),
+    "add_diagnosis_rows": lambda t, p: corrections.add_diagnosis_rows(t, t["new_diagnoses"], staff="clerk"),
+    "fill_diagnosis_slots": lambda t, p: corrections.fill_diagnosis_slots(t, t["new_diagnoses"]),
+}
+LIST_CORRECTIONS: dict[str, Operator] = {
+    "field_edits": lambda t, p: _scheme_edits(t).table,
+    "field_edits_report": lambda t, p: _scheme_edits(t).report,
+}
+
+
+def _invoices(build: Callable[[Invoices], DataFrame]) -> Operator:
+    def run(t: Tables, p: Params) -> DataFrame:
+        visits = t["ovst"].where(date_window("vstdate", p)).select("vn", F.concat(F.lit("X"), "vn").alias("vercode"))
+        first = {"debt_id": next_debt_id(t), "finance_number": 501}
+        return build(Invoices(t, visits, now="12:00:00", first_ids=first))
+
+    return run
+
+
+INVOICE: dict[str, Operator] = {
+    "invoice_transfer_list": _invoices(Invoices.transfer_list),
+    "invoice_transfer_links": _invoices(lambda i: i.transfer_links(i.t["old_transfers"])),
+    "invoice_transfer_detail": _invoices(Invoices.transfer_detail),
+    "invoice_finance_summary": _invoices(Invoices.finance_summary),
+    "invoice_credit_list": _invoices(Invoices.credit_list),
+    "invoice_credit_detail": _invoices(Invoices.credit_detail),
+    "invoice_debt": _invoices(Invoices.debt),
+    "invoice_debt_detail": _invoices(Invoices.debt_detail),
+    "invoice_stamp_lines": _invoices(Invoices.stamped_lines),
+    "invoice_rejected": _invoices(lambda i: i.rejected),
+}
+
 QUERIES: dict[str, Query] = {
     **_family(FDH, oracle_fdh.SQL),
     **_family(INPATIENT, oracle_inpatient.SQL),
@@ -133,5 +208,8 @@ QUERIES: dict[str, Query] = {
     **_family(CATALOGUE, oracle_catalogue.SQL, long_lists=True),
     **_family(AUDIT, oracle_audit.SQL, long_lists=True),
     **_family(SCOREBOARD, oracle_audit.SQL),
+    **_family(CORRECTIONS, oracle_changes.SQL),
+    **_family(LIST_CORRECTIONS, oracle_changes.SQL, long_lists=True),
+    **_family(INVOICE, oracle_changes.SQL),
     **_family(OUTPATIENT, oracle_outpatient.SQL),
 }

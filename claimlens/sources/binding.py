@@ -704,6 +704,51 @@ FROM {{customer}}""",
     ),
 }
 
+# -- tables of changes ---------------------------------------------------------
+
+
+def _edits(offset: int, where: str) -> str:
+    k = f"(k + {offset})"
+    return f"""
+SELECT {txt('(10 + k * 3 % 130)')} AS pttype,
+    CASE {k} % 7 WHEN 0 THEN 'pttype_name' WHEN 1 THEN 'drg_group' WHEN 2 THEN 'print_presc_ned'
+        WHEN 3 THEN 'finance_round_money' WHEN 4 THEN 'sks_benefit_plan_type_id' WHEN 5 THEN 'inscl' ELSE 'secret' END AS field,
+    CASE {k} % 5 WHEN 0 THEN '  name ' || CAST(k AS STRING) || ' ' WHEN 1 THEN ' yes' WHEN 2 THEN '' WHEN 3 THEN NULL
+        ELSE '7 ' END AS value, k * 2 + {offset} % 2 AS _pos
+{_SUP} WHERE {where}"""
+
+
+def _new_rows(offset: int, where: str) -> str:
+    return f"""
+SELECT {item('p_partkey')} AS icode, {emp('p_partkey', 36, 60, f"'v{offset} ' || p_name")} AS name,
+    {emp('p_partkey', 48, 72, "'9 mg'")} AS strength, p_type AS units, p_partkey * 2 + {offset} AS _pos
+FROM {{part}} WHERE {where}"""
+
+
+def _hospital_updates(offset: int, where: str) -> str:
+    return f"""
+SELECT {txt('o_orderkey')} AS vn, {PAYER} AS pttype,
+    {emp('o_orderkey', 5, 7, pad(f'((o_orderkey + {offset}) % 99999)', 5))} AS hospmain,
+    {emp('o_orderkey', 4, 9, pad(f'((o_orderkey + {offset}) % 88888)', 5))} AS hospsub, o_orderkey * 2 + {offset} AS _pos
+FROM {{orders}} WHERE {where}"""
+
+
+CHANGES: dict[str, str] = {
+    "scheme_edits": _edits(0, "TRUE") + "\nUNION ALL" + _edits(7, "k % 4 = 0") + "\nUNION ALL" + _edits(1, "k % 3 = 0"),
+    "hospital_updates": _hospital_updates(0, "o_orderkey % 3 = 0") + "\nUNION ALL" + _hospital_updates(1, "o_orderkey % 6 = 0"),
+    "cancer_drug_rows": _new_rows(0, "p_partkey % 12 = 0") + "\nUNION ALL" + _new_rows(1, "p_partkey % 24 = 0"),
+    "new_diagnoses": f"""
+SELECT {txt('l_orderkey')} AS vn, CASE WHEN part_key % 9 = 0 THEN '' WHEN part_key % 2 = 0 THEN 'Z510' ELSE 'Z511' END AS icd10_add,
+    {txt('o_custkey')} AS hn, {clock('o_orderkey')} AS vsttime, {VISIT_DAY} AS vstdate,
+    {emp('part_key', 3, 4, "'2'")} AS diagtype, {txt('supp_key')} AS doctor_code, l_orderkey * 8 + line_no AS _pos
+FROM (SELECT l_orderkey, l_linenumber AS line_no, MIN(l_partkey) AS part_key, MIN(l_suppkey) AS supp_key
+      FROM {{lineitem}} GROUP BY l_orderkey, l_linenumber) AS q JOIN {{orders}} ON o_orderkey = l_orderkey""",
+    "old_transfers": f"""
+SELECT CAST(l_orderkey AS STRING) || '-' || CAST(l_linenumber AS STRING) || '-' || CAST(l_partkey AS STRING) || '-'
+        || CAST(l_suppkey AS STRING) AS hos_guid, {txt('l_orderkey')} AS vn, l_orderkey AS opd_opi_fn_tr_list_id
+FROM {{lineitem}} WHERE l_partkey % 17 = 0 GROUP BY l_orderkey, l_linenumber, l_partkey, l_suppkey""",
+}
+
 SMALL_KEYS = "(SELECT CAST(n_nationkey AS BIGINT) AS k FROM {nation}) AS q"
 LONG_KEYS = "(SELECT s_suppkey AS k FROM {supplier}) AS q"
 # Visits carry twelve schemes, so the small scheme list stops there.
@@ -714,7 +759,7 @@ def definitions(long_lists: bool = False) -> dict[str, str]:
     """Hospital table -> SQL text with ``{driver or hospital table}`` left open."""
     keys = {n: LONG_KEYS if long_lists else _SHORT.get(n, SMALL_KEYS) for n in LISTS}
     lists = {n: text.replace("{keys}", keys[n]) for n, text in LISTS.items()}
-    return {**FACTS, **CATALOGUES, **lists}
+    return {**FACTS, **CATALOGUES, **CHANGES, **lists}
 
 
 _OPEN = re.compile(r"\{(\w+)\}")

@@ -24,6 +24,7 @@ def spark_session(cores: str = "8", memory: str = "12g") -> SparkSession:
         .config("spark.sql.shuffle.partitions", "8")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.driver.memory", memory)
         .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .getOrCreate()
