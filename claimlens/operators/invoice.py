@@ -37,6 +37,7 @@ class Invoices:
     ):
         self.t, self.now = t, now
         self.first_ids = dict(first_ids or {})
+        self._shared = False
         columns = ["vn"] + (["vercode"] if "vercode" in visits.columns else [])
         self.asked = visits.select(*columns).dropDuplicates(["vn"])
 
@@ -45,12 +46,16 @@ class Invoices:
 
     @cached_property
     def visits(self) -> DataFrame:
-        """Visits that can be invoiced, with the columns of their headers."""
+        """Visits that can be invoiced, with the columns of their headers.
+
+        Kept on disk: transfers, credits and sums all start from it, and finding
+        it takes a pass over the charge lines.
+        """
         t = self.t
         rows = self.asked.join(t["ovst"].select("vn", "vstdate", "vsttime", "staff"), "vn")
         rows = rows.join(t["vn_stat"].select("vn", "uc_money"), "vn")
-        rows = rows.join(t["visit_pttype"].select("vn"), "vn", "left_semi")
-        return rows.join(t["opitemrece"].select("vn"), "vn", "left_semi")
+        rows = rows.join(t["visit_pttype"].select("vn").distinct(), "vn", "left_semi")
+        return durable(rows.join(t["opitemrece"].select("vn").distinct(), "vn", "left_semi"))
 
     @property
     def rejected(self) -> DataFrame:
@@ -59,12 +64,15 @@ class Invoices:
 
     @cached_property
     def sums(self) -> DataFrame:
-        """Charge sums per visit, staff, payer and income: the one pass over the lines."""
+        """Charge sums per visit, staff, payer and income: the one pass over the lines.
+
+        Kept on disk when all tables are built together, since four of them use it.
+        """
         price = F.col("sum_price")
         by_state = [F.sum(F.when(F.col("paidst") == s, price).otherwise(0)).alias(f"s{s}") for s in _STATES]
         lines = self.t["opitemrece"].join(self.visits.select("vn"), "vn", "left_semi")
         rows = lines.groupBy(*_DEBT_KEYS, "income").agg(*by_state, F.sum(price).alias("total"), F.sum("discount").alias("discount"))
-        return durable(rows)
+        return durable(rows) if self._shared else rows
 
     def _rolled(self, *keys: str) -> DataFrame:
         sums = [money(F.sum(c)).alias(c) for c in (*[f"s{s}" for s in _STATES], "total", "discount")]
@@ -246,6 +254,7 @@ class Invoices:
 
     def tables(self) -> dict[str, DataFrame]:
         """Everything one run adds or changes."""
+        self._shared = True
         return {
             "opd_opi_fn_tr_list": self.transfer_list(),
             "opd_opi_hos_guid_transfer": self.transfer_links(),
