@@ -77,8 +77,9 @@ class Tally:
     expression each is far cheaper to build than a tree of column objects.
     """
 
-    def __init__(self, rows: DataFrame, by: Sequence[str] = ()):
-        self.rows, self.by = rows, list(by)
+    def __init__(self, rows: DataFrame, by: Sequence[str] = (), groups: DataFrame | None = None):
+        """``groups`` lists the values of ``by`` to report; those without rows get zeros."""
+        self.rows, self.by, self.groups = rows, list(by), groups
         self.parts: list[tuple[tuple[str, ...], str, str]] = []
 
     def add(self, labels: tuple[str, ...], condition: str, filled: str) -> None:
@@ -93,6 +94,8 @@ class Tally:
             shown = ", ".join(f"'{v}' AS {n}" for n, v in zip(names, labels))
             lines.append(f"struct({shown}, tot{i} AS tot, ok{i} AS ok)")
         wide = self.rows.groupBy(*self.by).agg(*sums)
+        if self.groups is not None:
+            wide = self.groups.join(wide, self.by, "left").na.fill(0)
         return wide.selectExpr(*self.by, f"inline(array({', '.join(lines)}))")
 
 
@@ -228,7 +231,7 @@ def audit_linked(
 # -- charge categories ---------------------------------------------------------
 
 
-def _categories(t: Tables) -> DataFrame:
+def _categories(t: Tables, only: Sequence[str] | None = None) -> DataFrame:
     """Charge categories to audit, one row per way their code may be stored."""
     if "income" in t:
         listed = t["income"].select(F.trim(F.col("income").cast("string")).alias("code"), F.trim("name").alias("name"))
@@ -244,16 +247,23 @@ def _categories(t: Tables) -> DataFrame:
     kept = kept.select(F.when(one_digit, F.lpad("code", 2, "0")).otherwise(F.col("code")).alias("code"))
     number = F.coalesce(F.expr("try_cast(code AS BIGINT)"), F.lit(0)).cast("string")
     ways = F.array_distinct(F.array(F.col("code"), number))
-    return kept.select("code", F.explode(ways).alias("stored")).distinct()
+    rows = kept.select("code", F.explode(ways).alias("stored")).distinct()
+    return rows.where(F.col("code").isin(*only)) if only is not None else rows
+
+
+def _codes(t: Tables, only: Sequence[str] | None = None) -> DataFrame:
+    return _categories(t, only).select("code").distinct()
 
 
 def _per_category(t: Tables, items: DataFrame, only: Sequence[str] | None = None) -> DataFrame:
-    """Items with the code of their category; a category without items keeps an empty row."""
-    categories = _categories(t)
-    if only is not None:
-        categories = categories.where(F.col("code").isin(*only))
-    items = items.drop("code", "stored").withColumns({"_income": F.col("income").cast("string"), "_item": F.lit(1)})
-    return categories.join(items, F.col("stored") == F.col("_income"), "left").drop("stored", "_income")
+    """Items with the code of their category.
+
+    An inner join: the short category list can be broadcast, and a category
+    with very many items is split and pre-aggregated where its items are.
+    """
+    categories = _categories(t, only)
+    items = items.drop("code", "stored").withColumn("_income", F.col("income").cast("string"))
+    return items.join(categories, F.col("stored") == F.col("_income")).drop("stored", "_income")
 
 
 def bill_sections(t: Tables, p: Params | None = None) -> DataFrame:
@@ -262,7 +272,6 @@ def bill_sections(t: Tables, p: Params | None = None) -> DataFrame:
     Categories are read and matched as data; nothing is collected.  Rules that
     a category does not have are dropped after the aggregate.
     """
-    is_item = "_item = 1"
     names = ["rule", "table_name", "column_name"]
     section = F.concat(F.lit("bill"), F.col("code"))
 
@@ -287,11 +296,9 @@ def bill_sections(t: Tables, p: Params | None = None) -> DataFrame:
         return found, absent
 
     def skipped(table: str, columns: list[str], only: Sequence[str] | None) -> DataFrame:
-        codes = _categories(t).select("code").distinct()
-        codes = codes.where(F.col("code").isin(*only)) if only is not None else codes
         lines = F.array(*[F.struct(F.lit(f"{table}.{c}").alias("rule"), F.lit(c).alias("column_name")) for c in columns])
         zero = F.lit(0).cast("bigint")
-        rows = codes.select("code", F.inline(lines))
+        rows = _codes(t, only).select("code", F.inline(lines))
         return rows.select(
             section.alias("section"), "rule", F.lit(table).alias("table_name"), "column_name", zero.alias("tot"),
             zero.alias("ok"), F.lit(SKIP).alias("status"), F.lit("N").alias("info"),
@@ -303,10 +310,10 @@ def bill_sections(t: Tables, p: Params | None = None) -> DataFrame:
     )
 
     services = active("nondrugitems").where(~F.col("name").ilike(f"%{SURPLUS}%"))
-    items = Tally(_per_category(t, services), ["code"])
+    items = Tally(_per_category(t, services), ["code"], _codes(t))
     found, absent = split("nondrugitems", ITEM_COLUMNS)
     for column, actual, sentinels in found:
-        items.add((f"nondrugitems.{column}", "nondrugitems", actual), is_item, filled_sql(actual, sentinels))
+        items.add((f"nondrugitems.{column}", "nondrugitems", actual), "TRUE", filled_sql(actual, sentinels))
     frames = [finish(items.long(names).where(has_rule))]
     if absent:
         code = F.regexp_replace("section", "^bill", "")
@@ -317,11 +324,11 @@ def bill_sections(t: Tables, p: Params | None = None) -> DataFrame:
         specs = LINKED_COLUMNS.split()
         flags = _link_flags(t["nondrugitems_sks_bc"], "icode", specs)
         linked = _per_category(t, services, LINKED_CATEGORIES).join(flags, F.col("icode") == F.col("_key"), "left")
-        links = Tally(linked, ["code"])
-        links.add(("nondrugitems_sks_bc", "nondrugitems", "icode"), is_item, "_present")
+        links = Tally(linked, ["code"], _codes(t, LINKED_CATEGORIES))
+        links.add(("nondrugitems_sks_bc", "nondrugitems", "icode"), "TRUE", "_present")
         for i, spec in enumerate(specs):
             label = f"nondrugitems_sks_bc.{column_spec(spec)[0]}"
-            links.add((label, "nondrugitems", "icode"), is_item, f"_filled{i}")
+            links.add((label, "nondrugitems", "icode"), "TRUE", f"_filled{i}")
         frames.append(finish(links.long(names)))
 
     if "drugitems" in t:
@@ -330,14 +337,13 @@ def bill_sections(t: Tables, p: Params | None = None) -> DataFrame:
             _per_category(t, active("drugitems"), DRUG_CATEGORIES),
             "sks_product_category_id", thai, "sks_product_category_id", "_thai",
         )
-        tally = Tally(drugs, ["code"])
+        tally = Tally(drugs, ["code"], _codes(t, DRUG_CATEGORIES))
         found, absent = split("drugitems", DRUG_COLUMNS)
         for column, actual, sentinels in found:
-            covered = f"{is_item} AND _thai" if column == "ttmt_code" else is_item
+            covered = "_thai" if column == "ttmt_code" else "TRUE"
             tally.add((f"drugitems.{column}", "drugitems", actual), covered, filled_sql(actual, sentinels))
         for label, words in CONTROLLED_DRUGS.items():
-            covered = f"{is_item} AND {controlled_name(words)}"
-            tally.add((label, "drugitems", "drug_control_type_id"), covered, filled_sql("drug_control_type_id"))
+            tally.add((label, "drugitems", "drug_control_type_id"), controlled_name(words), filled_sql("drug_control_type_id"))
         frames.append(finish(tally.long(names)))
         if absent:
             frames.append(skipped("drugitems", absent, DRUG_CATEGORIES))

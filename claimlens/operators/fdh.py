@@ -444,14 +444,17 @@ def charge_groups(t: Tables) -> DataFrame:
     return rows.select(*picks("ic.income, d.chrgitem_code1"))
 
 
-def payer_charges(t: Tables, table: str, key: str) -> DataFrame:
-    """What the payer is charged per visit or admission and income category.
+def with_payer_charges(stays: DataFrame, t: Tables, table: str, key: str) -> DataFrame:
+    """Stays ``v`` with what the payer is charged per income category, ``c``.
 
-    Summed before any join, which leaves a handful of rows per key however
-    many receipts it has.
+    Receipts of other stays are dropped first.  That join partitions the rest
+    by stay, which serves the sum and the join back as well, and the sum leaves
+    a handful of rows per stay however many receipts it has.
     """
-    lines = t[table].where(F.col("paidst") == PAYER_PAYS)
-    return lines.groupBy(key, "income").agg(money(F.sum("rcptamt")).alias("amount"))
+    receipts = t[table].where(F.col("paidst") == PAYER_PAYS).select(key, "income", "rcptamt")
+    receipts = receipts.join(stays.select(key), key, "left_semi")
+    sums = receipts.groupBy(key, "income").agg(money(F.sum("rcptamt")).alias("amount"))
+    return link(stays.alias("v"), sums, "c", f"c.{key} = v.{key}")
 
 
 def fdh_cha(t: Tables, p: Params) -> DataFrame:
@@ -471,8 +474,8 @@ def fdh_cha(t: Tables, p: Params) -> DataFrame:
         )
 
     nothing = F.lit(None).cast("string")
-    opd = link(scoped_visits(t, p).alias("v"), payer_charges(t, "incoth", "vn"), "c", "c.vn = v.vn")
-    ipd = link(scoped_admissions(t, p).alias("v"), payer_charges(t, "incith", "an"), "c", "c.an = v.an")
+    opd = with_payer_charges(scoped_visits(t, p), t, "incoth", "vn")
+    ipd = with_payer_charges(scoped_admissions(t, p), t, "incith", "an")
     return union_branches(
         p,
         layout(opd, "vn", "vstdate", nothing, nothing),
@@ -483,13 +486,15 @@ def fdh_cha(t: Tables, p: Params) -> DataFrame:
 def fdh_dru(t: Tables, p: Params) -> DataFrame:
     """Drug lines with eight checks and the patient's and payer's share.
 
-    Equal lines are counted before the catalogues are joined; visits without
-    any priced line keep one empty row.
+    Lines outside the scope go first; the rest, partitioned by visit, are
+    counted where equal before the catalogues are joined.  Visits without any
+    priced line keep one empty row.
     """
+    visits = scoped_visits(t, p).select("vn", "hn", "spclty", "vstdate", F.col("an").alias("visit_an"))
     keys = ["icode", "qty", "unitprice", "cost", "paidst", "doctor"]
     lines = t["opitemrece"].where((F.col("qty") > 0) & (F.col("sum_price") > 0) & F.col("paidst").isin("01", "02", "03"))
+    lines = lines.select("vn", *keys).join(visits.select("vn"), "vn", "left_semi")
     lines = lines.groupBy("vn", *keys).agg(F.count(F.lit(1)).alias("n"))
-    visits = scoped_visits(t, p).select("vn", "hn", "spclty", "vstdate", F.col("an").alias("visit_an"))
     rows = with_children(visits, lines, "vn").alias("op")
     rows = link(rows, t["ovst_presc_ned"], "ned", "ned.vn = op.vn AND ned.icode = op.icode AND ned.doctor = op.doctor")
     rows = link(rows, t["vn_stat"].select("vn", "cid"), "st", "st.vn = op.vn")

@@ -27,8 +27,8 @@ from claimlens.operators.fdh import (
     diagnosis_rows,
     operation_checks,
     operation_rows,
-    payer_charges,
     scoped_admissions,
+    with_payer_charges,
 )
 from claimlens.operators.scope import active_schemes, date_window, keep_schemes, link, with_children
 from claimlens.params import Params
@@ -224,12 +224,12 @@ def ipn_invoices(t: Tables, p: Params) -> DataFrame:
 
 def ipn_billitems(t: Tables, p: Params) -> DataFrame:
     """Payer charge per admission and charge group, checked to be positive."""
-    rows = link(scoped_admissions(t, p, fund=FUND).alias("i"), payer_charges(t, "incith", "an"), "c", "c.an = i.an")
+    rows = with_payer_charges(scoped_admissions(t, p, fund=FUND), t, "incith", "an")
     rows = link(rows, charge_groups(t), "g", "g.income = c.income")
-    rows = link(rows, t["pttype"], "s", "s.pttype = i.pttype")
-    rows = link(rows, t["patient"], "pt", "pt.hn = i.hn")
+    rows = link(rows, t["pttype"], "s", "s.pttype = v.pttype")
+    rows = link(rows, t["patient"], "pt", "pt.hn = v.hn")
     return rows.select(
-        *picks("i.an, i.hn, i.dchdate, s.pcode AS pttype_code, g.chrgitem_code1, c.income AS chrgitem, c.amount"),
+        *picks("v.an, v.hn, v.dchdate, s.pcode AS pttype_code, g.chrgitem_code1, c.income AS chrgitem, c.amount"),
         person_name("pt").alias("ptname"),
         *checks(chrgitem=known("c.income"), amount=F.col("c.amount") > 0),
     )

@@ -56,9 +56,9 @@ def _visits(t: Tables, p: Params, fund: str) -> DataFrame:
 
 
 def _billed_payers(t: Tables, p: Params) -> DataFrame:
-    visits = keep_billed(t["ovst"].where(date_window("vstdate", p)), "vn", t, p)
+    visits = keep_billed(t["ovst"].where(date_window("vstdate", p)), "vn", t, p).select("vn", "hn", "vstdate")
     payers = payer_scope(t["visit_pttype"], "pttype", t, p, "intersect", "SSS")
-    return link(visits.alias("ov"), payers, "vp", "vp.vn = ov.vn", "inner")
+    return visits.join(payers.select("vn", "pttype", "pttypeno", "auth_code", "hospmain"), "vn")
 
 
 def billtran(t: Tables, p: Params, ssop: bool = False) -> DataFrame:
@@ -74,27 +74,28 @@ def billtran(t: Tables, p: Params, ssop: bool = False) -> DataFrame:
         "u",
         "u.pttype_upp_type_id = s.pttype_upp_type_id",
     ).select(*picks("s.pttype, u.pttype_upp_type_code"))
-    rows = _billed_payers(t, p)
-    rows = link(rows, t["rcpt_print"], "rc", "rc.vn = ov.vn")
-    rows = link(rows, t["rcpt_debt"].where("total_amount > 0"), "rd", "rd.vn = ov.vn")
-    rows = link(rows, plans, "plan", "plan.pttype = vp.pttype")
-    rows = link(rows, t["patient"], "p", "p.hn = ov.hn")
-    vercode = "p.cid" if ssop else "rd.sss_approval_code"
-    flags = {"invno": known("rd.debt_id"), "vercode": filled(vercode)}
+    debts = t["rcpt_debt"].where("total_amount > 0")
+    debts = debts.select("vn", "debt_id", "debt_date_time", "amount", "total_amount", "sss_approval_code")
+    rows = with_children(_billed_payers(t, p), debts, "vn").alias("v")
+    rows = link(rows, t["rcpt_print"], "rc", "rc.vn = v.vn")
+    rows = link(rows, plans, "plan", "plan.pttype = v.pttype")
+    rows = link(rows, t["patient"], "p", "p.hn = v.hn")
+    vercode = "p.cid" if ssop else "v.sss_approval_code"
+    flags = {"invno": known("v.debt_id"), "vercode": filled(vercode)}
     if ssop:
-        flags["hmain"] = filled("vp.hospmain")
+        flags["hmain"] = filled("v.hospmain")
     out = rows.select(
         *picks(
-            "rd.debt_id, ov.vstdate, ov.vn, vp.auth_code AS authcode, rd.debt_date_time AS dttran, "
-            "rd.debt_id AS invno, rc.rcpno AS billno, p.hn, p.cid AS memberno, rd.amount, rc.bill_amount AS paid, "
-            "p.cid AS pid, vp.hospmain AS hmain, plan.pttype_upp_type_code AS payplan, rd.total_amount AS claimamt"
+            "v.debt_id, v.vstdate, v.vn, v.auth_code AS authcode, v.debt_date_time AS dttran, "
+            "v.debt_id AS invno, rc.rcpno AS billno, p.hn, p.cid AS memberno, v.amount, rc.bill_amount AS paid, "
+            "p.cid AS pid, v.hospmain AS hmain, plan.pttype_upp_type_code AS payplan, v.total_amount AS claimamt"
         ),
         F.col(vercode).alias("vercode"),
         person_name("p").alias("name"),
         *checks(**flags),
         *constants(tflag="A", otherpayplan=None, otherpay=None),
         # tell rows apart although the file does not show them
-        *picks("vp.pttypeno AS _payer_no, rd.sss_approval_code AS _approval"),
+        *picks("v.pttypeno AS _payer_no, v.sss_approval_code AS _approval"),
     )
     out = out.dropDuplicates().drop("_payer_no", "_approval")
     return out.withColumn("hcode", hospital_code(t))

@@ -50,27 +50,30 @@ DRUG_INCOMES = ("03", "17")
 # -- SQL's IN and NOT IN over another table ------------------------------------
 
 
+def _listed(other: DataFrame, column: str) -> tuple[DataFrame, Column, Column]:
+    """The other column's distinct values, whether there is any, and whether one is NULL."""
+    values = other.select(F.col(column).alias("_listed"))
+    counts = values.agg(F.struct(F.count(F.lit(1)).alias("n"), F.count("_listed").alias("known"))).scalar()
+    return values.where("_listed IS NOT NULL").distinct(), counts["n"] > 0, counts["n"] > counts["known"]
+
+
 def not_in(df: DataFrame, column: str, other: DataFrame, other_column: str) -> DataFrame:
     """Rows whose value is NOT IN the other column, with SQL's treatment of NULL.
 
     A NULL in the list leaves no rows, and a NULL value passes only an empty
-    list.  An equality anti join carries the matching; two scalar counts carry
+    list.  An equality anti join carries the matching and one pair of counts
     the NULL rule, so neither side has to be broadcast.
     """
-    values = other.select(F.col(other_column).alias("_listed"))
-    n_all = values.agg(F.count(F.lit(1))).scalar()
-    n_known = values.agg(F.count("_listed")).scalar()
-    rows = df.join(values.distinct(), F.col(column) == F.col("_listed"), "left_anti")
-    return rows.where((n_all == 0) | ((n_all == n_known) & F.col(column).isNotNull()))
+    values, any_listed, any_null = _listed(other, other_column)
+    rows = df.join(values, F.col(column) == F.col("_listed"), "left_anti")
+    return rows.where(~any_listed | (~any_null & F.col(column).isNotNull()))
 
 
 def with_membership(df: DataFrame, column: str, other: DataFrame, other_column: str, name: str) -> DataFrame:
     """Add the truth value of ``column IN (other)``: true, false or unknown."""
-    values = other.select(F.col(other_column).alias("_listed"))
-    n_all = values.agg(F.count(F.lit(1))).scalar()
-    n_known = values.agg(F.count("_listed")).scalar()
-    rows = df.join(values.distinct(), F.col(column) == F.col("_listed"), "left")
-    unknown = (n_all > 0) & ((n_all > n_known) | F.col(column).isNull())
+    values, any_listed, any_null = _listed(other, other_column)
+    rows = df.join(values, F.col(column) == F.col("_listed"), "left")
+    unknown = any_listed & (any_null | F.col(column).isNull())
     value = F.when(F.col("_listed").isNotNull(), True).when(unknown, F.lit(None).cast("boolean")).otherwise(False)
     return rows.withColumn(name, value).drop("_listed")
 
@@ -85,10 +88,14 @@ def _z_code(procedure: Column) -> Column:
     return code
 
 
-def _cancer_visits(t: Tables, p: Params) -> DataFrame:
-    """Visits ``o`` with a cancer main diagnosis ``g`` and no treatment code in the window."""
+def _cancer_visits(t: Tables, p: Params, once: bool = False) -> DataFrame:
+    """Visits ``o`` with a cancer main diagnosis and no treatment code in the window.
+
+    ``once`` lists equal diagnoses of a visit once.
+    """
     schemes = t["pttype"].where(F.col("hipdata_code") == CANCER_GROUP).select("pttype", F.col("name").alias("scheme"))
     main = t["ovstdiag"].where("diagtype = '1' AND upper(icd10) LIKE 'C%'").select("vn", "icd10", "doctor")
+    main = main.distinct() if once else main
     treated = t["ovstdiag"].where(F.col("icd10").isin(*Z_CODES) & date_window("vstdate", p))
     visits = t["ovst"].where(date_window("vstdate", p)).join(schemes, "pttype")
     visits = not_in(visits.join(main, "vn"), "vn", treated, "vn").alias("o")
@@ -103,16 +110,20 @@ def _cancer_operations(t: Tables) -> DataFrame:
 
 
 def cancer_missing_z(t: Tables, p: Params) -> DataFrame:
-    """Cancer visits with a listed drug and no Z510/Z511, with the code to add."""
+    """Cancer visits with a listed drug and no Z510/Z511, with the code to add.
+
+    The result lists equal rows once, so diagnoses, procedures and texts are
+    each made distinct per visit before they are joined.
+    """
     drugs = t["drugitems_cancer"].select("icode")
     with_drug = t["opitemrece"].join(drugs, "icode", "left_semi").select("vn").distinct()
     texts = t["ovst_doctor_diag"].where("diag_text IS NOT NULL").select("vn", "diag_text").distinct()
     texts = texts.groupBy("vn").agg(
         F.expr("listagg(diag_text, ', ') WITHIN GROUP (ORDER BY diag_text)").alias("diag_text")
     )
-    rows = _cancer_visits(t, p).join(with_drug.select(F.col("vn").alias("_drug_vn")), F.expr("o.vn = _drug_vn"), "left_semi")
+    rows = _cancer_visits(t, p, once=True).join(with_drug.select(F.col("vn").alias("_drug_vn")), F.expr("o.vn = _drug_vn"), "left_semi")
     rows = link(rows, t["visit_pttype"], "vp", "vp.vn = o.vn AND vp.pttype = o.pttype")
-    rows = link(rows, _cancer_operations(t), "q", "q.vn = o.vn")
+    rows = link(rows, _cancer_operations(t).distinct(), "q", "q.vn = o.vn")
     rows = link(rows, texts, "x", "x.vn = o.vn")
     rows = link(rows, t["icd101"], "n", "n.code = o.icd10")
     rows = link(rows, t["patient"], "p", "p.hn = o.hn")
