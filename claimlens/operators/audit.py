@@ -62,7 +62,11 @@ def resolve_column(
     """The column that goes by ``name`` or, failing that, by one of its aliases."""
     present = {c.lower(): c for c in columns}
     for candidate in (name, *aliases.get(name, ())):
-        if candidate.lower() in present:
+        if candidate.startswith("*"):
+            found = next((c for c in sorted(present) if c.endswith(candidate[1:])), None)
+            if found:
+                return present[found]
+        elif candidate.lower() in present:
             return present[candidate.lower()]
     return None
 
@@ -188,8 +192,9 @@ def audit_columns(
 
 
 def basic_audit(t: Tables, p: Params | None = None) -> DataFrame:
-    """The short rule set; columns go by their own names only."""
-    return audit_columns(t, parse_rules(BASIC_RULES), aliases={}, strict=True)
+    """The short rule set; columns go by their own names only, apart from a vendor's prefix."""
+    own = {"clinic_type_id": COLUMN_ALIASES["clinic_type_id"]}
+    return audit_columns(t, parse_rules(BASIC_RULES), aliases=own, strict=True)
 
 
 def full_audit(t: Tables, p: Params | None = None) -> DataFrame:

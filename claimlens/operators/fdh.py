@@ -438,10 +438,14 @@ def fdh_cht(t: Tables, p: Params) -> DataFrame:
     )
 
 
-def charge_groups(t: Tables) -> DataFrame:
-    """Income category with its charge group."""
-    rows = link(t["income"].alias("ic"), t["drg_chrgitem"], "d", "d.drg_chrgitem_id = ic.drg_chrgitem_id")
-    return rows.select(*picks("ic.income, d.chrgitem_code1"))
+def with_charge_group(rows: DataFrame, t: Tables, income: str) -> DataFrame:
+    """Rows with the charge group ``g`` of their income category.
+
+    Two joins rather than one to the two lists joined: the size of a stored
+    list is known when the plan is made, that of a join is only guessed.
+    """
+    rows = link(rows, t["income"], "ic", f"ic.income = {income}")
+    return link(rows, t["drg_chrgitem"], "g", "g.drg_chrgitem_id = ic.drg_chrgitem_id")
 
 
 def with_payer_charges(stays: DataFrame, t: Tables, table: str, key: str) -> DataFrame:
@@ -461,7 +465,7 @@ def fdh_cha(t: Tables, p: Params) -> DataFrame:
     """Payer charge per visit or admission and charge group."""
 
     def layout(rows: DataFrame, key: str, day: str, ipt_type: Column, admit: Column) -> DataFrame:
-        rows = link(rows, charge_groups(t), "g", "g.income = c.income")
+        rows = with_charge_group(rows, t, "c.income")
         rows = link(rows, t["pttype"], "s", "s.pttype = v.pttype")
         rows = link(rows, t["patient"], "pt", "pt.hn = v.hn")
         return rows.select(
@@ -542,11 +546,9 @@ def fdh_labfu(t: Tables, p: Params) -> DataFrame:
     tests = link(t["lab_head"].alias("h"), t["lab_order"], "lo", "lo.lab_order_number = h.lab_order_number").select(
         *picks("h.vn, lo.lab_items_code, lo.lab_order_result")
     )
-    codes = link(t["lab_items"].alias("li"), t["sys_lab_link"], "k", "k.lab_items_code = li.lab_items_code").select(
-        *picks("li.lab_items_code, k.sys_lab_code_id")
-    )
     visits = scoped_visits(t, p).select("vn", "hn", "vstdate")
-    rows = link(with_children(visits, tests, "vn").alias("v"), codes, "k", "k.lab_items_code = v.lab_items_code")
+    rows = link(with_children(visits, tests, "vn").alias("v"), t["lab_items"], "li", "li.lab_items_code = v.lab_items_code")
+    rows = link(rows, t["sys_lab_link"], "k", "k.lab_items_code = li.lab_items_code")
     rows = link(rows, t["patient"], "p", "p.hn = v.hn", "inner")
     return rows.select(
         *picks("p.hn, p.cid, v.vstdate, v.vn, k.sys_lab_code_id, v.lab_order_result"),

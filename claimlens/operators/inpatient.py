@@ -23,11 +23,11 @@ from claimlens.operators.fdh import (
     OPERATION_COLUMNS,
     admission_checks,
     admission_rows,
-    charge_groups,
     diagnosis_rows,
     operation_checks,
     operation_rows,
     scoped_admissions,
+    with_charge_group,
     with_payer_charges,
 )
 from claimlens.operators.scope import active_schemes, date_window, keep_schemes, link, with_children
@@ -225,7 +225,7 @@ def ipn_invoices(t: Tables, p: Params) -> DataFrame:
 def ipn_billitems(t: Tables, p: Params) -> DataFrame:
     """Payer charge per admission and charge group, checked to be positive."""
     rows = with_payer_charges(scoped_admissions(t, p, fund=FUND), t, "incith", "an")
-    rows = link(rows, charge_groups(t), "g", "g.income = c.income")
+    rows = with_charge_group(rows, t, "c.income")
     rows = link(rows, t["pttype"], "s", "s.pttype = v.pttype")
     rows = link(rows, t["patient"], "pt", "pt.hn = v.hn")
     return rows.select(

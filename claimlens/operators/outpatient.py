@@ -17,6 +17,7 @@ from claimlens.functions.flags import (
     product,
     yn,
 )
+from claimlens.operators.fdh import with_charge_group
 from claimlens.operators.scope import (
     PAYER_PAYS,
     date_window,
@@ -68,17 +69,12 @@ def billtran(t: Tables, p: Params, ssop: bool = False) -> DataFrame:
     by citizen number, and also checks the main hospital.  A fund code stands
     for its scheme groups here as everywhere else.
     """
-    plans = link(
-        t["pttype"].where(fund_filter(p.fund or "SSS")).alias("s"),
-        t["pttype_upp_type"],
-        "u",
-        "u.pttype_upp_type_id = s.pttype_upp_type_id",
-    ).select(*picks("s.pttype, u.pttype_upp_type_code"))
     debts = t["rcpt_debt"].where("total_amount > 0")
     debts = debts.select("vn", "debt_id", "debt_date_time", "amount", "total_amount", "sss_approval_code")
     rows = with_children(_billed_payers(t, p), debts, "vn").alias("v")
     rows = link(rows, t["rcpt_print"], "rc", "rc.vn = v.vn")
-    rows = link(rows, plans, "plan", "plan.pttype = v.pttype")
+    rows = link(rows, t["pttype"].where(fund_filter(p.fund or "SSS")), "s", "s.pttype = v.pttype")
+    rows = link(rows, t["pttype_upp_type"], "plan", "plan.pttype_upp_type_id = s.pttype_upp_type_id")
     rows = link(rows, t["patient"], "p", "p.hn = v.hn")
     vercode = "p.cid" if ssop else "v.sss_approval_code"
     flags = {"invno": known("v.debt_id"), "vercode": filled(vercode)}
@@ -152,15 +148,11 @@ def billitems(t: Tables, p: Params) -> DataFrame:
     lines = lines.dropDuplicates()
     debts = link(t["rcpt_debt"].alias("rd"), t["rcpt_debt_detail"], "x", "x.debt_id = rd.debt_id")
     debts = debts.select(*picks("rd.vn, rd.debt_id, x.total_amount")).dropDuplicates()
-    groups = link(
-        t["income"].alias("ic"), t["drg_chrgitem"], "dc", "dc.drg_chrgitem_id = ic.drg_chrgitem_id"
-    ).select(*picks("ic.income, dc.chrgitem_code1"))
-
     rows = link(lines.alias("op"), debts, "rd", "rd.vn = op.vn")
     rows = link(rows, t["nondrugitems"], "n", "n.icode = op.icode")
     rows = link(rows, t["drugitems"], "dr", "dr.icode = op.icode")
     rows = link(rows, t["drugitems_sks"], "ds", "ds.icode = dr.icode")
-    rows = link(rows, groups, "g", "g.income = op.income")
+    rows = with_charge_group(rows, t, "op.income")
     rows = link(rows, t["patient"], "p", "p.hn = op.hn")
 
     is_drug = F.col("op.income") == "03"

@@ -16,7 +16,7 @@ BASIC_RULES = """
 doctor   | doctor          | active=Y         | name pname fname lname licenseno cid position_id
 officer  | officer         | officer_active=Y | officer_login_name officer_name officer_group_list_text officer_cid
 pttype   | pttype          | isuse=Y          | name pcode paidst hipdata_code nhso_code grouper_release
-clinic   | clinic          | active_status=Y  | name hosxp_clinic_type_id chronic no_export
+clinic   | clinic          | active_status=Y  | name clinic_type_id chronic no_export
 ward     | ward            | ward_active=Y    | name spclty
 ward     | roomno          | active=Y         | name roomtype ward
 drug     | drugitems       | istatus=Y        | name strength_name dosage_id units price1!0!0.00
@@ -45,7 +45,7 @@ pttype | pttype | isuse=Y & hipdata_code IN ('OFC','SSS') & name NOT ILIKE '%ต
 pttype | pttype | isuse=Y & hipdata_code IN ('OFC','SSS') | finance_round_money!Y
 pttype | pttype_service_charge | | pttype
 clinic | kskdepartment | depcode_active=Y | department hospital_department_id spclty depcode_active
-clinic | clinic | active_status=Y | name hosxp_clinic_type_id chronic app_limit_qty no_export active_status
+clinic | clinic | active_status=Y | name clinic_type_id chronic app_limit_qty no_export active_status
 clinic | spclty | active_status=Y | name no_export_43 no_service_charge active_status
 ward | ward | ward_active=Y | name spclty ward_active
 ward | roomno | active=Y | name roomtype
@@ -94,6 +94,7 @@ keyword | pe_text | | pe_name
 """
 
 # Other names a column goes by, for the columns the rules name.
+# A name that starts with * stands for any column with that ending.
 COLUMN_ALIASES = {
     name: tuple(others.split())
     for name, others in {
@@ -132,6 +133,7 @@ COLUMN_ALIASES = {
         "drugtime": "time drug_time",
         "dose": "drug_dose dosage",
         "officer_group_name": "name group_name",
+        "clinic_type_id": "*_clinic_type_id",
     }.items()
 }
 

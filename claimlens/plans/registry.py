@@ -9,11 +9,12 @@ from functools import partial
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from claimlens.functions.numbering import dense_ids, number_within
 from claimlens.operators import audit, catalogue, corrections, fdh, inpatient, outpatient, rules, scoreboard
 from claimlens.operators.invoice import Invoices, next_debt_id
-from claimlens.operators.scope import date_window
+from claimlens.operators.scope import billed_visits, date_window, payer_scope
 from claimlens.params import Params
-from claimlens.plans import oracle_audit, oracle_catalogue, oracle_changes, oracle_fdh, oracle_inpatient, oracle_outpatient, oracle_rules
+from claimlens.plans import oracle_audit, oracle_blocks, oracle_catalogue, oracle_changes, oracle_fdh, oracle_inpatient, oracle_outpatient, oracle_rules
 from claimlens.plans.audit_rules import Rule
 from claimlens.plans.sqltext import dated
 from claimlens.sources.binding import bind, with_clause
@@ -130,6 +131,32 @@ SCOREBOARD: dict[str, Operator] = {
 
 
 
+# -- shared blocks ---------------------------------------------------------------
+
+
+def _scoped(mode: str, **choice) -> Operator:
+    """Visits and schemes of the visit-payer rows that a payer scope keeps."""
+
+    def run(t: Tables, p: Params) -> DataFrame:
+        rows = t["visit_pttype"].select("vn", "pttype", "pttype_number")
+        return payer_scope(rows, "pttype", t, p.but(**choice), mode, "FDH")
+
+    return run
+
+
+BLOCKS: dict[str, Operator] = {
+    "payer_scope_override": _scoped("override", payers=("10", "14")),
+    "payer_scope_intersect": _scoped("intersect", payers=("10", "14"), fund="ECLAIM"),
+    "payer_scope_groups": _scoped("groups", groups=("OFC", "LGO"), payers=("12", "14", "18")),
+    "billed_visits": billed_visits,
+    "dense_ids": lambda t, p: dense_ids(t["orders"].select("o_orderkey", "o_custkey"), ["o_custkey", "o_orderkey"], "id", 100),
+    "number_within": lambda t, p: number_within(
+        t["lineitem"].select("l_returnflag", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").distinct(),
+        ["l_returnflag"], ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"],
+    ),
+}
+
+
 # -- corrections and invoices ----------------------------------------------------
 
 
@@ -201,6 +228,7 @@ INVOICE: dict[str, Operator] = {
 }
 
 QUERIES: dict[str, Query] = {
+    **_family(BLOCKS, oracle_blocks.SQL),
     **_family(FDH, oracle_fdh.SQL),
     **_family(INPATIENT, oracle_inpatient.SQL),
     **_family(RULES, oracle_rules.SQL),

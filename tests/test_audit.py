@@ -33,6 +33,7 @@ def test_resolve_column():
     assert audit.resolve_column(["A", "Is_Active"], "active") == "Is_Active"
     assert audit.resolve_column(["active", "is_active"], "active") == "active"
     assert audit.resolve_column(["a"], "active") is None
+    assert audit.resolve_column(["x", "abc_clinic_type_id"], "clinic_type_id") == "abc_clinic_type_id"
 
 
 def test_rules_are_counted(tables):
