@@ -45,9 +45,9 @@ def main() -> None:
     names = [a for a in sys.argv[1:] if not a.startswith("--")] or HEADLINE
     if "--all" in sys.argv:
         names = list(QUERIES)
-    # read every driver table once so that no query pays for the cold start
-    for name in ("orders", "lineitem", "part", "customer", "supplier"):
-        spark.read.parquet(f"{sf_dir}/{name}.parquet").write.format("noop").mode("overwrite").save()
+    # run queries outside the list first so that no timed query pays for the cold start
+    for name in ("visit_expenses", "fdh_oop", "dense_ids"):
+        QUERIES[name].run(spark, sf_dir).write.format("noop").mode("overwrite").save()
     seconds = {}
     for name in names:
         start = time.time()

@@ -18,11 +18,19 @@ _ROW_BITS = 33  # monotonically_increasing_id keeps the row number in the low 33
 
 
 def checkpoint_ready(spark: SparkSession) -> None:
-    """Make sure checkpoints have a folder; the cluster's shared one comes first."""
+    """Make sure checkpoints have a folder: the one the session names, shared by all machines.
+
+    Only a local session, as in tests, may fall back to a folder of its own.
+    """
     context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="claimlens-checkpoint-"))
+    if context.getCheckpointDir() is not None:
+        return
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None:
+        if not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that every machine can read")
+        folder = tempfile.mkdtemp(prefix="claimlens-checkpoint-")
+    context.setCheckpointDir(folder)
 
 
 def durable(df: DataFrame) -> DataFrame:

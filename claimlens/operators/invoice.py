@@ -21,6 +21,7 @@ from claimlens.sources.tables import Tables
 
 _DEBT_KEYS = ["vn", "hn", "vstdate", "vsttime", "staff", "pttype"]
 _STATES = ("01", "02", "03")
+_AMOUNTS = [*[f"s{s}" for s in _STATES], "total", "discount"]
 
 
 class Invoices:
@@ -63,20 +64,23 @@ class Invoices:
         return self.asked.join(self.visits.select("vn"), "vn", "left_anti")
 
     @cached_property
-    def sums(self) -> DataFrame:
-        """Charge sums per visit, staff, payer and income: the one pass over the lines.
+    def charges(self) -> DataFrame:
+        """What the visits' lines add to each paid state, the total and the discount.
 
-        Kept on disk when all tables are built together, since four of them use it.
+        When all tables are built together the lines are summed once per visit,
+        staff, payer and income and kept on disk, since five tables roll that up.
+        A single table sums the lines directly.
         """
         price = F.col("sum_price")
-        by_state = [F.sum(F.when(F.col("paidst") == s, price).otherwise(0)).alias(f"s{s}") for s in _STATES]
+        by_state = [F.when(F.col("paidst") == s, price).otherwise(0).alias(f"s{s}") for s in _STATES]
         lines = self.t["opitemrece"].join(self.visits.select("vn"), "vn", "left_semi")
-        rows = lines.groupBy(*_DEBT_KEYS, "income").agg(*by_state, F.sum(price).alias("total"), F.sum("discount").alias("discount"))
-        return durable(rows) if self._shared else rows
+        rows = lines.select(*_DEBT_KEYS, "income", *by_state, price.alias("total"), "discount")
+        if not self._shared:
+            return rows
+        return durable(rows.groupBy(*_DEBT_KEYS, "income").agg(*[F.sum(c).alias(c) for c in _AMOUNTS]))
 
     def _rolled(self, *keys: str) -> DataFrame:
-        sums = [money(F.sum(c)).alias(c) for c in (*[f"s{s}" for s in _STATES], "total", "discount")]
-        return self.sums.groupBy(*keys).agg(*sums)
+        return self.charges.groupBy(*keys).agg(*[money(F.sum(c)).alias(c) for c in _AMOUNTS])
 
     # -- transfer ----------------------------------------------------------
 
