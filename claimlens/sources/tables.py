@@ -23,6 +23,9 @@ class Tables(Mapping[str, DataFrame]):
             self._built[name] = maker if isinstance(maker, DataFrame) else maker()
         return self._built[name]
 
+    def __contains__(self, name: object) -> bool:
+        return name in self._makers  # without building the table
+
     def __iter__(self) -> Iterator[str]:
         return iter(self._makers)
 

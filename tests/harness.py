@@ -60,7 +60,7 @@ def compare(spark, con, name: str, sf_dir: str, params=None) -> dict:
     rows = df.collect()
     took = time.time() - start
     names = df.columns
-    result = {"name": name, "rows": len(rows), "sec": round(took, 2), "ok": None, "why": ""}
+    result = {"name": name, "rows": len(rows), "sec": round(took, 2), "ok": None, "why": "", "df": df}
     sql = query.oracle(params)
     if sql is None:
         return result

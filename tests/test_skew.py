@@ -8,9 +8,8 @@ from claimlens.plans.registry import QUERIES
 from claimlens.sources.binding import DRIVER_TABLES
 
 HOT = [
-    "billitems", "opservice", "dispenseditem", "dispensing", "opdx", "fdh_orf", "fdh_cha", "fdh_dru", "fdh_phdb", "fdh_idx",
-    "fdh_labfu", "cipn_ipdx", "cipn_ipop", "cipn_invoices", "cipn_billitems", "walkin_with_cancer", "cancer_missing_z",
-    "fill_diagnosis_slots", "invoice_transfer_detail", "invoice_debt",
+    "billtran", "billitems", "opservice", "dispensing", "opdx", "fdh_orf", "fdh_cha", "fdh_dru", "fdh_phdb", "fdh_idx",
+    "cipn_ipdx", "cipn_invoices", "cipn_billitems", "walkin_with_cancer", "fill_diagnosis_slots", "invoice_transfer_detail",
 ]
 
 
