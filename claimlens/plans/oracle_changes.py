@@ -77,6 +77,25 @@ FROM visit_pttype v LEFT JOIN u ON u.vn = v.vn AND u.pttype = v.pttype""",
 WITH {_LAST_UPDATE}
 SELECT count(*) FILTER (WHERE (vn, pttype) IN (SELECT (vn, pttype) FROM visit_pttype)) AS matched,
   count(*) FILTER (WHERE (vn, pttype) NOT IN (SELECT (vn, pttype) FROM visit_pttype)) AS unmatched FROM u""",
+    "debt_approval": """
+SELECT d.* REPLACE (CASE WHEN u.debt_id IS NULL THEN d.sss_approval_code ELSE coalesce(u.sss_approval_code, '') END AS sss_approval_code)
+FROM rcpt_debt d LEFT JOIN approval_updates u ON u.debt_id = d.debt_id""",
+    "admission_approval": """
+SELECT y.* REPLACE (CASE WHEN u.an IS NULL THEN y.auth_code ELSE trim(coalesce(u.auth_code, '')) END AS auth_code)
+FROM ipt_pttype y LEFT JOIN approval_updates u ON u.an = y.an""",
+    "lab_opt_out": """
+SELECT l.* REPLACE (CASE WHEN u.icode IS NULL THEN l.no_lab_catalog WHEN u.no_lab_catalog = 'Y' THEN 'Y' END AS no_lab_catalog)
+FROM lab_items l LEFT JOIN lab_switches u ON u.icode = l.icode""",
+    "drug_field_edits": """
+WITH e AS (
+  SELECT icode, field, trim(value) AS clean FROM drug_edits WHERE field <> 'name'
+    AND NOT (field = 'sks_price' AND value IS NOT NULL AND TRY_CAST(trim(value) AS DECIMAL(12,2)) IS NULL))
+SELECT d.* REPLACE (
+  CASE WHEN e.field = 'sks_price' THEN CAST(e.clean AS DECIMAL(12,2)) ELSE d.sks_price END AS sks_price,
+  CASE WHEN e.field = 'sks_drug_code' THEN e.clean ELSE d.sks_drug_code END AS sks_drug_code,
+  CASE WHEN e.field = 'sks_product_category_id' THEN e.clean ELSE d.sks_product_category_id END AS sks_product_category_id,
+  CASE WHEN e.field = 'sks_clain_control_type_id' THEN e.clean ELSE d.sks_clain_control_type_id END AS sks_clain_control_type_id)
+FROM drugitems d LEFT JOIN e ON e.icode = d.icode""",
     "insert_missing": """
 SELECT code FROM sks_icd10tm_check
 UNION ALL SELECT DISTINCT code FROM ovst_sks_icd10tm

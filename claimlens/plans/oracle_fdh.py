@@ -1,6 +1,6 @@
 """SQL for the sixteen-file set."""
 
-from claimlens.plans.sqltext import FROM_TO, HOSPITAL, flags, has, name_of, scope, text, yn
+from claimlens.plans.sqltext import FROM_TO, HOSPITAL, flags, has, name_of, scope, text
 
 FDH = scope("FDH")
 VISITS = f"SELECT * FROM ovst WHERE vstdate {FROM_TO} AND pttype IN {FDH}"

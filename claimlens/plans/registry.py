@@ -169,6 +169,11 @@ def _hospital_updates(t: Tables) -> corrections.Changed:
     return corrections.apply_keyed_updates(t[rule.table], t["hospital_updates"], rule)
 
 
+def _update(name: str, updates: str) -> Operator:
+    rule = corrections.KEYED_UPDATES[name]
+    return lambda t, p: corrections.apply_keyed_updates(t[rule.table], t[updates], rule).table
+
+
 def _cancer_drugs(t: Tables) -> corrections.Changed:
     return corrections.upsert_by_key(t["drugitems_cancer"], t["cancer_drug_rows"], "icode")
 
@@ -189,6 +194,12 @@ def _without_lines(rule: Operator, code: str) -> Operator:
 CORRECTIONS: dict[str, Operator] = {
     "keyed_updates": lambda t, p: _hospital_updates(t).table,
     "keyed_updates_report": lambda t, p: _hospital_updates(t).report,
+    "debt_approval": _update("debt_approval", "approval_updates"),
+    "admission_approval": _update("admission_approval", "approval_updates"),
+    "lab_opt_out": _update("lab_opt_out", "lab_switches"),
+    "drug_field_edits": lambda t, p: corrections.apply_field_edits(
+        t["drugitems"], t["drug_edits"], corrections.general_policy("drugitems")
+    ).table,
     "insert_missing": lambda t, p: corrections.insert_missing(t["sks_icd10tm_check"], t["ovst_sks_icd10tm"], "code").table,
     "upsert_rows": lambda t, p: _cancer_drugs(t).table,
     "upsert_report": lambda t, p: _cancer_drugs(t).report,

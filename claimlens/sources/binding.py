@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 
 from claimlens.sources.tables import Tables
 
@@ -743,6 +743,20 @@ SELECT {txt('l_orderkey')} AS vn, CASE WHEN part_key % 9 = 0 THEN '' WHEN part_k
     {emp('part_key', 3, 4, "'2'")} AS diagtype, {txt('supp_key')} AS doctor_code, l_orderkey * 8 + line_no AS _pos
 FROM (SELECT l_orderkey, l_linenumber AS line_no, MIN(l_partkey) AS part_key, MIN(l_suppkey) AS supp_key
       FROM {{lineitem}} GROUP BY l_orderkey, l_linenumber) AS q JOIN {{orders}} ON o_orderkey = l_orderkey""",
+    "approval_updates": f"""
+SELECT o_orderkey * 2 AS debt_id, {AN} AS an, {emp('o_orderkey', 5, 6, "' N' || CAST(o_orderkey AS STRING) || ' '")} AS sss_approval_code,
+    {emp('o_orderkey', 4, 7, "' N' || CAST(o_orderkey AS STRING) || ' '")} AS auth_code, o_orderkey AS _pos
+FROM {{orders}} WHERE o_orderkey % 3 = 1""",
+    "lab_switches": f"""
+SELECT {service_of('k')} AS icode, CASE k % 3 WHEN 0 THEN 'Y' WHEN 1 THEN 'N' ELSE NULL END AS no_lab_catalog, k AS _pos
+{_SUP} WHERE k % 4 <> 1""",
+    "drug_edits": f"""
+SELECT {item('p_partkey')} AS icode,
+    CASE p_partkey % 5 WHEN 0 THEN 'sks_price' WHEN 1 THEN 'sks_drug_code' WHEN 2 THEN 'sks_product_category_id'
+        WHEN 3 THEN 'sks_clain_control_type_id' ELSE 'name' END AS field,
+    CASE p_partkey % 7 WHEN 0 THEN ' 12.50 ' WHEN 1 THEN 'x1' WHEN 2 THEN NULL WHEN 3 THEN '' ELSE CAST(p_partkey % 90 AS STRING) END AS value,
+    p_partkey AS _pos
+FROM {{part}} WHERE p_partkey % 3 <> 1""",
     "old_transfers": f"""
 SELECT CAST(l_orderkey AS STRING) || '-' || CAST(l_linenumber AS STRING) || '-' || CAST(l_partkey AS STRING) || '-'
         || CAST(l_suppkey AS STRING) AS hos_guid, {txt('l_orderkey')} AS vn, l_orderkey AS opd_opi_fn_tr_list_id
