@@ -24,6 +24,7 @@ from claimlens.operators.scope import (
     date_window,
     hospital_code,
     link,
+    of_visits,
     payer_scope,
     union_branches,
     with_children,
@@ -214,6 +215,13 @@ def _repeated(df: DataFrame, times: str) -> DataFrame:
     return blocks.withColumn("_i", F.explode(F.sequence(F.lit(1), size))).drop("_block", "_i", times)
 
 
+def _diagnoses(t: Tables, p: Params, match: str) -> DataFrame:
+    """The patient's diagnoses of all time, or those of the visits in the window."""
+    if match not in ("hn", "vn"):
+        raise ValueError(f"unknown match: {match}")
+    return of_visits(t, "ovstdiag", p) if match == "vn" else t["ovstdiag"]
+
+
 def fdh_orf(t: Tables, p: Params, match: str = "hn") -> DataFrame:
     """Visits referred in or out.
 
@@ -225,7 +233,7 @@ def fdh_orf(t: Tables, p: Params, match: str = "hn") -> DataFrame:
     rows = link(visits, t["referout"], "ro", "ro.vn = v.vn")
     rows = link(rows, t["referin"], "rn", "rn.vn = v.vn").where("ro.vn IS NOT NULL OR rn.vn IS NOT NULL")
     rows = link(rows, t["spclty"], "sp", "sp.spclty = v.spclty")
-    diagnoses = t["ovstdiag"].groupBy(match).agg(F.count(F.lit(1)).alias("n"))
+    diagnoses = _diagnoses(t, p, match).groupBy(match).agg(F.count(F.lit(1)).alias("n"))
     rows = link(rows, diagnoses, "dx", f"dx.{match} = v.{match}")
     rows = rows.select(
         *picks(
@@ -250,7 +258,7 @@ def fdh_odx(t: Tables, p: Params, match: str = "hn") -> DataFrame:
     ``match='vn'`` only with its own, which is linear in the data.
     """
     visits = scoped_visits(t, p).select("vn", "hn", "vstdate", "spclty")
-    diagnoses = t["ovstdiag"].select(match, "icd10", "diagtype", "doctor")
+    diagnoses = _diagnoses(t, p, match).select(match, "icd10", "diagtype", "doctor")
     rows = link(with_children(visits, diagnoses, match).alias("v"), t["spclty"], "sp", "sp.spclty = v.spclty")
     rows = link(rows, t["doctor"], "d", "d.code = v.doctor")
     rows = link(rows, t["patient"], "p", "p.hn = v.hn")
@@ -496,7 +504,7 @@ def fdh_dru(t: Tables, p: Params) -> DataFrame:
     """
     visits = scoped_visits(t, p).select("vn", "hn", "spclty", "vstdate", F.col("an").alias("visit_an"))
     keys = ["icode", "qty", "unitprice", "cost", "paidst", "doctor"]
-    lines = t["opitemrece"].where((F.col("qty") > 0) & (F.col("sum_price") > 0) & F.col("paidst").isin("01", "02", "03"))
+    lines = of_visits(t, "opitemrece", p).where((F.col("qty") > 0) & (F.col("sum_price") > 0) & F.col("paidst").isin("01", "02", "03"))
     lines = lines.select("vn", *keys).join(visits.select("vn"), "vn", "left_semi")
     lines = lines.groupBy("vn", *keys).agg(F.count(F.lit(1)).alias("n"))
     rows = with_children(visits, lines, "vn").alias("op")
@@ -564,10 +572,8 @@ def fdh_labfu(t: Tables, p: Params) -> DataFrame:
 
 def fdh_phdb(t: Tables, p: Params) -> DataFrame:
     """Public-health items of visits and admissions with four checks."""
-    priced = t["opitemrece"].where("qty > 0 AND sum_price > 0")
-
-    def layout(stays: DataFrame, key: str, source: str) -> DataFrame:
-        lines = priced.where(F.col(key).isNotNull()).select(
+    def layout(stays: DataFrame, charges: DataFrame, key: str, source: str) -> DataFrame:
+        lines = charges.where(F.col(key).isNotNull() & (F.col("qty") > 0) & (F.col("sum_price") > 0)).select(
             key, "icode", "qty", "unitprice", F.col("pttype").alias("line_pttype")
         )
         rows = link(with_children(stays, lines, key).alias("v"), t["nondrugitems"], "di", "di.icode = v.icode")
@@ -593,4 +599,8 @@ def fdh_phdb(t: Tables, p: Params) -> DataFrame:
         no_date.alias("regdate"), no_date.alias("dchdate"),
     )
     admissions = scoped_admissions(t, p).select("an", "vn", "hn", no_date.alias("service_date"), "regdate", "dchdate")
-    return union_branches(p, layout(visits, "vn", "OPD"), layout(admissions, "an", "IPD"))
+    return union_branches(
+        p,
+        layout(visits, of_visits(t, "opitemrece", p), "vn", "OPD"),
+        layout(admissions, t["opitemrece"], "an", "IPD"),
+    )

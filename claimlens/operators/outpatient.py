@@ -26,6 +26,7 @@ from claimlens.operators.scope import (
     keep_billed,
     limited,
     link,
+    of_visits,
     payer_scope,
     with_children,
 )
@@ -143,7 +144,7 @@ def billitems(t: Tables, p: Params) -> DataFrame:
     """
     line_columns = ["icode", "income", "qty", "unitprice", "sum_price", "paidst"]
     lines = link(
-        _visits(t, p, "SSS").alias("ov"), t["opitemrece"], "op", "op.vn = ov.vn", "inner"
+        _visits(t, p, "SSS").alias("ov"), of_visits(t, "opitemrece", p), "op", "op.vn = ov.vn", "inner"
     ).select(*picks("ov.vn, ov.hn, ov.vstdate"), *[F.col(f"op.{c}") for c in line_columns])
     lines = lines.dropDuplicates()
     debts = link(t["rcpt_debt"].alias("rd"), t["rcpt_debt_detail"], "x", "x.debt_id = rd.debt_id")
@@ -211,11 +212,10 @@ def visit_expenses(t: Tables, p: Params) -> DataFrame:
 # -- services ----------------------------------------------------------------
 
 
-def _main_diagnosis(t: Tables) -> DataFrame:
+def _main_diagnosis(t: Tables, p: Params) -> DataFrame:
     """Per visit: how many main diagnoses, the largest licence, any code given."""
-    rows = link(
-        t["ovstdiag"].where(F.col("diagtype") == MAIN_DIAGNOSIS).alias("di"), t["doctor"], "d", "d.code = di.doctor"
-    )
+    main = of_visits(t, "ovstdiag", p).where(F.col("diagtype") == MAIN_DIAGNOSIS)
+    rows = link(main.alias("di"), t["doctor"], "d", "d.code = di.doctor")
     return rows.groupBy(F.col("di.vn").alias("vn")).agg(
         F.count(F.lit(1)).alias("n_diag"),
         F.max("d.licenseno").alias("licenseno"),
@@ -230,7 +230,8 @@ def opservice(t: Tables, p: Params) -> DataFrame:
     reduced per visit first instead of being multiplied with one another.
     """
     visits = _visits(t, p, "SSS")
-    lines = link(visits.select("vn").alias("ov"), t["opitemrece"].select("vn", "icode"), "oi", "oi.vn = ov.vn", "inner")
+    lines = of_visits(t, "opitemrece", p).select("vn", "icode")
+    lines = link(visits.select("vn").alias("ov"), lines, "oi", "oi.vn = ov.vn", "inner")
     lines = link(lines, t["nondrugitems"], "n", "n.icode = oi.icode")
     service = F.lit("ZZ")
     for income, name in SERVICE_CLASS.items():
@@ -243,7 +244,7 @@ def opservice(t: Tables, p: Params) -> DataFrame:
 
     rows = link(visits.alias("ov"), services, "sv", "sv.vn = ov.vn", "inner")
     rows = link(rows, debts, "rc", "rc.vn = ov.vn")
-    rows = link(rows, _main_diagnosis(t), "di", "di.vn = ov.vn")
+    rows = link(rows, _main_diagnosis(t, p), "di", "di.vn = ov.vn")
     rows = link(rows, appointments, "oa", "oa.vn = ov.vn")
     rows = link(rows, t["ovstist"], "ti", "ti.ovstist = ov.ovstist")
     rows = link(rows, t["ovstost"], "to", "to.ovstost = ov.ovstost")
@@ -382,7 +383,7 @@ def dispensing(t: Tables, p: Params, plan: str = "CS", fanout: str = "reference"
     if fanout not in ("reference", "per_visit"):
         raise ValueError(f"unknown fanout: {fanout}")
     visits = _visits(t, p, "SSS")
-    lines = t["opitemrece"].groupBy("vn").agg(
+    lines = of_visits(t, "opitemrece", p).groupBy("vn").agg(
         F.count("icode").alias("n_items"), F.sum("unitprice").alias("unit_prices")
     )
     debts = t["rcpt_debt"].groupBy("vn", "paid").agg(
@@ -390,7 +391,7 @@ def dispensing(t: Tables, p: Params, plan: str = "CS", fanout: str = "reference"
     )
     rows = link(visits.alias("ov"), lines, "oi", "oi.vn = ov.vn", "inner")
     rows = link(rows, debts, "rc", "rc.vn = ov.vn")
-    rows = link(rows, _main_diagnosis(t), "di", "di.vn = ov.vn")
+    rows = link(rows, _main_diagnosis(t, p), "di", "di.vn = ov.vn")
     rows = link(rows, t["patient"], "pa", "pa.hn = ov.hn")
     times = F.lit(1)
     if fanout == "reference":
@@ -419,20 +420,20 @@ def _visits_with_operation(t: Tables) -> DataFrame:
     return t["doctor_operation"].where(filled("icd9")).select("vn").distinct()
 
 
-def _visits_with_lab_code(t: Tables) -> DataFrame:
+def _visits_with_lab_code(t: Tables, p: Params) -> DataFrame:
     """Visits charged for a service that is a lab item with a national test code."""
     services = t["lab_items"].where(filled("tmlt_code")).select("icode").distinct()
     services = services.join(t["nondrugitems"].select("icode"), "icode", "left_semi")
-    return t["opitemrece"].join(services, "icode", "left_semi").select("vn").distinct()
+    return of_visits(t, "opitemrece", p).join(services, "icode", "left_semi").select("vn").distinct()
 
 
 def opdx(t: Tables, p: Params) -> DataFrame:
     """Diagnoses per visit: class, rank, and code set by priority IN, LC, TT."""
     visits = _visits(t, p, "SSS").select("vn", "hn", "vstdate")
-    diagnoses = t["ovstdiag"].select("vn", F.lit(True).alias("has_diagnosis"), "icd10", "diagtype")
+    diagnoses = of_visits(t, "ovstdiag", p).select("vn", F.lit(True).alias("has_diagnosis"), "icd10", "diagtype")
     rows = with_children(visits, diagnoses, "vn").alias("di")
     rows = link(rows, _visits_with_operation(t), "o", "o.vn = di.vn AND di.has_diagnosis")
-    rows = link(rows, _visits_with_lab_code(t), "l", "l.vn = di.vn")
+    rows = link(rows, _visits_with_lab_code(t, p), "l", "l.vn = di.vn")
     rows = link(rows, t["icd101"], "i", "i.code = di.icd10")
     rows = link(rows, t["patient"], "pt", "pt.hn = di.hn")
     operated, tested, coded = known("o.vn"), known("l.vn"), filled("di.icd10")

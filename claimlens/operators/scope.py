@@ -34,6 +34,12 @@ def date_window(column: str, p: Params) -> Column:
     return F.col(column).between(F.lit(p.date_from), F.lit(p.date_to))
 
 
+def of_visits(t: Tables, table: str, p: Params) -> DataFrame:
+    """Charge lines or diagnoses to be joined to the visits of the window."""
+    rows = t[table]
+    return rows.where(date_window("vstdate", p)) if p.dated_children else rows
+
+
 def active_schemes(t: Tables, groups: Sequence[str], only_in_use: bool = True) -> DataFrame:
     schemes = t["pttype"].where(F.col("hipdata_code").isin(*groups))
     return schemes.where("isuse = 'Y'") if only_in_use else schemes

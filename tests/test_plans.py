@@ -52,6 +52,19 @@ def test_window_and_columns_reach_the_scan(spark, tmp_path, sf):
     assert "hospmain" not in payers
 
 
+def test_dated_children_prune_partitions(spark, tmp_path, sf):
+    bound = bind(spark, sf)
+    for name in ("ovst", "pttype", "ovstdiag", "spclty", "doctor", "patient"):
+        writer = bound[name].write.partitionBy("vstdate") if name == "ovstdiag" else bound[name].write
+        writer.parquet(str(tmp_path / name))
+    t = Tables(spark, {p.name: spark.read.parquet(str(p)) for p in tmp_path.iterdir()})
+    p = Params("1996-01-01", "1996-01-31")
+    for promised in (False, True):
+        plan = physical(fdh.fdh_odx(t, p.but(dated_children=promised), match="vn"))
+        scan = next(line for line in plan.splitlines() if "FileScan" in line and "icd10" in line)
+        assert ("vstdate" in scan.split("PartitionFilters: ")[1].split("]")[0]) == promised
+
+
 def test_statistics_read_three_columns(spark, tmp_path, sf):
     bound = bind(spark, sf)
     for name in ("ovst", "pttype"):

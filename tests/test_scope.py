@@ -4,7 +4,7 @@ import datetime as dt
 
 import pytest
 
-from claimlens.operators import fdh, inpatient, outpatient
+from claimlens.operators import fdh, inpatient, outpatient, rules
 from claimlens.operators.scope import payer_scope, with_children
 from claimlens.params import Params
 from claimlens.sources.binding import bind
@@ -69,6 +69,17 @@ def test_two_windows_make_one(spark, sf, name):
     assert parts.exceptAll(whole).count() == 0 and whole.exceptAll(parts).count() == 0
 
 
+@pytest.mark.parametrize(
+    "operator",
+    [outpatient.billitems, outpatient.opservice, outpatient.dispensing, outpatient.opdx, fdh.fdh_dru, fdh.fdh_phdb, rules.cancer_missing_z],
+)
+def test_dated_children_change_the_scan_and_not_the_rows(spark, sf, operator):
+    t = bind(spark, sf)
+    p = Params("1996-01-01", "1997-12-31")
+    whole, pruned = operator(t, p), operator(t, p.but(dated_children=True))
+    assert whole.exceptAll(pruned).count() == 0 and pruned.exceptAll(whole).count() == 0
+
+
 def test_intersect_is_within_override(spark, sf):
     t = bind(spark, sf)
     p = Params("1995-01-01", "2002-01-01", payers=("10", "12"))
