@@ -3,11 +3,12 @@
 Fit, on a bounded sample of labelled documents (``Params.sample`` rows of at most
 ``Params.sample_bytes`` each, in hash order):
 
-1. Tokens are runs of letters, lower-cased.  Words that explain the toxic documents (in
-   turn the one in most toxic documents not yet explained, as long as it is rare in the
-   others) label the tokens of the sample.
-2. The field has two states; its features are the token's word, the words before and
-   after it and a bias, hashed to ``Params.buckets``; transitions are free.  Sentences
+1. Tokens are runs of letters, lower-cased.  Words and word beginnings that explain the
+   toxic documents (in turn the one in most toxic documents not yet explained, as long
+   as it is rare in the others) label the tokens of the sample.
+2. The field has two states; its features are the token's word, its first four and five
+   bytes, the words before and after it and a bias, hashed to ``Params.buckets``;
+   transitions are free.  Sentences
    (cut at . ! ? and line ends) are the chains.  Weights are fitted by Adagrad on the
    log-likelihood, whose gradient comes from forward-backward marginals.
 3. A logistic function of the largest marginal and of the number of toxic tokens, fitted
@@ -38,19 +39,20 @@ from claimlens.llm.common import each_batch, id_text, map_arrow, text_chunks
 
 @dataclass(frozen=True)
 class Params:
-    sample: int = 3000
-    sample_bytes: int = 20_000
+    sample: int = 4000
+    sample_bytes: int = 6_000
     buckets: int = 1 << 16
-    steps: int = 15
+    steps: int = 8
     least_documents: int = 3
-    """Toxic documents that a labelling word must newly explain."""
-    precision: float = 0.9
+    least_share: float = 0.015
+    """Toxic documents, and share of them, that a labelling word must newly explain."""
+    precision: float = 0.95
     seed: int = 13
 
 
 @dataclass(frozen=True)
 class Model:
-    unary: np.ndarray  # (3, buckets) for the word, the one before and the one after: score of state 1 over 0
+    unary: np.ndarray  # (features, buckets): score of state 1 over 0
     bias: float
     step: np.ndarray  # (2, 2) transition scores
     score: np.ndarray  # logistic weights: constant, logit of the largest marginal, log of the toxic tokens
@@ -70,13 +72,25 @@ def tokens(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     return h, doc, first, end, new
 
 
-def _features(h: np.ndarray, new: np.ndarray, buckets: int) -> np.ndarray:
-    """(3, tokens) buckets; a missing neighbour is bucket 0."""
-    word = (h % np.uint64(buckets - 1)).astype(np.int64) + 1
-    out = np.zeros((3, len(h)), np.int64)
-    out[0] = word
-    out[1, 1:] = np.where(new[1:], 0, word[:-1])
-    out[2, :-1] = np.where(new[1:], 0, word[1:])
+def _features(units: np.ndarray, new: np.ndarray, buckets: int) -> np.ndarray:
+    """(features, tokens) buckets: units of the token, the words before and after; a missing one is bucket 0."""
+    own = (units % np.uint64(buckets - 1)).astype(np.int64) + 1
+    out = np.zeros((len(units) + 2, units.shape[1]), np.int64)
+    out[: len(units)] = own
+    out[-2, 1:] = np.where(new[1:], 0, own[0][:-1])
+    out[-1, :-1] = np.where(new[1:], 0, own[0][1:])
+    return out
+
+
+def _units(h: np.ndarray, data: np.ndarray, first: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """(3, tokens): hashes of the word and of its first four and five bytes."""
+    return np.stack([h, wordhash.prefixes(data, first, end, 4), wordhash.prefixes(data, first, end, 5)])
+
+
+def _energy(model_unary: np.ndarray, bias: float, features: np.ndarray) -> np.ndarray:
+    out = np.full(features.shape[1], bias)
+    for weights, at in zip(model_unary, features, strict=True):
+        out += weights[at]
     return out
 
 
@@ -111,22 +125,26 @@ def _marginals(unary: np.ndarray, step: np.ndarray, new: np.ndarray) -> tuple[np
     return p, pair.sum(axis=0)
 
 
-def _label_words(h: np.ndarray, doc: np.ndarray, toxic: np.ndarray, p: Params) -> np.ndarray:
-    """Hashes of the words that explain the toxic documents."""
-    pairs = np.unique(np.stack([h, doc.astype(np.uint64)], 1), axis=0)
-    word, at = np.unique(pairs[:, 0], return_inverse=True)
+def _labels(units: np.ndarray, doc: np.ndarray, toxic: np.ndarray, p: Params) -> np.ndarray:
+    """Whether each token has a unit that explains toxic documents."""
+    pairs = np.unique(np.stack([units.ravel(), np.tile(doc, len(units)).astype(np.uint64)], 1), axis=0)
+    unit, at = np.unique(pairs[:, 0], return_inverse=True)
     where = pairs[:, 1].astype(np.int64)
-    clean = np.bincount(at, ~toxic[where], len(word))
-    dirty = np.bincount(at, toxic[where], len(word))
-    allowed = dirty >= p.precision * (dirty + clean)
+    clean = np.bincount(at, ~toxic[where], len(unit))
+    dirty = np.bincount(at, toxic[where], len(unit))
+    useful = (dirty >= p.precision * (dirty + clean)) & (dirty >= p.least_documents)
+    rows = useful[at]
+    at, where = at[rows], where[rows]
     open_docs, chosen = toxic.copy(), []
-    while True:
-        gain = np.where(allowed, np.bincount(at, open_docs[where], len(word)), 0)
-        best = int(gain.argmax()) if len(gain) else 0
-        if not len(gain) or gain[best] < p.least_documents:
-            return np.array(sorted(chosen), np.uint64)
-        chosen.append(word[best])
+    least = max(p.least_documents, p.least_share * toxic.sum())
+    while len(at):
+        gain = np.bincount(at, open_docs[where], len(unit))
+        best = int(gain.argmax())
+        if gain[best] < least:
+            break
+        chosen.append(unit[best])
         open_docs[where[at == best]] = False
+    return np.isin(units, np.array(chosen, np.uint64)).any(axis=0)
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, rounds: int = 30) -> np.ndarray:
@@ -148,42 +166,44 @@ def _summary(p: np.ndarray, doc: np.ndarray, n: int) -> np.ndarray:
 
 
 def fit_texts(texts: list[str], toxic: np.ndarray, p: Params = Params()) -> Model:
-    flat = Model(np.zeros((3, p.buckets), np.float32), 0.0, np.zeros((2, 2)), np.zeros(3))
+    flat = Model(np.zeros((5, p.buckets), np.float32), 0.0, np.zeros((2, 2)), np.zeros(3))
     if not len(toxic) or toxic.all() or not toxic.any():
         share = float(toxic.mean()) if len(toxic) else 0.0
         return Model(flat.unary, 0.0, flat.step, np.array([40 * (share - 0.5), 0, 0]))
     raw = [t.encode() for t in texts]
     data = np.frombuffer(b"".join(raw), np.uint8)
-    h, doc, _, _, new = tokens(data, np.cumsum([0, *map(len, raw)]))
+    h, doc, first, end, new = tokens(data, np.cumsum([0, *map(len, raw)]))
     if not len(h):
         return Model(flat.unary, 0.0, flat.step, np.array([np.log(toxic.mean() / (1 - toxic.mean())), 0, 0]))
-    y = np.isin(h, _label_words(h, doc, toxic, p))
-    features = _features(h, new, p.buckets)
-    # start where the words alone would put the field, then fit all weights together
+    units = _units(h, data, first, end)
+    y = _labels(units, doc, toxic, p)
+    features = _features(units, new, p.buckets)
+    # start where the units alone would put the field, then fit all weights together
     share = y.mean()
-    bias = float(np.log((share + 1e-6) / (1 - share)))
-    toxic_tokens, all_tokens = np.bincount(features[0], y, p.buckets), np.bincount(features[0], minlength=p.buckets)
-    odds = (toxic_tokens + 0.5 * share + 1e-6) / (all_tokens - toxic_tokens + 0.5 * (1 - share))
-    unary, step = np.zeros((3, p.buckets)), np.zeros((2, 2))
-    unary[0] = np.clip(np.log(odds) - bias, -10, 20)
+    bias = float(np.log((share + 1e-6) / (1 - share + 1e-6)))
+    unary, step = np.zeros((len(features), p.buckets)), np.zeros((2, 2))
+    for k in range(len(units)):
+        hot, count = np.bincount(features[k], y, p.buckets), np.bincount(features[k], minlength=p.buckets)
+        odds = (hot + 0.5 * share + 1e-6) / (count - hot + 0.5 * (1 - share) + 1e-6)
+        unary[k] = np.where(count > 0, np.clip(np.log(odds) - bias, -9, 18), 0) / len(units)
     seen_u, seen_s, seen_b = np.full_like(unary, 1e-6), np.full_like(step, 1e-6), 1e-6
     inside = np.flatnonzero(~new)
     observed = np.zeros((2, 2))
     np.add.at(observed, (y[inside - 1].astype(int), y[inside].astype(int)), 1)
     for _ in range(p.steps):
-        q, expected = _marginals(bias + sum(unary[k][features[k]] for k in range(3)), step, new)
+        q, expected = _marginals(_energy(unary, bias, features), step, new)
         miss = y - q
-        for k in range(3):
+        for k in range(len(features)):
             g = np.bincount(features[k], miss, p.buckets) - 0.01 * unary[k]
             seen_u[k] += g * g
-            unary[k] += (0.5 if k == 0 else 0.1) * g / np.sqrt(seen_u[k])
+            unary[k] += (0.5 if k < len(units) else 0.1) * g / np.sqrt(seen_u[k])
         g = observed - expected - 0.02 * step
         seen_s += g * g
         step += 0.1 * g / np.sqrt(seen_s)
         g = miss.sum()
         seen_b += g * g
         bias += 0.1 * g / np.sqrt(seen_b)
-    q, _ = _marginals(bias + sum(unary[k][features[k]] for k in range(3)), step, new)
+    q, _ = _marginals(_energy(unary, bias, features), step, new)
     weights = _logistic(_summary(q, doc, len(toxic)), toxic.astype(float))
     return Model(unary.astype(np.float32), float(bias), step, weights)
 
@@ -205,8 +225,8 @@ def _scorer(model: Model):
                 h, doc, start, stop, new = tokens(data, at)
                 p = np.zeros(0)
                 if len(h):
-                    features = _features(h, new, model.unary.shape[1])
-                    p, _ = _marginals(model.bias + sum(model.unary[k][features[k]] for k in range(3)), model.step, new)
+                    features = _features(_units(h, data, start, stop), new, model.unary.shape[1])
+                    p, _ = _marginals(_energy(model.unary, model.bias, features), model.step, new)
                 z = np.clip(_summary(p, doc, n) @ model.score, -40, 40)
                 hot = np.flatnonzero(p >= 0.5)
                 fresh = np.ones(len(hot), bool)

@@ -4,11 +4,35 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from claimlens.llm import decontaminate, line_dedup, minhash, quality_rules, sharding
-from claimlens.llm.common import read
+from claimlens.llm import (
+    bpe, byte_cnn, crf, decontaminate, line_dedup, minhash, quality_rules, sharding, token_store, window_lm,
+)
+from claimlens.llm.common import read, shared_path
+
+
+def tokenizer(name: str) -> tuple[str, str]:
+    """(path of a public vocabulary, its split pattern)."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name), public_tokenizers.PATTERN
+
+
+def fold(modulus: int) -> Column:
+    """crc32 of the id as text, modulo ``modulus``."""
+    return F.crc32(F.col("doc_id").cast("string")) % modulus
+
+
+def quality_model(spark: SparkSession, sf_dir: str) -> byte_cnn.Model:
+    return byte_cnn.fit(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels").filter(fold(3) != 1))
+
+
+def op1_window_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    words, weights = window_lm.fit(docs)
+    return window_lm.score(docs, words, weights)
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,6 +51,12 @@ def op3_ring_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", law, "shard", "slot", grown)
 
 
+def op4_quality_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = byte_cnn.score(read(spark, sf_dir, "documents"), quality_model(spark, sf_dir))
+    held, predicted = F.coalesce(fold(3) == 1, F.lit(False)), (F.col("score") >= 0.5).cast("int")
+    return scored.select("doc_id", held.alias("held_out"), "score", predicted.alias("predicted"))
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document that loses lines: their numbers from 0."""
     removed = line_dedup.duplicate_lines(read(spark, sf_dir, "documents"))
@@ -37,6 +67,25 @@ def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(read(spark, sf_dir, "documents"), minhash.Params(width=3, percent=85))
 
 
+def op7_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path, pattern = tokenizer("byte_bpe_multi_50k.tiktoken")
+    return bpe.encode_decode(read(spark, sf_dir, "documents"), path, pattern, digest=True)
+
+
+def op8_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = shared_path(spark, "token-ids")
+    path, pattern = tokenizer("byte_bpe_50k.json")
+    token_store.write(read(spark, sf_dir, "documents"), folder, path, pattern, end_id=2)
+    return token_store.digests(spark, folder)
+
+
+def op9_toxicity_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels").filter(fold(5) != 0)
+    scored = crf.score(docs, crf.fit(docs, labels))
+    held, predicted = F.coalesce(fold(5) == 0, F.lit(False)), (F.col("score") >= 0.5).cast("int")
+    return scored.select("doc_id", held.alias("held_out"), "score", predicted.alias("predicted"), "span_starts", "span_ends")
+
+
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document and leaked benchmark item."""
     found = decontaminate.leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
@@ -45,6 +94,9 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op2_quality_rules, op3_ring_sharding, op5_line_dedup, op6_minhash, op10_decontamination)
-}
+    for f in (
+        op1_window_lm, op2_quality_rules, op3_ring_sharding, op4_quality_cnn, op5_line_dedup, op6_minhash,
+        op7_bpe_round_trip, op8_token_store, op9_toxicity_crf, op10_decontamination,
+    )
+}
 ORACLE_SQL = {"op2_quality_rules": quality_rules.ORACLE_SQL}

@@ -75,6 +75,15 @@ def words(
     return mix(h + (ends - starts).astype(np.uint64)), np.searchsorted(offsets, starts, "right") - 1, starts, ends
 
 
+def prefixes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, size: int) -> np.ndarray:
+    """Hash of the first ``size`` bytes of every word (of a shorter word: all), without case."""
+    values, h = _BYTE[LOWER], np.full(len(starts), size, np.uint64)
+    for k in range(size):
+        has = starts + k < ends
+        h = np.where(has, h * _U(_BASE) + values[data[np.where(has, starts + k, 0)]], h)
+    return mix(h)
+
+
 def shingles(h: np.ndarray, doc: np.ndarray, n_docs: int, width: int) -> tuple[np.ndarray, np.ndarray]:
     """(shingle hash, text number) of each run of ``width`` words; a shorter text is one shingle."""
     per = np.bincount(doc, minlength=n_docs)
