@@ -73,9 +73,9 @@ def join_text(*parts: Column) -> Column:
     return F.concat_ws("", *parts)
 
 
-def person_name(alias: str, title: bool = True) -> Column:
-    """Title, first name, blank, last name; missing parts are skipped."""
-    parts = [F.col(f"{alias}.fname"), F.lit(" "), F.col(f"{alias}.lname")]
+def person_name(alias: str, title: bool = True, between: str = " ") -> Column:
+    """Title, first name, ``between``, last name; missing parts are skipped."""
+    parts = [F.col(f"{alias}.fname"), F.lit(between), F.col(f"{alias}.lname")]
     return join_text(*([F.col(f"{alias}.pname")] if title else []), *parts)
 
 

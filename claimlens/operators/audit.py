@@ -358,7 +358,7 @@ def bill_sections(t: Tables, p: Params | None = None) -> DataFrame:
 # -- drill-down and counts -----------------------------------------------------
 
 
-def audit_missing_rows(t: Tables, rule: Rule, limit: int | None = 150) -> DataFrame:
+def audit_missing_rows(t: Tables, rule: Rule, limit: int | None = None) -> DataFrame:
     """Rows that miss the column, those in use first, then by the table's code.
 
     Sentinels count as missing here too.  The remaining columns make the order

@@ -47,7 +47,7 @@ class EditPolicy:
     yn_fields: frozenset[str] = field(default_factory=frozenset)
 
     def __post_init__(self) -> None:
-        if self.blank not in ("keep", "null"):
+        if self.blank not in ("keep", "null", "empty"):
             raise ValueError(f"unknown treatment of blanks: {self.blank}")
 
 
@@ -67,6 +67,7 @@ EDIT_POLICIES = {
             pttype_name="name", inscl="nhso_code", drg_group="grouper_version",
         ),
         yn_fields=frozenset(_SCHEME_SWITCHES.split()),
+        blank="empty",
     ),
     "income": EditPolicy(
         "income",
@@ -160,6 +161,8 @@ def apply_field_edits(df: DataFrame, edits: DataFrame, policy: EditPolicy) -> Ch
     value = F.when(switch, F.upper(F.substring(value, 1, 1))).otherwise(value)
     if policy.blank == "null":
         value = F.when(value != "", value)
+    elif policy.blank == "empty":
+        value = F.coalesce(value, F.lit(""))
     fits = F.lit(True)
     for name, column in fields.items():
         kind = kinds[column]
@@ -263,7 +266,9 @@ def apply_keyed_updates(df: DataFrame, updates: DataFrame, rule: KeyedUpdate) ->
 
 def insert_missing(df: DataFrame, rows: DataFrame, key: str) -> Changed:
     """Add the rows whose key is given and not there yet, once per key."""
-    rows = rows.where(F.col(key).isNotNull()).select(*[c for c in df.columns if c in rows.columns]).dropDuplicates([key])
+    columns = [c for c in df.columns if c in rows.columns]
+    given = _ordered(rows.where(F.col(key).isNotNull())).groupBy(F.col(key).alias("_key"))
+    rows = given.agg(F.min_by(F.struct(*columns), POSITION).alias("_row")).select("_row.*")
     new = rows.join(df.select(F.col(key).alias("_there")), F.col(key) == F.col("_there"), "left_anti")
     report = new.agg(F.count(F.lit(1)).alias("inserted"))
     return Changed(df.unionByName(new, allowMissingColumns=True), report)

@@ -222,11 +222,11 @@ def _diagnoses(t: Tables, p: Params, match: str) -> DataFrame:
     return of_visits(t, "ovstdiag", p) if match == "vn" else t["ovstdiag"]
 
 
-def fdh_orf(t: Tables, p: Params, match: str = "hn") -> DataFrame:
+def fdh_orf(t: Tables, p: Params, match: str = "vn") -> DataFrame:
     """Visits referred in or out.
 
-    The file is joined to the patient's diagnoses (``match='hn'``) or the
-    visit's (``'vn'``) without showing any of their columns, so the diagnoses
+    The file is joined to the visit's diagnoses (``match='vn'``) or, on request, the
+    patient's (``'hn'``) without showing any of their columns, so the diagnoses
     only decide how often a row is repeated and are counted, not joined.
     """
     visits = scoped_visits(t, p).alias("v")
@@ -251,11 +251,11 @@ def fdh_orf(t: Tables, p: Params, match: str = "hn") -> DataFrame:
     return _repeated(rows, "_times")
 
 
-def fdh_odx(t: Tables, p: Params, match: str = "hn") -> DataFrame:
+def fdh_odx(t: Tables, p: Params, match: str = "vn") -> DataFrame:
     """Outpatient diagnoses with four checks.
 
-    By default a visit is listed with all diagnoses of its patient; with
-    ``match='vn'`` only with its own, which is linear in the data.
+    A visit is listed with its own diagnoses, which is linear in the data; on request
+    (``match='hn'``) with all diagnoses of its patient, visits times diagnoses.
     """
     visits = scoped_visits(t, p).select("vn", "hn", "vstdate", "spclty")
     diagnoses = _diagnoses(t, p, match).select(match, "icd10", "diagtype", "doctor")

@@ -249,6 +249,6 @@ def cipn_group46(t: Tables, p: Params) -> DataFrame:
     rows = link(rows, t["patient"], "p", "p.hn = i.hn")
     return rows.select(
         *picks("p.hn, i.an, i.regdate AS date_admit, i.regtime AS time_admit, ip.auth_code, i.dchdate, i.dchtime"),
-        person_name("p").alias("ptname"),
+        person_name("p", between="  ").alias("ptname"),
         yn(filled("ip.auth_code") & ~F.col("ip.auth_code").startswith("PP")).alias("auth_code_check"),
     )

@@ -39,8 +39,9 @@ class Invoices:
         self.t, self.now = t, now
         self.first_ids = dict(first_ids or {})
         self._shared = False
-        columns = ["vn"] + (["vercode"] if "vercode" in visits.columns else [])
-        self.asked = visits.select(*columns).dropDuplicates(["vn"])
+        # a visit asked for twice takes the largest code, whatever the order of the rows
+        codes = [F.max("vercode").alias("vercode")] if "vercode" in visits.columns else []
+        self.asked = visits.groupBy("vn").agg(*codes) if codes else visits.select("vn").distinct()
 
     def _first(self, name: str) -> int | Column:
         return self.first_ids.get(name, 1)

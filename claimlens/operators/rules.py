@@ -214,8 +214,8 @@ def payer_code_unknown(t: Tables, p: Params | None = None) -> DataFrame:
 
 def controlled_name(names: str) -> str:
     """SQL text: one of the names occurs in any name column, in any letter case."""
-    pattern = "(?i)" + "|".join(names.split())
-    return "(" + " OR ".join(f"coalesce({c} RLIKE '{pattern}', FALSE)" for c in CONTROLLED_NAME_COLUMNS) + ")"
+    hits = (f"contains(lower({c}), '{name.lower()}')" for c in CONTROLLED_NAME_COLUMNS for name in names.split())
+    return "coalesce(" + " OR ".join(f"coalesce({hit}, FALSE)" for hit in hits) + ", FALSE)"
 
 
 def controlled_drug_class(t: Tables, p: Params | None = None) -> DataFrame:
@@ -224,7 +224,7 @@ def controlled_drug_class(t: Tables, p: Params | None = None) -> DataFrame:
     All classes are counted in one pass over the drug list.
     """
     drugs = t["drugitems"].where("istatus = 'Y'")
-    drugs = drugs.withColumn("income", F.lpad("income", 2, "0")).where(F.col("income").isin(*DRUG_INCOMES))
+    drugs = drugs.withColumn("income", F.when(F.length("income") == 1, F.lpad("income", 2, "0")).otherwise(F.col("income"))).where(F.col("income").isin(*DRUG_INCOMES))
     sums = []
     for i, names in enumerate(CONTROLLED_DRUGS.values()):
         hit = F.expr(controlled_name(names))

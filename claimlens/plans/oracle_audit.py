@@ -221,7 +221,7 @@ SQL = {
     ),
     "audit_missing_rows": """
 SELECT * FROM nondrugitems WHERE istatus = 'Y' AND (price IS NULL OR CAST(price AS VARCHAR) IN ('', '0', '0.00'))
-ORDER BY CASE WHEN istatus = 'Y' THEN 0 ELSE 1 END, icode LIMIT 150""",
+ORDER BY CASE WHEN istatus = 'Y' THEN 0 ELSE 1 END, icode""",
     "table_counts": """
 SELECT 'officer_group' AS table_name, count(*) AS cnt FROM officer_group
 UNION ALL SELECT 'officer_group_module_access', count(*) FROM officer_group_module_access

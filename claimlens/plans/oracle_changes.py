@@ -15,7 +15,7 @@ _FIELDS = {
 _EDITS = """
 e AS (
   SELECT pttype, field, _pos, CASE WHEN field IN ('print_presc_ned', 'finance_round_money') AND length(trim(value)) > 1
-    THEN upper(left(trim(value), 1)) ELSE trim(value) END AS clean FROM scheme_edits),
+    THEN upper(left(trim(value), 1)) ELSE coalesce(trim(value), '') END AS clean FROM scheme_edits),
 judged AS (
   SELECT e.*, CASE WHEN field = 'secret' THEN 'unknown_field'
     WHEN field = 'sks_benefit_plan_type_id' AND clean IS NOT NULL AND TRY_CAST(clean AS BIGINT) IS NULL THEN 'bad_value'

@@ -130,9 +130,11 @@ SELECT v.hn, c.provis_code, v.vstdate, v.vsttime, v.vn, y.request_funds, x.cc, x
          optype=has('f.nhso_fee_schedule_list_text'), typein=has('v.ovstist'), typeout=has('e.er_leave_status_id'))}
 FROM ({VISITS}) v LEFT JOIN spclty c ON c.spclty = v.spclty LEFT JOIN visit_pttype y ON y.vn = v.vn
 LEFT JOIN opdscreen x ON x.vn = v.vn LEFT JOIN ovst_seq f ON f.vn = v.vn LEFT JOIN er_regist e ON e.vn = v.vn""",
-    "fdh_orf": _orf("hn"),
+    "fdh_orf": _orf("vn"),
+    "fdh_orf_by_patient": _orf("hn"),
     "fdh_orf_by_visit": _orf("vn"),
-    "fdh_odx": _odx("hn"),
+    "fdh_odx": _odx("vn"),
+    "fdh_odx_by_patient": _odx("hn"),
     "fdh_odx_by_visit": _odx("vn"),
     "fdh_oop": f"""
 SELECT z.hn, v.vstdate AS dateopd, c.provis_code AS clinic, q.icd9 AS oper, m.licenseno AS dropid, p.cid AS person_id,

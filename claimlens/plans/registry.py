@@ -85,6 +85,8 @@ FDH = {
     "fdh_ins_opd_only": _with(fdh.fdh_ins, include_ipd=False),
     "fdh_orf_by_visit": partial(fdh.fdh_orf, match="vn"),
     "fdh_odx_by_visit": partial(fdh.fdh_odx, match="vn"),
+    "fdh_orf_by_patient": partial(fdh.fdh_orf, match="hn"),
+    "fdh_odx_by_patient": partial(fdh.fdh_odx, match="hn"),
 }
 
 INPATIENT = _of(

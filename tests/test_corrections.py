@@ -21,7 +21,7 @@ def test_field_edits(make):
     )
     changed = c.apply_field_edits(schemes, edits, c.EDIT_POLICIES["pttype"])
     assert rows(changed.table, "pttype", "name", "round_money", "pttype_upp_type_id") == [
-        ("1", "new", None, 5), ("2", "", "N", 9),
+        ("1", "new", "", 5), ("2", "", "N", 9),
     ]
     assert changed.report.first().asDict() == {"accepted": 6, "unknown_field": 1, "bad_value": 1, "unknown_key": 1}
 
