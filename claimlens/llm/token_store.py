@@ -198,15 +198,21 @@ def _crc(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             payload = memoryview(row["payload"])
             crc = [zlib.crc32(payload[4 * o : 4 * (o + n)]) for o, n in zip(offset.tolist(), length.tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, mask=nulls), pa.array(offset + row["start"]), pa.array(length), pa.array(crc, pa.int64())],
-                names=["doc_id", "start", "n_tokens", "ids_crc32"],
-            )
+                [
+                    pa.array(np.full(len(ids), row["part"], np.int32)), pa.array(np.full(len(ids), row["block"], np.int32)),
+                    pa.array(ids, mask=nulls), pa.array(offset), pa.array(length), pa.array(crc, pa.int64()),
+                ],
+                names=["part", "block", "doc_id", "offset", "n_tokens", "ids_crc32"],
+            )
 
 
 def digests(spark: SparkSession, folder: str) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32, every document found through its block's index."""
-    starts = blocks(spark, folder).select("part", "block", "start").withColumnsRenamed({"part": "p", "block": "b"})
-    table = spark.read.schema(BLOCK).parquet(folder).select("part", "block", "keys", "repeats", "nulls", "index", "payload")
-    rows = table.join(starts, F.expr("part = p and block = b"))
-    rows = rows.select("keys", "repeats", "nulls", "index", "payload", "start")
-    return map_arrow(rows, _crc, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    table = spark.read.schema(BLOCK).parquet(folder).select(
+        "part", "block", "keys", "repeats", "nulls", "index", "payload"
+    )
+    schema = "part int, block int, doc_id long, offset long, n_tokens long, ids_crc32 long"
+    found = map_arrow(table, _crc, schema)  # before the join, which then moves no payload
+    starts = blocks(spark, folder).select("part", "block", "start")
+    rows = found.join(starts, ["part", "block"])
+    return rows.select("doc_id", (F.col("start") + F.col("offset")).alias("start"), "n_tokens", "ids_crc32")
