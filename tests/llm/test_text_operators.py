@@ -257,8 +257,8 @@ def test_classifiers_on_held_out_rows(spark, docs, module, label, modulus, held)
 
 
 def test_toxic_spans_are_byte_offsets():
-    texts = [f"ünder a{k} tree they said idiot to b{k} there." for k in range(30)] + [
-        f"ünder c{k} tree they said water to d{k} there." for k in range(60)
+    texts = [f"ünder {k} tree they said idiot to {k} there." for k in range(30)] + [
+        f"ünder {k} tree they said water to {k} there." for k in range(60)
     ]
     model = crf.fit_texts(texts, np.array([True] * 30 + [False] * 60))
     import pyarrow as pa
