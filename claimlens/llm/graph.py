@@ -53,7 +53,8 @@ def link(members: DataFrame, verify: Callable[[DataFrame], DataFrame], pivot_rou
     company, which is the centre of a group of near copies); then the pivot leaves, and
     so do keys whose members are all connected.  What is left between different
     components is compared directly, as soon as it is small against the input.
-    ``verify`` takes distinct pairs (a, b) with a < b and returns the linked ones.
+    ``verify`` takes distinct pairs (a, b) with a < b and returns the linked ones.  Its
+    first call names every id that shares a key; later calls name only ids of the first.
     """
     # most keys have one member: they are counted by part of their bits, which is less to shuffle
     half = F.col("key").bitwiseAND(F.lit((1 << 48) - 1))
