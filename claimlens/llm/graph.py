@@ -32,7 +32,7 @@ def components(edges: DataFrame) -> DataFrame:
     while mark[0]:
         both = stars.union(stars.select(F.col("v").alias("u"), F.col("u").alias("v")))
         smallest = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(smallest, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = both.join(smallest, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         smallest = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(smallest, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         stars = store(small.union(smallest.select("u", F.col("m").alias("v"))).distinct(), "edges")
@@ -66,7 +66,7 @@ def link(members: DataFrame, verify: Callable[[DataFrame], DataFrame], pivot_rou
     members = members.join(company, "id").select("key", "id", "company", F.col("id").alias("component"))
     members = store(members, "members")
     total = members.count()
-    edges = known = None
+    known = None
     for turn in range(pivot_rounds + 1):
         if turn:
             left = known.select("id", F.col("component").alias("now"))
@@ -95,7 +95,8 @@ def link(members: DataFrame, verify: Callable[[DataFrame], DataFrame], pivot_rou
             pairs = pairs.select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b"))
             members, last = rest.drop("pivot", "theirs"), False
         found = store(verify(pairs.distinct()), "links")
-        edges = found if edges is None else edges.union(found)
+        # stars of what is known stand for all earlier links
+        edges = found if known is None else found.union(known.select("id", "component"))
         known = store(components(edges), "components")
         if last:
             break

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F  # noqa: E402
 
 import corpus_pipeline  # noqa: E402
 from claimlens.llm import (  # noqa: E402
-    bpe, byte_cnn, crf, decontaminate, line_dedup, minhash, quality_rules, sharding, token_store, window_lm,
+    bpe, byte_cnn, crf, decontaminate, graph, line_dedup, minhash, quality_rules, sharding, token_store, window_lm,
 )
 from claimlens.llm.common import shared_path  # noqa: E402
 from claimlens.llm.queries import QUERIES, fold  # noqa: E402
@@ -320,3 +320,21 @@ def test_pipeline(spark, sf, small):
     empty = hashlib.sha256(b"").hexdigest()
     assert out.filter(F.col("decoded_sha256") != empty).count() > 0.7 * out.count()
     assert benchmark
+
+
+def test_components_against_union_find(spark):
+    edges = [((k * 37) % 83, (k * 53 + 7) % 83) for k in range(45)] + [(k, k + 1) for k in range(100, 140)]
+    edges = [(a, b) for a, b in edges if a != b]
+    root = {node: node for edge in edges for node in edge}
+
+    def top(node):
+        while root[node] != node:
+            node = root[node]
+        return node
+
+    for a, b in edges:
+        a, b = top(a), top(b)
+        root[max(a, b)] = min(a, b)
+    found = graph.components(spark.createDataFrame(edges, "a long, b long")).collect()
+    assert len(found) == len(root)
+    assert {r.id: r.component for r in found} == {n: top(n) for n in root}
