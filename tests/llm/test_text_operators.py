@@ -134,6 +134,23 @@ def test_lines_on_awkward_rows(docs):
     assert line_dedup.duplicate_lines(docs.limit(0)).collect() == []
 
 
+def test_line_shingles_start_at_every_character(spark):
+    p = line_dedup.Params()
+    different = ["https://example.org/item/1" + "x" * 40, "https://example.org/item/1" + "y" * 40, "日本語" * 4 + "猫" * 9, "日本語" * 4 + "犬" * 9]
+    long = "".join(chr(0x4E00 + k) for k in range(300))
+    near = [long, long[:150] + "a" + long[151:]]
+    edges = ["".join(chr(0x5E00 + k) for k in range(n)) + str(n) for n in (3, 8, 9, 62, 63, 64, 70, 71, 72, 73, 130, 200)]
+    rows = [(k, line) for k, line in enumerate(different + near)]
+    found = line_dedup.duplicate_lines(spark.createDataFrame(rows, "doc_id long, text string"), p)
+    assert {r.doc_id: r.removed for r in found.collect()} == {5: [0]}
+    lines = spark.createDataFrame([(line,) for line in edges + near], "line string")
+    blocks = line_dedup._blocks(F.col("line"), p)
+    cut = F.transform(blocks, lambda b: F.transform(line_dedup._starts(b, p), lambda at: F.substring(b, at, F.lit(p.width))))
+    for r in lines.select("line", F.flatten(cut).alias("cut"), line_dedup._hashes(F.col("line"), p).alias("set")).collect():
+        assert list(r.cut) == [r.line[k : k + p.width] for k in range(max(1, len(r.line) - p.width + 1))]
+        assert len(r.set) == len(set(r.cut))
+
+
 def test_bpe_round_trip(spark, docs, small):
     import tiktoken
 
