@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from claimlens.llm import (
     bpe, byte_cnn, crf, decontaminate, line_dedup, minhash, quality_rules, sharding, token_store, window_lm,
 )
-from claimlens.llm.common import read, shared_path
+from claimlens.llm.common import id_text, read, shared_path, store
 
 
 def tokenizer(name: str) -> tuple[str, str]:
@@ -31,8 +31,9 @@ def quality_model(spark: SparkSession, sf_dir: str) -> byte_cnn.Model:
 
 def op1_window_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
-    words, weights = window_lm.fit(docs)
-    return window_lm.score(docs, words, weights)
+    counts = store(window_lm.word_counts(id_text(docs)), "word-counts")
+    words, weights = window_lm.fit(docs, counts=counts)
+    return window_lm.score(docs, words, weights, counts=counts)
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -316,6 +316,26 @@ def test_window_lm(spark, docs, small):
     assert window_lm.fit(docs.limit(0))[0].size == 0
 
 
+def test_lm_charges_every_word(spark):
+    p = window_lm.Params(common=28, rare=4, classes=4)
+    many = [f"w{k}" for k in range(400) for _ in range(1 + 400 // (k + 1))]
+    corpus = spark.createDataFrame([(k, " ".join(many[k::7])) for k in range(7)], "doc_id long, text string")
+    counts = window_lm.word_counts(corpus)
+    words_, weights = window_lm.fit(corpus, p, counts=counts)
+    texts = [(1, "w60 w70"), (2, "zzq qqz"), (2, "zzq qqz"), (None, "w60 w70"), (3, None)]
+    rows = window_lm.score(spark.createDataFrame(texts, "doc_id long, text string"), words_, weights, p, counts=counts).collect()
+    total = {r.doc_id: r.pseudo_log_likelihood for r in rows}
+    assert len(rows) == 5 and total[1] == pytest.approx(total[None]) and total[1] > total[2] + 1 and total[3] == 0
+    # the words of one place, all those counted and one that was not for each rare token, have a sum of one
+    seen = sorted(set(many))
+    alone = spark.createDataFrame(list(enumerate(seen)), "doc_id long, text string")
+    known = window_lm.score(alone, words_, weights, p, counts=counts).agg(F.sum(F.exp("pseudo_log_likelihood"))).first()[0]
+    w = window_lm._unpack(weights, p)
+    rare = np.arange(p.common, p.tokens)
+    token = window_lm.log_probabilities(rare, np.full((p.rare, 2 * p.side), p.tokens), w, p)
+    assert known + np.exp(token + window_lm.uncounted_shares(counts, words_, p)).sum() == pytest.approx(1, abs=1e-4)
+
+
 def test_lm_probabilities_add_up_to_one():
     p = window_lm.Params(common=12, rare=4, classes=4)
     w = window_lm._unpack(window_lm._pack(window_lm.start(p)), p)
