@@ -11,7 +11,7 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from claimlens.functions.numbering import checkpoint_ready
@@ -70,6 +70,17 @@ def id_text(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
     return df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
 
 
+def with_hash(docs: DataFrame) -> DataFrame:
+    """``id_text`` rows and their text's hash: rows are one document if id and text are equal."""
+    return docs.withColumn("text_hash", F.xxhash64("text"))
+
+
+def same_document(doc_id: str, text: str, other_id: str, other_hash: str) -> Column:
+    """Whether a row (doc_id, text) is the document that other_id and other_hash name."""
+    same_text = F.xxhash64(F.col(text).cast("string")) == F.col(other_hash)
+    return F.col(doc_id).cast("long").eqNullSafe(F.col(other_id)) & same_text
+
+
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of a text column and the n+1 offsets into them; a null is empty."""
     if isinstance(column, pa.ChunkedArray):

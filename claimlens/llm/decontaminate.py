@@ -11,7 +11,7 @@ leaked when its covered tokens reach ``percent`` of it.
 
 Defined cases: null and empty texts on either side give nothing; an item of fewer than
 ``width`` tokens, or without a window of enough literal words, is not looked for;
-repeated rows are found each, rows with the same doc_id count as one document; a null
+repeated rows are found each, rows with the same doc_id and text count as one document; a null
 doc_id is kept as such; empty tables give no rows; other columns are not looked at.
 """
 
@@ -22,7 +22,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from claimlens.llm.common import free_name, id_text, store
+from claimlens.llm.common import free_name, id_text, same_document, store, with_hash
 
 # Unit words, after a number or alone.
 UNITS = (
@@ -44,6 +44,8 @@ class Params:
     """Benchmark windows are broadcast up to this many (8 bytes each and a few for the item)."""
 
 
+_DOC = ["doc_id", "text_hash"]
+"""What names a document."""
 _MARK = "\x01"
 _INSIDE = r"(?<=[^.!?\s\x01][ \t]{1,4})(?=\p{Lu})"
 """Before a capital that does not start a sentence."""
@@ -89,8 +91,8 @@ def leaks(
     item_id: str = "item_id",
     item_text: str = "text",
 ) -> DataFrame:
-    """doc_id, item_id, n_tokens (of the item), n_covered (of them found), n_slots: one row per leaked item."""
-    docs = id_text(docs, doc_id, text)
+    """doc_id, item_id, n_tokens (of the item), n_covered (of them found), n_slots, text_hash: a row per leaked item."""
+    docs = with_hash(id_text(docs, doc_id, text))
     items = benchmark.select(F.col(item_id).alias("item_id"), F.col(item_text).cast("string").alias("text"))
     items = items.dropDuplicates(["item_id", "text"]).withColumn("item", F.xxhash64("item_id", "text"))
     items = store(_tokenised(items, "item_id", "item"), "items")
@@ -100,45 +102,46 @@ def leaks(
     keys = theirs.select("h").distinct()
     if theirs.count() <= p.broadcast_rows:
         keys, theirs = F.broadcast(keys), F.broadcast(theirs)
-    hits = _windows(_tokenised(docs, "doc_id"), ["doc_id"], p).join(keys, "h", "left_semi")
+    hits = _windows(_tokenised(docs, *_DOC), _DOC, p).join(keys, "h", "left_semi")
     hits = store(hits.distinct(), "hits").join(theirs, "h")
-    hits = store(hits.select("doc_id", "item", "place", "item_place").distinct(), "hits")
+    hits = store(hits.select(*_DOC, "item", "place", "item_place").distinct(), "hits")
     return _leaked(hits, docs, items, p)
 
 
 def _leaked(hits: DataFrame, docs: DataFrame, items: DataFrame, p: Params) -> DataFrame:
     """Alignments of a document and an item, slots checked, coverage over all consistent alignments."""
     hits = hits.withColumn("shift", F.col("place") - F.col("item_place"))
-    covered = hits.select("doc_id", "item", "shift", F.explode(F.sequence("item_place", F.col("item_place") + p.width - 1)).alias("at"))
+    covered = hits.select(*_DOC, "item", "shift", F.explode(F.sequence("item_place", F.col("item_place") + p.width - 1)).alias("at"))
     covered = covered.distinct().join(items.select("item", "tokens", "forms"), "item")
     theirs, form = F.get("tokens", F.col("at")).alias("theirs"), F.get("forms", F.col("at")).alias("form")
-    covered = covered.select("doc_id", "item", "shift", "at", theirs, form)
+    covered = covered.select(*_DOC, "item", "shift", "at", theirs, form)
     covered = store(covered, "covered")
     slots = covered.filter(F.col("form").startswith("<"))
-    found = docs.join(slots.select("doc_id").distinct().withColumnRenamed("doc_id", "id"), F.col("doc_id").eqNullSafe(F.col("id")), "left_semi")
-    found = _tokenised(found, "doc_id").select(F.col("doc_id").alias("id"), F.col("tokens").alias("raws"))
-    slots = slots.join(found, F.col("doc_id").eqNullSafe(F.col("id")))
+    same = F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("text_hash") == F.col("hash"))
+    found = docs.join(slots.select(F.col("doc_id").alias("id"), F.col("text_hash").alias("hash")).distinct(), same, "left_semi")
+    found = _tokenised(found.distinct(), *_DOC).select(*(F.col(a).alias(b) for a, b in zip(_DOC, ("id", "hash"))), F.col("tokens").alias("raws"))
+    slots = slots.join(found, same)
     slots = slots.withColumn("ours", F.get("raws", F.col("at") + F.col("shift"))).filter("ours is not null")
-    each = slots.groupBy("doc_id", "item", "shift").agg(
+    each = slots.groupBy(*_DOC, "item", "shift").agg(
         F.countDistinct("form", "theirs", "ours").alias("pairs"),
         F.countDistinct("form", "theirs").alias("left"),
         F.countDistinct("form", "ours").alias("right"),
     )
     bad = each.filter("pairs > left or pairs > right")
-    same = [F.col(f"c.{k}").eqNullSafe(F.col(f"b.{k}")) for k in ("doc_id", "item", "shift")]
+    same = [F.col(f"c.{k}").eqNullSafe(F.col(f"b.{k}")) for k in (*_DOC, "item", "shift")]
     good = covered.alias("c").join(bad.alias("b"), same, "left_anti")
-    good = good.groupBy("doc_id", "item").agg(
+    good = good.groupBy(*_DOC, "item").agg(
         F.countDistinct("at").alias("n_covered"),
         F.countDistinct(F.when(F.col("form").startswith("<"), F.col("at"))).alias("n_slots"),
     )
     good = good.join(items.select("item", "item_id", F.size("tokens").alias("n_tokens")), "item")
     good = good.filter(F.col("n_covered") * 100 >= F.col("n_tokens") * p.percent)
-    columns = ["doc_id", "item_id", *(F.col(c).cast("long").alias(c) for c in ("n_tokens", "n_covered", "n_slots"))]
+    columns = ["doc_id", "item_id", *(F.col(c).cast("long").alias(c) for c in ("n_tokens", "n_covered", "n_slots")), "text_hash"]
     return good.select(*columns)
 
 
-def drop_leaked(docs: DataFrame, found: DataFrame, doc_id: str = "doc_id") -> DataFrame:
+def drop_leaked(docs: DataFrame, found: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` without the documents in ``found``; all columns stay."""
-    key = free_name(docs, "leaked_id")
-    gone = found.select(F.col("doc_id").alias(key)).distinct()
-    return docs.join(gone, F.col(doc_id).cast("long").eqNullSafe(F.col(key)), "left_anti")
+    key, of = free_name(docs, "leaked_id"), free_name(docs, "leaked_hash")
+    gone = found.select(F.col("doc_id").alias(key), F.col("text_hash").alias(of)).distinct()
+    return docs.join(gone, same_document(doc_id, text, key, of), "left_anti")

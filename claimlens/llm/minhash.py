@@ -12,8 +12,9 @@
 
 Defined cases: null and empty texts have the empty set and are linked with nothing; a
 text with fewer words than a shingle is one shingle of all its words; repeated rows are
-one class, and rows with the same doc_id are returned as often as they came; a null
-doc_id is never the smallest of a group that has another; an empty table gives no
+one class, and rows with the same doc_id are returned as often as they came; of a group
+the text with the smallest doc_id is kept (of several such texts the one with the smallest
+hash); a null doc_id is never the smallest of a group that has another; an empty table gives no
 rows; other columns are not looked at.
 """
 
@@ -29,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from claimlens.llm import wordhash
-from claimlens.llm.common import each_batch, id_text, map_arrow, store, text_bytes, text_chunks
+from claimlens.llm.common import each_batch, id_text, map_arrow, store, text_bytes, text_chunks, with_hash
 from claimlens.llm.graph import link
 
 
@@ -169,17 +170,16 @@ def _exactly(p: Params):
 
 
 def near_duplicates(docs: DataFrame, p: Params = Params(), doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id (smallest linked doc_id), kept: one row per document."""
-    docs = id_text(docs, doc_id, text).withColumn("text_hash", F.xxhash64("text"))
+    """doc_id, text_hash, n_shingles, component_id (smallest linked doc_id), kept: one row per document."""
+    docs = with_hash(id_text(docs, doc_id, text))
     signed = store(signatures(docs, p), "signatures")
     fingerprint = F.when(F.col("n_shingles") > 0, F.xxhash64("one", "two", "n_shingles"))
     signed = signed.withColumn("id", fingerprint)
     classes = signed.filter("id is not null").groupBy("id").agg(
-        F.min("doc_id").alias("first_id"),
-        F.min(F.struct("doc_id", "text_hash")).alias("row"),
+        F.min(F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "text_hash")).alias("row"),
         F.min(F.struct("one", "signature", "keys")).alias("same"),
     )
-    classes = store(classes.select("id", "first_id", "row", "same.*"), "classes")
+    classes = store(classes.select("id", "row", "same.*"), "classes")
 
     def side(rows: DataFrame, *names: str) -> DataFrame:
         return rows.toDF(*names)
@@ -197,12 +197,12 @@ def near_duplicates(docs: DataFrame, p: Params = Params(), doc_id: str = "doc_id
         return map_arrow(both.select("a", "b", "oa", "ob", "ta", "tb"), _exactly(p), "a long, b long")
 
     found = link(classes.select(F.explode("keys").alias("key"), "id"), verify)
-    groups = classes.select("id", "first_id").join(found, "id", "left")
+    groups = classes.select("id", "row").join(found, "id", "left")
     groups = groups.withColumn("component", F.coalesce("component", "id"))
-    least = groups.groupBy("component").agg(F.min("first_id").alias("component_id"))
-    groups = groups.join(least, "component").select("id", "component_id")
-    rows = signed.select("doc_id", "n_shingles", "id").join(groups, "id", "left")
-    smallest = F.when(F.col("id").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return rows.select("doc_id", "n_shingles", smallest.alias("component_id")).withColumn(
-        "kept", F.col("doc_id").eqNullSafe(F.col("component_id"))
-    )
+    least = groups.groupBy("component").agg(F.min("row").alias("stays"))
+    groups = groups.join(least, "component").select("id", "stays")
+    rows = signed.select("doc_id", "text_hash", "n_shingles", "id").join(groups, "id", "left")
+    smallest = F.when(F.col("id").isNull(), F.col("doc_id")).otherwise(F.col("stays.doc_id"))
+    stays = F.col("doc_id").eqNullSafe(F.col("stays.doc_id")) & (F.col("text_hash") == F.col("stays.text_hash"))
+    kept = F.col("id").isNull() | stays
+    return rows.select("doc_id", "text_hash", "n_shingles", smallest.alias("component_id"), kept.alias("kept"))

@@ -65,7 +65,7 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return minhash.near_duplicates(read(spark, sf_dir, "documents"), minhash.Params(width=3, percent=85))
+    return minhash.near_duplicates(read(spark, sf_dir, "documents"), minhash.Params(width=3, percent=85)).drop("text_hash")
 
 
 def op7_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -90,7 +90,7 @@ def op9_toxicity_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document and leaked benchmark item."""
     found = decontaminate.leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
-    return found.withColumns({"contaminated": F.lit(True), "kept": F.lit(False)})
+    return found.drop("text_hash").withColumns({"contaminated": F.lit(True), "kept": F.lit(False)})
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

@@ -151,6 +151,20 @@ def test_line_shingles_start_at_every_character(spark):
         assert len(r.set) == len(set(r.cut))
 
 
+def test_rows_without_an_id_are_documents_of_their_own(spark):
+    schema = "doc_id long, text string"
+    rows = [(1, "x" * 20), (None, "x" * 20 + "\nA"), (None, "B\nC"), (None, "same line\nD"), (None, "same line\nE")]
+    kept = [r.text for r in line_dedup.dedup_lines(spark.createDataFrame(rows, schema)).collect()]
+    assert {"x" * 20, "A", "B\nC"} <= set(kept) and sum("same line" in text for text in kept) == 1
+    near = [(None, BASE), (None, BASE + " end"), (None, LONG), (None, None), (None, None), (7, "one"), (7, "two")]
+    left = corpus_pipeline.near_duplicates(spark, spark.createDataFrame(near, schema), "")
+    assert sorted(len(r.text or "") for r in left.collect())[:4] == [0, 0, 3, 3] and left.count() == 6
+    item = "The red fox has 3 cats and then 4 dogs and then 5 birds in the small old garden house"
+    docs = spark.createDataFrame([(None, item.replace("3", "8")), (None, item.replace("4", "9")), (None, "clean")], schema)
+    found = decontaminate.leaks(docs, spark.createDataFrame([(1, item)], "item_id long, text string"))
+    assert found.count() == 2 and [r.text for r in decontaminate.drop_leaked(docs, found).collect()] == ["clean"]
+
+
 def test_bpe_round_trip(spark, docs, small):
     import tiktoken
 
