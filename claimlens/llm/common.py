@@ -38,6 +38,16 @@ def store(df: DataFrame, what: str = "table") -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Delete a table that store() wrote and no later step reads."""
+    context = df.sparkSession.sparkContext
+    folder = context.getCheckpointDir().rstrip("/") + "/"
+    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        target = context._jvm.org.apache.hadoop.fs.Path(path)
+        if str(target).split(":", 1)[-1].lstrip("/").startswith(folder.split(":", 1)[-1].lstrip("/")):
+            target.getFileSystem(context._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def ship(spark: SparkSession) -> None:
     """Give the workers this package, once per context, by Spark's own file distribution."""
     context = spark.sparkContext

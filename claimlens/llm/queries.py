@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from claimlens.llm import (
-    bpe, byte_cnn, crf, decontaminate, line_dedup, minhash, quality_rules, sharding, token_store, window_lm,
+    bpe, byte_cnn, crf, decontaminate, line_dedup, merkle, minhash, nn_descent, periodic_runs, quality_rules, sharding,
+    token_store, window_lm,
 )
 from claimlens.llm.common import id_text, read, shared_path, store
 
@@ -93,11 +94,58 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.drop("text_hash").withColumns({"contaminated": F.lit(True), "kept": F.lit(False)})
 
 
+def op11_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nn_descent.nearest(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.document_manifest(read(spark, sf_dir, "documents"), fold(5) == 0)
+
+
+def _repeating(text: Column) -> Column:
+    """The text, for every tenth id with its words repeating from word a on with period p."""
+    h = F.crc32(F.col("doc_id").cast("string"))
+    words = F.regexp_extract_all(text, F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
+
+    def repeat(w: Column) -> Column:
+        n, g = F.size(w).cast("long"), F.floor(h / 10)
+        a = g % n
+        p = 1 + F.floor((n - a) / (3 + g % 8))
+        place = F.transform(
+            F.sequence(F.lit(0).cast("long"), n - 1), lambda i: F.when(i < a, i).otherwise(a + F.pmod(i - a, p)).cast("int")
+        )
+        return F.array_join(F.transform(place, lambda i: F.get(w, i)), " ")
+
+    # an array of one is bound by transform, so the words are found once
+    repeated = F.element_at(F.transform(F.array(words), lambda w: F.when(F.size(w) > 0, repeat(w)).otherwise("")), 1)
+    return F.when(h % 10 == 0, repeated).otherwise(text)
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", _repeating(F.col("text")).alias("text"))
+    found = periodic_runs.periodic_runs(docs)
+    runs = F.col("runs")
+
+    def longer(x: Column, y: Column) -> Column:
+        """The run with more periods; runs come by start and period, so the first of equals stays."""
+        return F.when(y["length"] * x["period"] > x["length"] * y["period"], y).otherwise(x)
+
+    top = F.aggregate(runs, F.get(runs, 0), longer)
+    lines = F.transform(runs, lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    found = found.withColumn("top", top)
+    return found.select(
+        "doc_id", F.size(runs).cast("long").alias("n_runs"), "top.start", "top.length", "top.period",
+        F.floor(F.col("top.length") * 1000 / F.col("top.period")).cast("long").alias("exponent_milli"),
+        F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_window_lm, op2_quality_rules, op3_ring_sharding, op4_quality_cnn, op5_line_dedup, op6_minhash,
         op7_bpe_round_trip, op8_token_store, op9_toxicity_crf, op10_decontamination,
+        op11_nn_descent, op12_merkle_manifest, op13_periodic_runs,
     )
 }
-ORACLE_SQL = {"op2_quality_rules": quality_rules.ORACLE_SQL}
+ORACLE_SQL = {"op2_quality_rules": quality_rules.ORACLE_SQL, "op12_merkle_manifest": merkle.oracle_sql()}
