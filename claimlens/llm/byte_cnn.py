@@ -6,8 +6,11 @@ kept; the chunks cover the whole document.  The means and the maxima over the ch
 combined into one probability.
 
 The filters are fitted by Adam on single chunks with their document's label, the
-combination by logistic regression on whole documents, both on a bounded sample
-(``Params.sample`` labelled rows of at most ``Params.sample_bytes``, in hash order).
+combination by logistic regression on documents, both on a bounded sample
+(``Params.sample`` labelled ids in hash order; of a text longer than ``Params.sample_size``
+characters evenly spaced pieces of that total).
+
+A text is laid out with a block of zeros after it, so its score depends on its own bytes only.
 
 Defined cases: a null or empty text is one chunk of padding and gets its score like any
 other; without labelled rows of both kinds all scores are the share of label 1 (0.5
@@ -23,9 +26,8 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from claimlens.llm.common import each_batch, id_text, map_arrow, text_chunks
+from claimlens.llm.common import each_batch, id_text, labelled_sample, map_arrow, text_chunks
 
 _BLOCK = 64  # bytes whose answers are pooled first; a chunk is several blocks
 
@@ -33,7 +35,7 @@ _BLOCK = 64  # bytes whose answers are pooled first; a chunk is several blocks
 @dataclass(frozen=True)
 class Params:
     sample: int = 3000
-    sample_bytes: int = 20_000
+    sample_size: int = 40_000
     chunk: int = 512
     overlap: int = 64
     width: int = 8
@@ -46,20 +48,20 @@ class Params:
 
 @dataclass(frozen=True)
 class Model:
-    table: np.ndarray  # (256, depth)
+    table: np.ndarray  # (256, depth), double: sums then do not depend on what is computed beside them
     kernel: np.ndarray  # (width * depth, filters)
     bias: np.ndarray
     combine: np.ndarray  # constant, means, maxima
 
 
-def _padded(data: np.ndarray, at: np.ndarray, p: Params) -> tuple[np.ndarray, np.ndarray]:
-    """Every text from a block's start on, zeros after it up to the next block; blocks of each text."""
+def _padded(data: np.ndarray, at: np.ndarray, p: Params) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Every text from a block's start on, zeros up to the next block and one block more; blocks of each text, and its first."""
     sizes = np.diff(at)
     blocks = np.maximum(1, -(-sizes // _BLOCK))
-    first = (np.cumsum(blocks) - blocks) * _BLOCK
-    out = np.zeros(int(blocks.sum()) * _BLOCK + p.width, np.uint8)
-    out[np.arange(len(data)) + np.repeat(first - at[:-1], sizes)] = data
-    return out, blocks
+    first = np.cumsum(blocks + 1) - (blocks + 1)
+    out = np.zeros(int((blocks + 1).sum()) * _BLOCK + p.width, np.uint8)
+    out[np.arange(len(data)) + np.repeat(first * _BLOCK - at[:-1], sizes)] = data
+    return out, blocks, first
 
 
 def _windows(embedded: np.ndarray, p: Params) -> np.ndarray:
@@ -68,29 +70,29 @@ def _windows(embedded: np.ndarray, p: Params) -> np.ndarray:
     return np.lib.stride_tricks.as_strided(embedded, (rows, p.width * p.depth), strides, writeable=False)
 
 
-def _block_answers(data: np.ndarray, model: Model, p: Params) -> np.ndarray:
+def _block_answers(data: np.ndarray, model: Model, p: Params, at_once: int = 512) -> np.ndarray:
     """(blocks, filters): largest answer in each block."""
     count = (len(data) - p.width) // _BLOCK
-    out = np.empty((count, model.kernel.shape[1]), np.float32)
-    for first in range(0, count, 512):
-        n = min(512, count - first)
-        part = model.table[data[first * _BLOCK : (first + n) * _BLOCK + p.width]]
-        answers = _windows(part, p) @ model.kernel
-        out[first : first + n] = answers.reshape(n, _BLOCK // 2, -1).max(axis=1)
+    out = np.empty((count, model.kernel.shape[1]))
+    whole = np.zeros(at_once * _BLOCK + p.width, np.uint8)  # always the same shape
+    for first in range(0, count, at_once):
+        n = min(at_once, count - first)
+        whole[: n * _BLOCK + p.width] = data[first * _BLOCK : (first + n) * _BLOCK + p.width]
+        answers = _windows(model.table[whole], p) @ model.kernel
+        out[first : first + n] = answers.reshape(at_once, _BLOCK // 2, -1).max(axis=1)[:n]
     return np.maximum(out + model.bias, 0)
 
 
 def features(data: np.ndarray, at: np.ndarray, model: Model, p: Params) -> np.ndarray:
     """(texts, 1 + 2 * filters): constant, mean and maximum over the chunks of each text."""
-    padded, blocks = _padded(data, at, p)
+    padded, blocks, first = _padded(data, at, p)
     answers = _block_answers(padded, model, p)
     step, span = (p.chunk - p.overlap) // _BLOCK, p.chunk // _BLOCK
     chunks = np.maximum(1, -(-(blocks - p.overlap // _BLOCK) // step))
     text = np.repeat(np.arange(len(blocks)), chunks)
     own = np.arange(len(text)) - np.repeat(np.cumsum(chunks) - chunks, chunks)
-    begin = np.repeat(np.cumsum(blocks) - blocks, chunks) + own * step
-    end = np.minimum(begin + span, np.repeat(np.cumsum(blocks), chunks))
-    answers = np.vstack([answers, np.zeros((1, answers.shape[1]), np.float32)])
+    begin = np.repeat(first, chunks) + own * step
+    end = np.minimum(begin + span, np.repeat(first + blocks, chunks))
     pooled = np.maximum.reduceat(answers, np.stack([begin, end], 1).ravel())[::2]
     starts = np.cumsum(chunks) - chunks
     mean = np.add.reduceat(pooled.astype(np.float64), starts) / chunks[:, None]
@@ -114,7 +116,7 @@ def fit_texts(texts: list[str], good: np.ndarray, p: Params = Params()) -> Model
         share = float(good.mean()) if len(good) else 0.5
         flat = np.zeros(1 + 2 * p.filters)
         flat[0] = 40 * (share - 0.5)
-        return Model(table.astype(np.float32), kernel.astype(np.float32), bias.astype(np.float32), flat)
+        return Model(table, kernel, bias, flat)
     raw = [np.frombuffer(t.encode(), np.uint8) for t in texts]
     sides = [np.flatnonzero(good == k) for k in (False, True)]
     weights = [table, kernel, bias, top, np.array([top_bias])]
@@ -127,7 +129,7 @@ def fit_texts(texts: list[str], good: np.ndarray, p: Params = Params()) -> Model
         for k, doc in enumerate(picked):
             step = p.chunk - p.overlap
             begin = step * int(rng.integers(0, max(1, -(-(len(raw[doc]) - p.overlap) // step))))
-            part = raw[doc][begin : begin + p.chunk]
+            part = raw[doc][begin : begin + p.chunk + p.width]
             data[k, : len(part)] = part
         table, kernel, bias, top, _ = weights
         flat = table.astype(np.float32)[data.ravel()].reshape(p.batch, p.chunk + p.width, p.depth)
@@ -152,7 +154,7 @@ def fit_texts(texts: list[str], good: np.ndarray, p: Params = Params()) -> Model
             slow[k] = 0.9 * slow[k] + 0.1 * g
             fast[k] = 0.999 * fast[k] + 0.001 * g * g
             weights[k] = weights[k] - 0.01 * (slow[k] / (1 - 0.9**turn)) / (np.sqrt(fast[k] / (1 - 0.999**turn)) + 1e-8)
-    table, kernel, bias = (w.astype(np.float32) for w in weights[:3])
+    table, kernel, bias = weights[:3]
     model = Model(table, kernel, bias, np.zeros(1 + 2 * p.filters))
     x = np.vstack([features(r, np.array([0, len(r)]), model, p) for r in raw])
     return Model(table, kernel, bias, _logistic(x, good.astype(float)))
@@ -160,18 +162,14 @@ def fit_texts(texts: list[str], good: np.ndarray, p: Params = Params()) -> Model
 
 def fit(docs: DataFrame, labels: DataFrame, p: Params = Params(), label: str = "quality") -> Model:
     """A model from labelled documents; ``labels`` has doc_id and ``label`` (0 or 1, others are left out)."""
-    marks = labels.select(F.col("doc_id").cast("long").alias("id"), F.col(label).alias("label")).filter("label in (0, 1)")
-    rows = id_text(docs).join(marks, F.col("doc_id") == F.col("id"))
-    rows = rows.filter(F.octet_length("text") <= p.sample_bytes).select("doc_id", "text", "label")
-    rows = rows.orderBy(F.xxhash64(F.lit(p.seed), "doc_id"), "doc_id", "text").limit(p.sample).collect()
-    return fit_texts([r.text for r in rows], np.array([r.label == 1 for r in rows], bool), p)
+    return fit_texts(*labelled_sample(docs, labels, label, p.sample, p.sample_size, p.seed), p)
 
 
 def _scores(column: pa.Array, model: Model, p: Params) -> pa.Array:
     out = []
     for _, _, data, at in text_chunks(column):
         z = features(data, at, model, p) @ model.combine
-        out.append(1 / (1 + np.exp(-np.clip(z, -40, 40))))
+        out.append(np.round(1 / (1 + np.exp(-np.clip(z, -40, 40))), 12))
     return pa.array(np.concatenate(out) if out else np.zeros(0))
 
 

@@ -91,6 +91,32 @@ def same_document(doc_id: str, text: str, other_id: str, other_hash: str) -> Col
     return F.col(doc_id).cast("long").eqNullSafe(F.col(other_id)) & same_text
 
 
+def cropped(text: Column, size: int, pieces: int = 16) -> Column:
+    """The text, or of one longer than ``size`` characters as many evenly spaced pieces, a line each."""
+    part = size // pieces
+    starts = F.transform(
+        F.sequence(F.lit(0), F.lit(pieces - 1)),
+        lambda k: (F.floor((F.length(text) - part).cast("long") * k / (pieces - 1)) + 1).cast("int"),
+    )
+    return F.when(F.length(text) > size, F.array_join(F.transform(starts, lambda at: F.substring(text, at, F.lit(part))), "\n")).otherwise(text)
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, size: int, seed: int) -> tuple[list[str], np.ndarray]:
+    """Texts and labels (True for 1) of at most ``rows`` labelled ids, in an order by hash, each cropped to ``size`` characters.
+
+    The ids are drawn from the labels alone; no text is shuffled but those drawn, and only
+    they reach the driver.  An id with several labels counts as the larger, one with several
+    texts as the smallest; other labels than 0 and 1, null ids and null texts are left out.
+    """
+    marks = labels.select(F.col("doc_id").cast("long").alias("id"), F.col(label).alias("label")).filter("label in (0, 1) and id is not null")
+    drawn = marks.groupBy("id").agg(F.max("label").alias("label")).orderBy(F.xxhash64(F.lit(seed), "id"), "id").limit(rows)
+    texts = id_text(docs).filter("text is not null").join(F.broadcast(drawn), F.col("doc_id") == F.col("id"))  # at most ``rows``
+    texts = texts.groupBy("doc_id", "label").agg(F.min("text").alias("text"))
+    found = texts.select("doc_id", "label", cropped(F.col("text"), size).alias("text")).collect()
+    found.sort(key=lambda r: r.doc_id)
+    return [r.text for r in found], np.array([r.label == 1 for r in found], bool)
+
+
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of a text column and the n+1 offsets into them; a null is empty."""
     if isinstance(column, pa.ChunkedArray):

@@ -1,11 +1,14 @@
 """Toxic spans by a linear-chain conditional random field, document scores from its marginals.
 
-Fit, on a bounded sample of labelled documents (``Params.sample`` rows of at most
-``Params.sample_bytes`` each, in hash order):
+Fit, on a bounded sample of labelled documents (``Params.sample`` ids in hash order; of a
+text longer than ``Params.sample_size`` characters evenly spaced pieces of that total):
 
 1. Tokens are runs of letters, lower-cased.  Words and word beginnings that explain the
-   toxic documents (in turn the one in most toxic documents not yet explained, as long
-   as it is rare in the others) label the tokens of the sample.
+   toxic documents (in turn the one in most toxic documents not yet explained) label the
+   tokens of the sample, until every toxic document is explained or no useful one is left.
+   Useful are those rare in the other documents and in so many toxic ones that chance
+   would hardly have it (binomial tails, with a bound on the share of false discoveries among
+   all words looked at).
 2. The field has two states; its features are the token's word, its first four and five
    bytes, the words before and after it and a bias, hashed to ``Params.buckets``;
    transitions are free.  Sentences
@@ -27,25 +30,25 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from math import comb
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from claimlens.llm import wordhash
-from claimlens.llm.common import each_batch, id_text, map_arrow, text_chunks
+from claimlens.llm.common import each_batch, id_text, labelled_sample, map_arrow, text_chunks
 
 
 @dataclass(frozen=True)
 class Params:
     sample: int = 4000
-    sample_bytes: int = 6_000
+    sample_size: int = 60_000
     buckets: int = 1 << 16
     steps: int = 8
     least_documents: int = 3
-    least_share: float = 0.015
-    """Toxic documents, and share of them, that a labelling word must newly explain."""
+    chance: float = 0.001
+    """Expected share, among the words that may label, of those that fall on the documents at random."""
     precision: float = 0.95
     seed: int = 13
 
@@ -130,23 +133,37 @@ def _labels(units: np.ndarray, doc: np.ndarray, toxic: np.ndarray, p: Params) ->
     pairs = np.unique(np.stack([units.ravel(), np.tile(doc, len(units)).astype(np.uint64)], 1), axis=0)
     unit, at = np.unique(pairs[:, 0], return_inverse=True)
     where = pairs[:, 1].astype(np.int64)
-    clean = np.bincount(at, ~toxic[where], len(unit))
-    dirty = np.bincount(at, toxic[where], len(unit))
-    useful = (dirty >= p.precision * (dirty + clean)) & (dirty >= p.least_documents)
-    rows = useful[at]
+    clean = np.bincount(at, ~toxic[where], len(unit)).astype(np.int64)
+    dirty = np.bincount(at, toxic[where], len(unit)).astype(np.int64)
+    seen = dirty + clean
+    useful = (dirty >= p.precision * seen) & (dirty >= p.least_documents)
+    tried = np.flatnonzero(useful)
+    tails = np.array([_tail(int(dirty[k]), int(seen[k]), float(toxic.mean())) for k in tried])
+    order = np.argsort(tails, kind="stable")
+    bound = p.chance * np.arange(1, len(tried) + 1) / max(1, int((seen >= p.least_documents).sum()))
+    passed = np.flatnonzero(tails[order] <= bound)
+    useful[:] = False
+    useful[tried[order[: passed[-1] + 1 if len(passed) else 0]]] = True
+    rows = useful[at] & toxic[where]
     at, where = at[rows], where[rows]
     open_docs, chosen = toxic.copy(), []
-    least = max(p.least_documents, p.least_share * toxic.sum())
     while len(at):
         gain = np.bincount(at, open_docs[where], len(unit))
         best = int(gain.argmax())
-        if gain[best] < least:
+        if not gain[best]:
             break
         chosen.append(unit[best])
         open_docs[where[at == best]] = False
+        rest = open_docs[where]
+        at, where = at[rest], where[rest]
     return np.isin(units, np.array(chosen, np.uint64)).any(axis=0)
 
 
+def _tail(hits: int, n: int, share: float) -> float:
+    """P(at least ``hits`` of n documents are toxic)."""
+    return sum(comb(n, k) * share**k * (1 - share) ** (n - k) for k in range(hits, n + 1)) if n < 400 else float(hits < share * n)
+
+
 def _logistic(x: np.ndarray, y: np.ndarray, rounds: int = 30) -> np.ndarray:
     """Ridge logistic regression by Newton steps."""
     w = np.zeros(x.shape[1])
@@ -210,11 +227,7 @@ def fit_texts(texts: list[str], toxic: np.ndarray, p: Params = Params()) -> Mode
 
 def fit(docs: DataFrame, labels: DataFrame, p: Params = Params(), label: str = "toxic") -> Model:
     """A model from labelled documents; ``labels`` has doc_id and ``label`` (0 or 1, others are left out)."""
-    marks = labels.select(F.col("doc_id").cast("long").alias("id"), F.col(label).alias("label")).filter("label in (0, 1)")
-    rows = id_text(docs).join(marks, F.col("doc_id") == F.col("id"))
-    rows = rows.filter(F.octet_length("text") <= p.sample_bytes).select("doc_id", "text", "label")
-    rows = rows.orderBy(F.xxhash64(F.lit(p.seed), "doc_id"), "doc_id", "text").limit(p.sample).collect()
-    return fit_texts([r.text for r in rows], np.array([r.label == 1 for r in rows], bool), p)
+    return fit_texts(*labelled_sample(docs, labels, label, p.sample, p.sample_size, p.seed), p)
 
 
 def _scorer(model: Model):

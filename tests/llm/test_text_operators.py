@@ -389,3 +389,60 @@ def test_components_against_union_find(spark):
     found = graph.components(spark.createDataFrame(edges, "a long, b long")).collect()
     assert len(found) == len(root)
     assert {r.id: r.component for r in found} == {n: top(n) for n in root}
+
+
+def naive_answers(raw, model, p):
+    """One text at a time: every filter at every second place of a block, zeros after the text."""
+    blocks = max(1, -(-len(raw) // 64))
+    padded = np.zeros(blocks * 64 + p.width, np.uint8)
+    padded[: len(raw)] = np.frombuffer(raw, np.uint8)
+    tops = []
+    for b in range(blocks):
+        sums = [model.table[padded[k : k + p.width]].ravel() @ model.kernel for k in range(64 * b, 64 * b + 64, 2)]
+        tops.append(np.maximum(np.max(sums, axis=0) + model.bias, 0))
+    step, span = (p.chunk - p.overlap) // 64, p.chunk // 64
+    chunks = max(1, -(-(blocks - p.overlap // 64) // step))
+    pooled = np.array([np.max(tops[c * step : c * step + span], axis=0) for c in range(chunks)])
+    z = np.concatenate([[1.0], pooled.mean(axis=0), pooled.max(axis=0)]) @ model.combine
+    return 1 / (1 + np.exp(-z))
+
+
+def test_quality_scores_are_of_one_text_alone():
+    """Against a plain convolution, for all short lengths, in any order and any company."""
+    import pyarrow as pa
+
+    rng, p = np.random.default_rng(8), byte_cnn.Params(steps=30)
+    texts = ["".join(chr(97 + int(x)) for x in rng.integers(0, 26, n)) for n in (*range(201), 511, 512, 513, 5000)]
+    good = np.array([len(t) % 2 == 0 for t in texts])
+    model = byte_cnn.fit_texts(texts, good, p)
+    together = np.asarray(byte_cnn._scores(pa.array(texts), model, p))
+    turned = np.asarray(byte_cnn._scores(pa.array(texts[::-1]), model, p))[::-1]
+    alone = [byte_cnn._scores(pa.array([t]), model, p)[0].as_py() for t in texts]
+    assert np.array_equal(together, turned) and np.array_equal(together, alone)
+    assert np.abs(together - [naive_answers(t.encode(), model, p) for t in texts]).max() < 1e-9
+
+
+def test_rare_toxic_terms_are_found():
+    """100 terms of 10 documents each, none a percent of the toxic documents."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(1)
+    vocabulary = ["w" + "".join(chr(97 + int(x)) for x in rng.integers(0, 26, 5)) for _ in range(2000)]
+    terms = [f"zq{a}{b}x" for a in "abcdefghij" for b in "abcdefghij"]
+    toxic = [" ".join([*rng.choice(vocabulary, 40), terms[k % 100], *rng.choice(vocabulary, 40)]) for k in range(1000)]
+    clean = [" ".join(rng.choice(vocabulary, 40)) for _ in range(3000)]
+    model = crf.fit_texts(toxic + clean, np.arange(4000) < 1000)
+    rows = pa.RecordBatch.from_arrays([pa.array(range(4000)), pa.array(toxic + clean)], names=["doc_id", "text"])
+    scores = np.concatenate([b.column("score").to_numpy() for b in crf._scorer(model)([rows])])
+    assert (scores[:1000] >= 0.5).all() and (scores[1000:] < 0.5).all()
+
+
+def test_labelled_sample(spark):
+    from claimlens.llm.common import labelled_sample
+
+    docs = spark.createDataFrame([(1, "b"), (1, "a"), (2, "x" * 1000), (3, None), (None, "n"), (4, "d"), (4, "d")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (2, 0), (3, 1), (4, 0), (4, 1), (None, 1), (5, 2)], "doc_id long, quality int")
+    texts, good = labelled_sample(docs, labels, "quality", 10, 160, 3)
+    assert list(zip(["a", texts[1], "d"], good.tolist())) == [("a", True), (texts[1], False), ("d", True)] and texts[0] == "a"
+    assert len(texts) == 3 and len(texts[1]) == 16 * 10 + 15 and set(texts[1]) == {"x", "\n"}
+    assert labelled_sample(docs.limit(0), labels, "quality", 10, 160, 3)[0] == []
