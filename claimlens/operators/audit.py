@@ -358,7 +358,7 @@ def bill_sections(t: Tables, p: Params | None = None) -> DataFrame:
 # -- drill-down and counts -----------------------------------------------------
 
 
-def audit_missing_rows(t: Tables, rule: Rule, limit: int | None = None) -> DataFrame:
+def audit_missing_rows(t: Tables, rule: Rule) -> DataFrame:
     """Rows that miss the column, those in use first, then by the table's code.
 
     Sentinels count as missing here too.  The remaining columns make the order
@@ -381,8 +381,42 @@ def audit_missing_rows(t: Tables, rule: Rule, limit: int | None = None) -> DataF
     if code:
         order.append(F.col(code).asc_nulls_last())
     order += [F.col(c).asc_nulls_last() for c in rows.columns if c != code]
-    rows = rows.orderBy(*order)
-    return rows if limit is None else rows.limit(limit)
+    return rows.orderBy(*order)
+
+
+def audit_missing_linked_rows(
+    t: Tables, main: str, other: str, key: str, columns: Sequence[str] = (), where: str | None = None
+) -> DataFrame:
+    """The rows of ``main`` that fail a linked rule, once for each rule they fail, under ``missing``.
+
+    The rules are those of ``audit_linked``: the key occurs in ``other``, and it occurs there
+    in a row with the column filled.  As in a NOT IN, a row without a key fails only a rule
+    that no row of ``other`` meets, and if a row that meets the rule has no key, nothing is
+    known to fail it.  All rules share one pass over each table.
+    """
+    names = [other, *(f"{other}.{column_spec(spec)[0]}" for spec in columns)]
+    filled = [F.lit(True), *(~is_missing(column, sentinels) for column, sentinels, _ in map(column_spec, columns))]
+    marks = [F.coalesce(met, F.lit(False)).alias(f"_met{i}") for i, met in enumerate(filled)]
+    keyed = t[other].select(F.col(key).alias("_key"), *marks).groupBy("_key")
+    keyed = keyed.agg(*(F.max(f"_met{i}").alias(f"_met{i}") for i in range(len(names))))
+    # the same grouping serves the join and the two facts a rule needs of the whole list
+    facts = keyed.agg(
+        F.struct(
+            *(F.max(f"_met{i}").alias(f"any{i}") for i in range(len(names))),
+            *(F.max(F.col("_key").isNull() & F.col(f"_met{i}")).alias(f"null{i}") for i in range(len(names))),
+        ).alias("facts")
+    ).scalar()
+    source = t[main]
+    rows = (source.where(where) if where else source).withColumn("_facts", facts)
+    rows = rows.join(keyed.where("_key IS NOT NULL"), F.col(key) == F.col("_key"), "left")
+
+    def fails(i: int) -> Column:
+        any_met, null_met = (F.coalesce(F.col(f"_facts.{kind}{i}"), F.lit(False)) for kind in ("any", "null"))
+        met = F.coalesce(F.col(f"_met{i}"), F.lit(False))
+        return F.when(~any_met, True).otherwise(~null_met & F.col(key).isNotNull() & ~met)
+
+    failed = F.filter(F.array(*(F.when(fails(i), F.lit(name)) for i, name in enumerate(names))), lambda x: x.isNotNull())
+    return rows.select(F.explode(failed).alias("missing"), *source.columns)
 
 
 def table_counts(t: Tables, names: Sequence[str]) -> DataFrame:

@@ -138,8 +138,11 @@ def general_policy(table: str) -> EditPolicy:
 
 
 def _ordered(changes: DataFrame) -> DataFrame:
-    """Changes with a position; without one, the order of arrival counts."""
-    return changes if POSITION in changes.columns else changes.withColumn(POSITION, F.monotonically_increasing_id())
+    """Changes with a position, which says which of several wins (read_rows gives one).
+
+    Without one their values decide, column by column, so the outcome and its report agree.
+    """
+    return changes if POSITION in changes.columns else changes.withColumn(POSITION, F.struct(*changes.columns))
 
 
 def _typed(value: Column | str, kind: T.DataType) -> Column:

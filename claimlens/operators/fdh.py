@@ -19,12 +19,13 @@ from claimlens.functions.flags import (
     picks,
 )
 from claimlens.operators.scope import (
+    children_of,
     PATIENT_PAYS,
     PAYER_PAYS,
     date_window,
     hospital_code,
     link,
-    of_visits,
+    of_dates,
     payer_scope,
     union_branches,
     with_children,
@@ -215,11 +216,12 @@ def _repeated(df: DataFrame, times: str) -> DataFrame:
     return blocks.withColumn("_i", F.explode(F.sequence(F.lit(1), size))).drop("_block", "_i", times)
 
 
-def _diagnoses(t: Tables, p: Params, match: str) -> DataFrame:
-    """The patient's diagnoses of all time, or those of the visits in the window."""
+def _diagnoses(visits: DataFrame, t: Tables, p: Params, match: str) -> DataFrame:
+    """Of the visits in the window their own diagnoses, or all of their patients."""
     if match not in ("hn", "vn"):
         raise ValueError(f"unknown match: {match}")
-    return of_visits(t, "ovstdiag", p) if match == "vn" else t["ovstdiag"]
+    rows = of_dates(t, "ovstdiag", p) if match == "vn" else t["ovstdiag"]
+    return rows.join(visits.select(match), match, "left_semi")
 
 
 def fdh_orf(t: Tables, p: Params, match: str = "vn") -> DataFrame:
@@ -229,11 +231,11 @@ def fdh_orf(t: Tables, p: Params, match: str = "vn") -> DataFrame:
     patient's (``'hn'``) without showing any of their columns, so the diagnoses
     only decide how often a row is repeated and are counted, not joined.
     """
-    visits = scoped_visits(t, p).alias("v")
-    rows = link(visits, t["referout"], "ro", "ro.vn = v.vn")
+    visits = scoped_visits(t, p)
+    rows = link(visits.alias("v"), t["referout"], "ro", "ro.vn = v.vn")
     rows = link(rows, t["referin"], "rn", "rn.vn = v.vn").where("ro.vn IS NOT NULL OR rn.vn IS NOT NULL")
     rows = link(rows, t["spclty"], "sp", "sp.spclty = v.spclty")
-    diagnoses = _diagnoses(t, p, match).groupBy(match).agg(F.count(F.lit(1)).alias("n"))
+    diagnoses = _diagnoses(visits, t, p, match).groupBy(match).agg(F.count(F.lit(1)).alias("n"))
     rows = link(rows, diagnoses, "dx", f"dx.{match} = v.{match}")
     rows = rows.select(
         *picks(
@@ -258,7 +260,7 @@ def fdh_odx(t: Tables, p: Params, match: str = "vn") -> DataFrame:
     (``match='hn'``) with all diagnoses of its patient, visits times diagnoses.
     """
     visits = scoped_visits(t, p).select("vn", "hn", "vstdate", "spclty")
-    diagnoses = _diagnoses(t, p, match).select(match, "icd10", "diagtype", "doctor")
+    diagnoses = _diagnoses(visits, t, p, match).select(match, "icd10", "diagtype", "doctor")
     rows = link(with_children(visits, diagnoses, match).alias("v"), t["spclty"], "sp", "sp.spclty = v.spclty")
     rows = link(rows, t["doctor"], "d", "d.code = v.doctor")
     rows = link(rows, t["patient"], "p", "p.hn = v.hn")
@@ -504,7 +506,7 @@ def fdh_dru(t: Tables, p: Params) -> DataFrame:
     """
     visits = scoped_visits(t, p).select("vn", "hn", "spclty", "vstdate", F.col("an").alias("visit_an"))
     keys = ["icode", "qty", "unitprice", "cost", "paidst", "doctor"]
-    lines = of_visits(t, "opitemrece", p).where((F.col("qty") > 0) & (F.col("sum_price") > 0) & F.col("paidst").isin("01", "02", "03"))
+    lines = of_dates(t, "opitemrece", p).where((F.col("qty") > 0) & (F.col("sum_price") > 0) & F.col("paidst").isin("01", "02", "03"))
     lines = lines.select("vn", *keys).join(visits.select("vn"), "vn", "left_semi")
     lines = lines.groupBy("vn", *keys).agg(F.count(F.lit(1)).alias("n"))
     rows = with_children(visits, lines, "vn").alias("op")
@@ -551,10 +553,11 @@ def fdh_dru(t: Tables, p: Params) -> DataFrame:
 
 def fdh_labfu(t: Tables, p: Params) -> DataFrame:
     """Lab results with five checks; a visit without a test is a row too."""
-    tests = link(t["lab_head"].alias("h"), t["lab_order"], "lo", "lo.lab_order_number = h.lab_order_number").select(
+    visits = scoped_visits(t, p).select("vn", "hn", "vstdate")
+    heads = children_of(visits, t, "lab_head", p)
+    tests = link(heads.alias("h"), t["lab_order"], "lo", "lo.lab_order_number = h.lab_order_number").select(
         *picks("h.vn, lo.lab_items_code, lo.lab_order_result")
     )
-    visits = scoped_visits(t, p).select("vn", "hn", "vstdate")
     rows = link(with_children(visits, tests, "vn").alias("v"), t["lab_items"], "li", "li.lab_items_code = v.lab_items_code")
     rows = link(rows, t["sys_lab_link"], "k", "k.lab_items_code = li.lab_items_code")
     rows = link(rows, t["patient"], "p", "p.hn = v.hn", "inner")
@@ -573,7 +576,7 @@ def fdh_labfu(t: Tables, p: Params) -> DataFrame:
 def fdh_phdb(t: Tables, p: Params) -> DataFrame:
     """Public-health items of visits and admissions with four checks."""
     def layout(stays: DataFrame, charges: DataFrame, key: str, source: str) -> DataFrame:
-        lines = charges.where(F.col(key).isNotNull() & (F.col("qty") > 0) & (F.col("sum_price") > 0)).select(
+        lines = charges.join(stays.select(key), key, "left_semi").where((F.col("qty") > 0) & (F.col("sum_price") > 0)).select(
             key, "icode", "qty", "unitprice", F.col("pttype").alias("line_pttype")
         )
         rows = link(with_children(stays, lines, key).alias("v"), t["nondrugitems"], "di", "di.icode = v.icode")
@@ -601,6 +604,6 @@ def fdh_phdb(t: Tables, p: Params) -> DataFrame:
     admissions = scoped_admissions(t, p).select("an", "vn", "hn", no_date.alias("service_date"), "regdate", "dchdate")
     return union_branches(
         p,
-        layout(visits, of_visits(t, "opitemrece", p), "vn", "OPD"),
+        layout(visits, of_dates(t, "opitemrece", p), "vn", "OPD"),
         layout(admissions, t["opitemrece"], "an", "IPD"),
     )

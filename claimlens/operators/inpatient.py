@@ -122,12 +122,12 @@ def cipn_ipop(t: Tables, p: Params) -> DataFrame:
     )
 
 
-def _admission_charges(t: Tables) -> DataFrame:
+def _admission_charges(admissions: DataFrame, t: Tables) -> DataFrame:
     """Per admission: number of charge lines, net sums inside and outside the group payment."""
     categories = t["nondrugitems_sks_bc"].groupBy("icode").agg(
         *[F.sum((F.col("claim_cat") == c).cast("int")).alias(f"n_{c}") for c in ("D", "T")]
     )
-    lines = t["opitemrece"].where("an IS NOT NULL").select("an", "icode", "sum_price", "discount")
+    lines = t["opitemrece"].join(admissions.select("an"), "an", "left_semi").select("an", "icode", "sum_price", "discount")
     rows = link(lines.alias("op"), categories, "nb", "nb.icode = op.icode")
     net = F.col("op.sum_price") - F.col("op.discount")
 
@@ -143,8 +143,9 @@ def _admission_charges(t: Tables) -> DataFrame:
 def cipn_invoices(t: Tables, p: Params) -> DataFrame:
     """Invoices with line count and the two net sums, from one aggregate per admission."""
     debts = t["rcpt_debt"].where("total_amount > 0").join(t["pttype"].select("pttype"), "pttype", "left_semi")
-    rows = link(scoped_admissions(t, p, "intersect", FUND).alias("i"), debts, "rd", "rd.vn = i.an", "inner")
-    rows = link(rows, _admission_charges(t), "c", "c.an = i.an")
+    admissions = scoped_admissions(t, p, "intersect", FUND)
+    rows = link(admissions.alias("i"), debts, "rd", "rd.vn = i.an", "inner")
+    rows = link(rows, _admission_charges(admissions, t), "c", "c.an = i.an")
     rows = link(rows, t["patient"], "p", "p.hn = i.hn", "inner")
     return rows.select(
         *picks(

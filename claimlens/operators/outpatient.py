@@ -20,13 +20,13 @@ from claimlens.functions.flags import (
 from claimlens.operators.fdh import with_charge_group
 from claimlens.operators.scope import (
     PAYER_PAYS,
+    children_of,
     date_window,
     fund_filter,
     hospital_code,
     keep_billed,
-    limited,
     link,
-    of_visits,
+    of_dates,
     payer_scope,
     with_children,
 )
@@ -45,7 +45,7 @@ def visit_list(t: Tables, p: Params) -> DataFrame:
         *picks("ov.hn, ov.vn, ov.vstdate AS visit_date, ov.income AS amount, ov.status"),
         person_name("p").alias("patient_name"),
     )
-    return limited(rows, p, "visit_date", "vn")
+    return rows
 
 
 def _visits(t: Tables, p: Params, fund: str) -> DataFrame:
@@ -111,7 +111,7 @@ def billtran_funnel(t: Tables, p: Params) -> DataFrame:
     visits = t["ovst"].where(date_window("vstdate", p))
     lines = t["opitemrece"].where(date_window("vstdate", p) & (F.col("paidst") == PAYER_PAYS))
     payers = payer_scope(t["visit_pttype"], "pttype", t, p, "intersect", "SSS")
-    debts = t["rcpt_debt"].where("total_amount > 0").groupBy("vn").agg(F.count(F.lit(1)).alias("n"))
+    debts = children_of(visits, t, "rcpt_debt", p).where("total_amount > 0").groupBy("vn").agg(F.count(F.lit(1)).alias("n"))
     billed = lines.select("vn").distinct()
     rows = link(visits.alias("ov"), payers, "vp", "vp.vn = ov.vn", "inner")
     rows = link(rows, billed, "b", "b.vn = ov.vn")
@@ -143,11 +143,11 @@ def billitems(t: Tables, p: Params) -> DataFrame:
     while the rows are still partitioned by visit and narrow.
     """
     line_columns = ["icode", "income", "qty", "unitprice", "sum_price", "paidst"]
-    lines = link(
-        _visits(t, p, "SSS").alias("ov"), of_visits(t, "opitemrece", p), "op", "op.vn = ov.vn", "inner"
-    ).select(*picks("ov.vn, ov.hn, ov.vstdate"), *[F.col(f"op.{c}") for c in line_columns])
+    visits = _visits(t, p, "SSS")
+    lines = link(visits.alias("ov"), of_dates(t, "opitemrece", p), "op", "op.vn = ov.vn", "inner").select(*picks("ov.vn, ov.hn, ov.vstdate"), *[F.col(f"op.{c}") for c in line_columns])
     lines = lines.dropDuplicates()
-    debts = link(t["rcpt_debt"].alias("rd"), t["rcpt_debt_detail"], "x", "x.debt_id = rd.debt_id")
+    debts = children_of(visits, t, "rcpt_debt", p).select("vn", "debt_id")
+    debts = link(debts.alias("rd"), t["rcpt_debt_detail"], "x", "x.debt_id = rd.debt_id")
     debts = debts.select(*picks("rd.vn, rd.debt_id, x.total_amount")).dropDuplicates()
     rows = link(lines.alias("op"), debts, "rd", "rd.vn = op.vn")
     rows = link(rows, t["nondrugitems"], "n", "n.icode = op.icode")
@@ -194,7 +194,7 @@ def billitems(t: Tables, p: Params) -> DataFrame:
         yn(listed | (switch == "Y")).alias("enable_sks_opd"),
         *constants(claimcat="OP1"),
     )
-    return limited(out, p, "vn", "icode", "invno")
+    return out
 
 
 def visit_expenses(t: Tables, p: Params) -> DataFrame:
@@ -212,9 +212,9 @@ def visit_expenses(t: Tables, p: Params) -> DataFrame:
 # -- services ----------------------------------------------------------------
 
 
-def _main_diagnosis(t: Tables, p: Params) -> DataFrame:
+def _main_diagnosis(visits: DataFrame, t: Tables, p: Params) -> DataFrame:
     """Per visit: how many main diagnoses, the largest licence, any code given."""
-    main = of_visits(t, "ovstdiag", p).where(F.col("diagtype") == MAIN_DIAGNOSIS)
+    main = children_of(visits, t, "ovstdiag", p).where(F.col("diagtype") == MAIN_DIAGNOSIS)
     rows = link(main.alias("di"), t["doctor"], "d", "d.code = di.doctor")
     return rows.groupBy(F.col("di.vn").alias("vn")).agg(
         F.count(F.lit(1)).alias("n_diag"),
@@ -230,7 +230,7 @@ def opservice(t: Tables, p: Params) -> DataFrame:
     reduced per visit first instead of being multiplied with one another.
     """
     visits = _visits(t, p, "SSS")
-    lines = of_visits(t, "opitemrece", p).select("vn", "icode")
+    lines = of_dates(t, "opitemrece", p).select("vn", "icode")
     lines = link(visits.select("vn").alias("ov"), lines, "oi", "oi.vn = ov.vn", "inner")
     lines = link(lines, t["nondrugitems"], "n", "n.icode = oi.icode")
     service = F.lit("ZZ")
@@ -239,12 +239,12 @@ def opservice(t: Tables, p: Params) -> DataFrame:
     services = lines.groupBy(F.col("ov.vn").alias("vn"), F.col("n.billcode").alias("billcode")).agg(
         F.max(service).alias("class")
     )
-    debts = t["rcpt_debt"].groupBy("vn").agg(F.max("debt_id").alias("debt_id"))
-    appointments = t["oapp"].select("vn", "nextdate").dropDuplicates()
+    debts = children_of(visits, t, "rcpt_debt", p).groupBy("vn").agg(F.max("debt_id").alias("debt_id"))
+    appointments = children_of(visits, t, "oapp", p).select("vn", "nextdate").dropDuplicates()
 
     rows = link(visits.alias("ov"), services, "sv", "sv.vn = ov.vn", "inner")
     rows = link(rows, debts, "rc", "rc.vn = ov.vn")
-    rows = link(rows, _main_diagnosis(t, p), "di", "di.vn = ov.vn")
+    rows = link(rows, _main_diagnosis(visits, t, p), "di", "di.vn = ov.vn")
     rows = link(rows, appointments, "oa", "oa.vn = ov.vn")
     rows = link(rows, t["ovstist"], "ti", "ti.ovstist = ov.ovstist")
     rows = link(rows, t["ovstost"], "to", "to.ovstost = ov.ovstost")
@@ -331,7 +331,7 @@ def dispenseditem(t: Tables, p: Params) -> DataFrame:
             prdsecode="prdSeCode", claimcout="claimcout", claimcat="claimcat", multidisp="multiDisp", supplyfor="supplyfor"
         ),
     )
-    return limited(out, p, "vn", "icode")
+    return out
 
 
 def dispenseditem_csop(t: Tables, p: Params, fund: str = "OFC") -> DataFrame:
@@ -365,7 +365,7 @@ def dispenseditem_csop(t: Tables, p: Params, fund: str = "OFC") -> DataFrame:
         _reimbursed().alias("reimbamt"),
         *constants(prdsecode="0", claimcont="OD", claimcat="OP1", multidisp=None, supplyfor=None),
     )
-    return limited(out, p, "dispid", "hospdrgid")
+    return out
 
 
 def dispenseditem_ssop(t: Tables, p: Params) -> DataFrame:
@@ -383,15 +383,15 @@ def dispensing(t: Tables, p: Params, plan: str = "CS", fanout: str = "reference"
     if fanout not in ("reference", "per_visit"):
         raise ValueError(f"unknown fanout: {fanout}")
     visits = _visits(t, p, "SSS")
-    lines = of_visits(t, "opitemrece", p).groupBy("vn").agg(
+    lines = children_of(visits, t, "opitemrece", p).groupBy("vn").agg(
         F.count("icode").alias("n_items"), F.sum("unitprice").alias("unit_prices")
     )
-    debts = t["rcpt_debt"].groupBy("vn", "paid").agg(
+    debts = children_of(visits, t, "rcpt_debt", p).groupBy("vn", "paid").agg(
         F.count(F.lit(1)).alias("n_debt"), F.max("debt_id").alias("debt_id")
     )
     rows = link(visits.alias("ov"), lines, "oi", "oi.vn = ov.vn", "inner")
     rows = link(rows, debts, "rc", "rc.vn = ov.vn")
-    rows = link(rows, _main_diagnosis(t, p), "di", "di.vn = ov.vn")
+    rows = link(rows, _main_diagnosis(visits, t, p), "di", "di.vn = ov.vn")
     rows = link(rows, t["patient"], "pa", "pa.hn = ov.hn")
     times = F.lit(1)
     if fanout == "reference":
@@ -416,24 +416,24 @@ def dispensing_ssop(t: Tables, p: Params, fanout: str = "reference") -> DataFram
 # -- diagnoses ---------------------------------------------------------------
 
 
-def _visits_with_operation(t: Tables) -> DataFrame:
-    return t["doctor_operation"].where(filled("icd9")).select("vn").distinct()
+def _visits_with_operation(visits: DataFrame, t: Tables, p: Params) -> DataFrame:
+    return children_of(visits, t, "doctor_operation", p).where(filled("icd9")).select("vn").distinct()
 
 
-def _visits_with_lab_code(t: Tables, p: Params) -> DataFrame:
+def _visits_with_lab_code(visits: DataFrame, t: Tables, p: Params) -> DataFrame:
     """Visits charged for a service that is a lab item with a national test code."""
     services = t["lab_items"].where(filled("tmlt_code")).select("icode").distinct()
     services = services.join(t["nondrugitems"].select("icode"), "icode", "left_semi")
-    return of_visits(t, "opitemrece", p).join(services, "icode", "left_semi").select("vn").distinct()
+    return children_of(visits, t, "opitemrece", p).join(services, "icode", "left_semi").select("vn").distinct()
 
 
 def opdx(t: Tables, p: Params) -> DataFrame:
     """Diagnoses per visit: class, rank, and code set by priority IN, LC, TT."""
     visits = _visits(t, p, "SSS").select("vn", "hn", "vstdate")
-    diagnoses = of_visits(t, "ovstdiag", p).select("vn", F.lit(True).alias("has_diagnosis"), "icd10", "diagtype")
+    diagnoses = children_of(visits, t, "ovstdiag", p).select("vn", F.lit(True).alias("has_diagnosis"), "icd10", "diagtype")
     rows = with_children(visits, diagnoses, "vn").alias("di")
-    rows = link(rows, _visits_with_operation(t), "o", "o.vn = di.vn AND di.has_diagnosis")
-    rows = link(rows, _visits_with_lab_code(t, p), "l", "l.vn = di.vn")
+    rows = link(rows, _visits_with_operation(visits, t, p), "o", "o.vn = di.vn AND di.has_diagnosis")
+    rows = link(rows, _visits_with_lab_code(visits, t, p), "l", "l.vn = di.vn")
     rows = link(rows, t["icd101"], "i", "i.code = di.icd10")
     rows = link(rows, t["patient"], "pt", "pt.hn = di.hn")
     operated, tested, coded = known("o.vn"), known("l.vn"), filled("di.icd10")

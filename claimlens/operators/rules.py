@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from claimlens.functions.flags import filled, person_name, picks
-from claimlens.operators.scope import date_window, link, of_visits
+from claimlens.operators.scope import children_of, date_window, link, of_dates
 from claimlens.params import Params
 from claimlens.sources.tables import Tables
 
@@ -94,7 +94,7 @@ def _cancer_visits(t: Tables, p: Params, once: bool = False) -> DataFrame:
     ``once`` lists equal diagnoses of a visit once.
     """
     schemes = t["pttype"].where(F.col("hipdata_code") == CANCER_GROUP).select("pttype", F.col("name").alias("scheme"))
-    main = of_visits(t, "ovstdiag", p).where("diagtype = '1' AND upper(icd10) LIKE 'C%'").select("vn", "icd10", "doctor")
+    main = of_dates(t, "ovstdiag", p).where("diagtype = '1' AND upper(icd10) LIKE 'C%'").select("vn", "icd10", "doctor")
     main = main.distinct() if once else main
     treated = t["ovstdiag"].where(F.col("icd10").isin(*Z_CODES) & date_window("vstdate", p))
     visits = t["ovst"].where(date_window("vstdate", p)).join(schemes, "pttype")
@@ -116,13 +116,15 @@ def cancer_missing_z(t: Tables, p: Params) -> DataFrame:
     each made distinct per visit before they are joined.
     """
     drugs = t["drugitems_cancer"].select("icode")
-    with_drug = of_visits(t, "opitemrece", p).join(drugs, "icode", "left_semi").select("vn").distinct()
-    texts = t["ovst_doctor_diag"].where("diag_text IS NOT NULL").select("vn", "diag_text").distinct()
+    with_drug = of_dates(t, "opitemrece", p).join(drugs, "icode", "left_semi").select("vn")
+    visits = _cancer_visits(t, p, once=True)
+    visits = visits.join(with_drug.select(F.col("vn").alias("_drug_vn")), F.expr("o.vn = _drug_vn"), "left_semi")
+    # candidates first: text is gathered for their visits only
+    texts = children_of(visits.select("o.vn"), t, "ovst_doctor_diag", p).where("diag_text IS NOT NULL").select("vn", "diag_text").distinct()
     texts = texts.groupBy("vn").agg(
         F.expr("listagg(diag_text, ', ') WITHIN GROUP (ORDER BY diag_text)").alias("diag_text")
     )
-    rows = _cancer_visits(t, p, once=True).join(with_drug.select(F.col("vn").alias("_drug_vn")), F.expr("o.vn = _drug_vn"), "left_semi")
-    rows = link(rows, t["visit_pttype"], "vp", "vp.vn = o.vn AND vp.pttype = o.pttype")
+    rows = link(visits, t["visit_pttype"], "vp", "vp.vn = o.vn AND vp.pttype = o.pttype")
     rows = link(rows, _cancer_operations(t).distinct(), "q", "q.vn = o.vn")
     rows = link(rows, texts, "x", "x.vn = o.vn")
     rows = link(rows, t["icd101"], "n", "n.code = o.icd10")

@@ -34,10 +34,18 @@ def date_window(column: str, p: Params) -> Column:
     return F.col(column).between(F.lit(p.date_from), F.lit(p.date_to))
 
 
-def of_visits(t: Tables, table: str, p: Params) -> DataFrame:
-    """Charge lines or diagnoses to be joined to the visits of the window."""
-    rows = t[table]
-    return rows.where(date_window("vstdate", p)) if p.dated_children else rows
+def of_dates(t: Tables, table: str, p: Params) -> DataFrame:
+    """Charge lines or diagnoses that can belong to visits of the window, by their date rule if there is one."""
+    rule = t.dates.get(table)
+    return t[table].where(rule.condition(p)) if rule else t[table]
+
+
+def children_of(stays: DataFrame, t: Tables, table: str, p: Params, key: str = "vn") -> DataFrame:
+    """The rows of ``table`` whose key is among ``stays``, before anything is grouped.
+
+    The rows kept are partitioned by the key, which serves the grouping and the join back.
+    """
+    return of_dates(t, table, p).join(stays.select(key), key, "left_semi")
 
 
 def active_schemes(t: Tables, groups: Sequence[str], only_in_use: bool = True) -> DataFrame:
@@ -117,11 +125,3 @@ def union_branches(p: Params, opd: DataFrame | None, ipd: DataFrame | None) -> D
     """The outpatient and inpatient halves that are switched on."""
     halves = [df for on, df in zip(p.branches, (opd, ipd)) if on and df is not None]
     return reduce(DataFrame.unionByName, halves)
-
-
-def limited(df: DataFrame, p: Params, *order: str) -> DataFrame:
-    """All rows, or the first ``limit`` of a total order."""
-    if p.limit is None:
-        return df
-    rest = [c for c in df.columns if c not in order]
-    return df.orderBy(*[F.col(c).asc_nulls_last() for c in (*order, *rest)]).limit(p.limit)

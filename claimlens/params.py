@@ -16,12 +16,7 @@ class Params:
 
     ``fund`` is a fund code such as ``FDH`` or ``OFC``; ``None`` lets each
     operator use its own default.  ``payers`` and ``groups`` are the lists a
-    user ticks on a screen; ``limit`` is applied after a total order.
-
-    ``dated_children`` promises that charge lines and diagnoses of a visit carry
-    the visit's date.  Files that reach them through the visit then read only
-    the window of those tables too, which prunes partitions by date; without the
-    promise they have to look through all of them.
+    user ticks on a screen.
     """
 
     date_from: dt.date
@@ -31,8 +26,6 @@ class Params:
     groups: tuple[str, ...] | None = None
     include_opd: bool = True
     include_ipd: bool = True
-    limit: int | None = None
-    dated_children: bool = False
 
     def __post_init__(self) -> None:
         object.__setattr__(self, "date_from", _as_date(self.date_from))

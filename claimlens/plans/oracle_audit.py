@@ -219,6 +219,12 @@ SQL = {
             _document("labels.toxic", _DOCUMENT.format("toxic")),
         ]
     ),
+    "audit_missing_linked_rows": """
+SELECT 'labels' AS missing, * FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)
+UNION ALL SELECT 'labels.quality', * FROM documents
+  WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE quality IS NOT NULL AND CAST(quality AS VARCHAR) NOT IN ('', '0'))
+UNION ALL SELECT 'labels.toxic', * FROM documents
+  WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic IS NOT NULL AND CAST(toxic AS VARCHAR) NOT IN ('', '0'))""",
     "audit_missing_rows": """
 SELECT * FROM nondrugitems WHERE istatus = 'Y' AND (price IS NULL OR CAST(price AS VARCHAR) IN ('', '0', '0.00'))
 ORDER BY CASE WHEN istatus = 'Y' THEN 0 ELSE 1 END, icode""",

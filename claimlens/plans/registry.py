@@ -117,6 +117,7 @@ AUDIT: dict[str, Operator] = {
     "audit_driver_tables": lambda t, p: audit.audit_columns(t, oracle_audit.DRIVER_RULES),
     "audit_linked": lambda t, p: audit.audit_linked(t, "documents", "labels", "doc_id", ("quality!0", "toxic!0")),
     "audit_missing_rows": lambda t, p: audit.audit_missing_rows(t, PRICE_RULE),
+    "audit_missing_linked_rows": lambda t, p: audit.audit_missing_linked_rows(t, "documents", "labels", "doc_id", ("quality!0", "toxic!0")),
     "table_counts": lambda t, p: audit.table_counts(t, USER_GROUP_TABLES),
     "table_contract": lambda t, p: audit.table_contract(t),
     "section_score": _scored(audit.section_score),

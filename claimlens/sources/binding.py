@@ -29,7 +29,9 @@ def txt(x) -> str:
 
 
 def pad(x, n: int) -> str:
-    return f"lpad(CAST({x} AS STRING), {n}, '0')"
+    """At least ``n`` digits, never cut."""
+    digits = f"CAST({x} AS STRING)"
+    return f"CASE WHEN length({digits}) < {n} THEN lpad({digits}, {n}, '0') ELSE {digits} END"
 
 
 def two(x) -> str:
@@ -92,7 +94,7 @@ def clock(k) -> str:
 
 VISIT_DAY = "CAST(o_orderdate AS DATE)"
 SHIP_DAY = "CAST(l_shipdate AS DATE)"
-PAYER = txt("(10 + o_orderkey % 12)")
+PAYER = txt("(10 + o_orderkey % 25)")
 AN = "'A' || CAST(o_orderkey AS STRING)"
 
 
@@ -111,7 +113,7 @@ _REQUEST = (
     "CASE WHEN o_orderkey % 4 = 0 THEN 'Y' WHEN o_orderkey % 4 = 1 THEN 'N' "
     "WHEN o_orderkey % 4 = 2 THEN '' ELSE NULL END"
 )
-_SECOND = txt("(10 + (o_orderkey + 1) % 12)")
+_SECOND = txt("(10 + (o_orderkey + 1) % 25)")
 
 FACTS: dict[str, str] = {}
 
@@ -317,11 +319,11 @@ FACTS["ovst_presc_ned"] = f"""
 SELECT {txt('l_orderkey')} AS vn, {item('l_partkey')} AS icode, {txt('l_suppkey')} AS doctor,
     {nul('l_partkey', 7, "'E' || CAST(1 + l_partkey % 8 AS STRING)")} AS presc_reason,
     {nul('l_suppkey', 3, "'PA' || CAST(l_suppkey AS STRING)")} AS nhso_authorize_code
-FROM {{lineitem}} WHERE l_linenumber = 2 GROUP BY l_orderkey, l_partkey, l_suppkey"""
+FROM {{lineitem}} GROUP BY l_orderkey, l_partkey, l_suppkey"""
 FACTS["ovst_doctor_diag"] = f"""
 SELECT {txt('l_orderkey')} AS vn,
     {nul('l_partkey', 13, "'dx ' || CAST(l_partkey % 50 AS STRING)")} AS diag_text
-FROM {{lineitem}} WHERE l_linenumber % 2 = 0"""
+FROM {{lineitem}}"""
 FACTS["opi_dispense"] = f"""
 SELECT CAST(l_orderkey AS STRING) || '-' || CAST(l_linenumber AS STRING) || '-'
         || CAST(l_partkey AS STRING) || '-' || CAST(l_suppkey AS STRING) AS hos_guid,
@@ -334,7 +336,7 @@ SELECT {txt('o_orderkey')} AS vn, o_orderkey AS lab_order_number FROM {{orders}}
 FACTS["lab_order"] = f"""
 SELECT l_orderkey AS lab_order_number, {txt('MIN(l_suppkey)')} AS lab_items_code,
     {nul('MIN(l_partkey)', 6, txt('(MIN(l_partkey) % 100)'))} AS lab_order_result
-FROM {{lineitem}} WHERE l_linenumber <= 2 GROUP BY l_orderkey, l_linenumber"""
+FROM {{lineitem}} GROUP BY l_orderkey, l_linenumber"""
 FACTS["ptcardno"] = f"""
 SELECT {txt('c_custkey')} AS hn, {txt('(1 + c_custkey % 3)')} AS cardtype FROM {{customer}} WHERE c_custkey % 3 <> 0
 UNION ALL
@@ -532,8 +534,7 @@ LISTS: dict[str, str] = {
     "sks_drug_code": _code_list("'SD' || CAST(k AS STRING) AS sks_drug_code"),
     "drugusage": _code_list(
         f"""{pad('k', 3)} AS drugusage, {emp('k', 4, 7, "CASE WHEN k % 3 = 0 THEN '1x' ELSE '2x' END || CAST(k AS STRING)")} AS shortlist,
-        {pad('k', 3)} AS code, {emp('k', 6, 5, "'use ' || CAST(k AS STRING)")} AS name1, {yn('k', 8)} AS status""",
-        "k < 1000",
+        {pad('k', 3)} AS code, {emp('k', 6, 5, "'use ' || CAST(k AS STRING)")} AS name1, {yn('k', 8)} AS status"""
     ),
     "drugitems_ned_reason_list": _code_list("'E' || CAST(1 + k AS STRING) AS claim_control"),
     "doctor_position": _code_list("1 + k AS id, 'pos ' || CAST(k AS STRING) AS name", "k % 6 <> 5"),
@@ -545,7 +546,7 @@ LISTS: dict[str, str] = {
         {txt('(1 + k % 2)')} AS sex, {nul('k', 6, emp('k', 4, 5, pad('(1 + k)', 3)))} AS provis_code"""
     ),
     "provis_pname": _code_list(
-        f"{pad('(1 + k)', 3)} AS provis_pname_code, 'long ' || CAST(k AS STRING) AS provis_pname_long_name", "k % 5 <> 3 AND k < 999"
+        f"{pad('(1 + k)', 3)} AS provis_pname_code, 'long ' || CAST(k AS STRING) AS provis_pname_long_name", "k % 5 <> 3"
     ),
     "nationality": _code_list(
         f"{two('k')} AS nationality, CASE WHEN k % 4 = 1 THEN 'Other' ELSE 'Nation ' || CAST(k AS STRING) END AS name, "
@@ -630,7 +631,7 @@ CATALOGUES: dict[str, str] = {
         {dec('(k % 250)')} AS price, {_ICODE} AS icode, {nul('k', 6, "'U' || CAST(k % 40 AS STRING)")} AS icd10tm,
         {nul('k', 14, txt('(1 + k % 3)'))} AS health_med_operation_type_id, {yn('k', 12)} AS active_status"""
     ),
-    "health_med_operation_code": _catalogue("'U' || CAST(k AS STRING) AS icd10tm, 'M' || CAST(k AS STRING) AS code", "k < 35"),
+    "health_med_operation_code": _catalogue("'U' || CAST(k AS STRING) AS icd10tm, 'M' || CAST(k AS STRING) AS code", "k % 8 <> 7"),
     "health_med_operation_item_organ": _catalogue(
         f"{txt('(k % 60)')} AS health_med_operation_item_id, {txt('(k % 9)')} AS organ_id"
     ),
@@ -765,14 +766,12 @@ FROM {{lineitem}} WHERE l_partkey % 17 = 0 GROUP BY l_orderkey, l_linenumber, l_
 
 SMALL_KEYS = "(SELECT CAST(n_nationkey AS BIGINT) AS k FROM {nation}) AS q"
 LONG_KEYS = "(SELECT s_suppkey AS k FROM {supplier}) AS q"
-# Visits carry twelve schemes, so the small scheme list stops there.
-_SHORT = {"pttype": "(SELECT CAST(n_nationkey AS BIGINT) AS k FROM {nation} WHERE n_nationkey < 12) AS q"}
 
 
 def definitions(long_lists: bool = False) -> dict[str, str]:
     """Hospital table -> SQL text with ``{driver or hospital table}`` left open."""
-    keys = {n: LONG_KEYS if long_lists else _SHORT.get(n, SMALL_KEYS) for n in LISTS}
-    lists = {n: text.replace("{keys}", keys[n]) for n, text in LISTS.items()}
+    keys = LONG_KEYS if long_lists else SMALL_KEYS
+    lists = {n: text.replace("{keys}", keys) for n, text in LISTS.items()}
     return {**FACTS, **CATALOGUES, **CHANGES, **lists}
 
 

@@ -16,6 +16,8 @@ class Tables(Mapping[str, DataFrame]):
         self.spark = spark
         self._makers = dict(makers)
         self._built: dict[str, DataFrame] = {}
+        self.dates: dict = {}
+        """Child table to its ``dates.DateRule``."""
 
     def __getitem__(self, name: str) -> DataFrame:
         if name not in self._built:
@@ -34,10 +36,18 @@ class Tables(Mapping[str, DataFrame]):
 
     def with_tables(self, **changed: DataFrame) -> "Tables":
         """The same tables with some replaced, e.g. by corrected ones."""
-        return Tables(self.spark, {**self._makers, **self._built, **changed})
+        rules = {n: r for n, r in self.dates.items() if n not in changed and r.parent not in changed}
+        return Tables(self.spark, {**self._makers, **self._built, **changed}).with_dates(rules)
+
+    def with_dates(self, rules: Mapping) -> "Tables":
+        """The same tables with date rules for some."""
+        out = Tables(self.spark, {**self._makers, **self._built})
+        out.dates = {**self.dates, **rules}
+        return out
 
     def without(self, *names: str) -> "Tables":
-        return Tables(self.spark, {n: m for n, m in self._makers.items() if n not in names})
+        rules = {n: r for n, r in self.dates.items() if n not in names and r.parent not in names}
+        return Tables(self.spark, {n: m for n, m in self._makers.items() if n not in names}).with_dates(rules)
 
 
 def load_parquet(spark: SparkSession, root: str, names: list[str]) -> Tables:
@@ -105,11 +115,14 @@ def read_code_list(spark: SparkSession, path: str, column: str = "code") -> Data
 def read_rows(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """Imported rows under an explicit schema, with the input position kept in ``_pos``.
 
-    The position decides which row wins when a key is given twice; it only has
-    to be ordered, so no pass over the data is needed to make it dense.
+    The position decides which row wins when a key is given twice: file by name, then
+    block and row within it.  It only has to be ordered, so no pass over the data is
+    needed to make it dense.
     """
     if path.rstrip("/").endswith(".csv"):
         rows = spark.read.schema(schema).option("header", True).option("escape", '"').csv(path)
     else:
         rows = spark.read.schema(schema).json(path)
-    return rows.withColumn("_pos", F.monotonically_increasing_id())
+    # rows of a block are read in order by one task, which numbers them in order
+    row = F.monotonically_increasing_id().alias("row")
+    return rows.withColumn("_pos", F.struct(F.col("_metadata.file_path"), F.col("_metadata.file_block_start"), row))

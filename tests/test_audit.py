@@ -85,17 +85,29 @@ def test_bands(spark, pct, rules, records):
 
 
 def test_missing_rows_come_in_order(tables):
-    rows = audit.audit_missing_rows(tables, Rule("s", "thing", "name"), limit=2).collect()
-    assert [r.code for r in rows] == ["2", "3"]
+    rows = audit.audit_missing_rows(tables, Rule("s", "thing", "name")).collect()
+    assert [r.code for r in rows][:2] == ["2", "3"]
     with pytest.raises(ValueError):
         audit.audit_missing_rows(tables, Rule("s", "thing", "nothere"))
 
 
-def test_missing_rows_of_many_are_capped_only_on_request(spark, sf):
-    t = bind(spark, sf, long_lists=True)
-    rule = Rule("bill", "nondrugitems", "ename")
-    whole = audit.audit_missing_rows(t, rule, limit=None).count()
-    assert audit.audit_missing_rows(t, rule, limit=3).count() == 3 < whole
+def test_missing_linked_rows(spark, make):
+    main = make("k string, name string, missing string", ("a", "x", "m"), ("b", "y", "m"), ("c", "z", "m"), (None, "n", "m"))
+    other = make("k string, code string, price string", ("a", "1", ""), ("a", None, "0"), ("b", "", None))
+
+    def failing(*rows):
+        t = Tables(spark, {"main": main.drop("missing"), "other": make("k string, code string, price string", *rows)})
+        found = audit.audit_missing_linked_rows(t, "main", "other", "k", ("code", "price!0"), "name <> 'none'").collect()
+        return sorted((r.missing, r.k or "") for r in found)
+
+    rows = [tuple(r) for r in other.collect()]
+    every = ["", "a", "b", "c"]
+    assert failing(*rows) == sorted(
+        [("other", "c"), ("other.code", "b"), ("other.code", "c")] + [("other.price", k) for k in every]
+    )
+    # a filled row without a key: nothing is known to fail the rules it meets
+    assert failing(*rows, (None, "2", None)) == [("other.price", k) for k in every]
+    assert failing() == sorted((rule, k) for rule in ("other", "other.code", "other.price") for k in every)
 
 
 def test_charge_categories_without_a_category_table(spark, sf):

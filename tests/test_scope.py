@@ -3,10 +3,12 @@
 import datetime as dt
 
 import pytest
+from pyspark.sql import functions as F
 
 from claimlens.operators import fdh, inpatient, outpatient, rules
 from claimlens.operators.scope import payer_scope, with_children
 from claimlens.params import Params
+from claimlens.sources import dates
 from claimlens.sources.binding import bind
 from claimlens.sources.tables import Tables
 
@@ -69,15 +71,48 @@ def test_two_windows_make_one(spark, sf, name):
     assert parts.exceptAll(whole).count() == 0 and whole.exceptAll(parts).count() == 0
 
 
-@pytest.mark.parametrize(
-    "operator",
-    [outpatient.billitems, outpatient.opservice, outpatient.dispensing, outpatient.opdx, fdh.fdh_dru, fdh.fdh_phdb, rules.cancer_missing_z],
-)
-def test_dated_children_change_the_scan_and_not_the_rows(spark, sf, operator):
-    t = bind(spark, sf)
-    p = Params("1996-01-01", "1997-12-31")
-    whole, pruned = operator(t, p), operator(t, p.but(dated_children=True))
-    assert whole.exceptAll(pruned).count() == 0 and pruned.exceptAll(whole).count() == 0
+FILES = [
+    outpatient.billtran_funnel, outpatient.billitems, outpatient.opservice, outpatient.dispensing, outpatient.opdx,
+    fdh.fdh_orf, fdh.fdh_odx, fdh.fdh_dru, fdh.fdh_phdb, rules.cancer_missing_z,
+]
+
+
+@pytest.fixture(scope="module")
+def stored(spark, sf, tmp_path_factory):
+    """The hospital's tables as files, charge lines and diagnoses with a date rule; some lines are days off or undated."""
+    root, bound = tmp_path_factory.mktemp("hospital"), bind(spark, sf)
+    moved = F.when(F.col("qty") % 7 == 0, F.date_add("vstdate", 3)).when(F.col("qty") % 11 == 0, None).otherwise(F.col("vstdate"))
+    for name in bound:
+        rows = bound[name]
+        if name == "opitemrece":
+            rows = rows.withColumn("vstdate", moved)
+        rows.write.parquet(f"{root}/{name}")
+    t = Tables(spark, {p.name: spark.read.parquet(str(p)) for p in root.iterdir()})
+    dates.write_rules(t, f"{root}-rules", {"opitemrece": "ovst", "ovstdiag": "ovst"})
+    return t, dates.with_rules(t, f"{root}-rules"), f"{root}-rules"
+
+
+@pytest.mark.parametrize("operator", FILES)
+def test_date_rules_change_the_scan_and_not_the_rows(stored, operator):
+    whole, ruled, _ = stored
+    p = Params("1996-03-01", "1996-09-30")
+    plain, pruned = operator(whole, p), operator(ruled, p)
+    assert plain.exceptAll(pruned).count() == 0 and pruned.exceptAll(plain).count() == 0
+
+
+def test_date_rules_are_checked(stored, spark):
+    whole, ruled, path = stored
+    rule = ruled.dates["opitemrece"]
+    assert rule.undated and {hi for _, hi in rule.months.values()} == {3} and not whole.dates
+    assert not ruled.dates["ovstdiag"].undated
+    changed = dates.with_rules(whole.with_tables(opitemrece=whole["opitemrece"].where("qty > 1"), ovst=whole["ovst"]), path)
+    assert set(changed.dates) == {"opitemrece", "ovstdiag"}  # the same files
+    other = spark.createDataFrame([("1", None)], "vn string, vstdate date")
+    assert set(dates.with_rules(whole.with_tables(opitemrece=other), path).dates) == {"ovstdiag"}
+    assert set(ruled.with_tables(opitemrece=other).dates) == {"ovstdiag"}
+    assert not ruled.with_tables(ovst=other).dates
+    empty = Params("1970-01-01", "1970-01-31")
+    assert whole["opitemrece"].where(rule.condition(empty)).where("vstdate IS NOT NULL").count() == 0
 
 
 def test_intersect_is_within_override(spark, sf):
@@ -88,13 +123,6 @@ def test_intersect_is_within_override(spark, sf):
     assert narrow.exceptAll(wide).count() == 0 and 0 < narrow.count() < wide.count()
 
 
-def test_limit_follows_a_total_order(spark, sf):
-    t = bind(spark, sf)
-    p = Params("1995-01-01", "2002-01-01", limit=5)
-    rows = [r.vn for r in outpatient.visit_list(t, p).collect()]
-    assert len(rows) == 5 and rows == [r.vn for r in outpatient.visit_list(t, p).collect()]
-
-
 def test_branches_of_the_entitlement_file(spark, sf):
     t = bind(spark, sf)
     p = Params("1995-01-01", "2002-01-01")

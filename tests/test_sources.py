@@ -2,6 +2,7 @@
 
 import glob
 
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from claimlens.sources.tables import load_jdbc, load_parquet, read_code_list, read_rows, write_csv
@@ -40,3 +41,22 @@ def test_imported_lists(spark, tmp_path):
     schema = T.StructType([T.StructField("icode", T.StringType()), T.StructField("name", T.StringType())])
     got = read_rows(spark, str(rows), schema).orderBy("_pos").collect()
     assert [(r.icode, r.name) for r in got] == [("1", 'a "b"'), ("2", "c")]
+
+
+def test_imported_position_follows_files_and_rows(spark, tmp_path):
+    """The last row of the last file wins, whichever file is read first or is larger."""
+    folder = tmp_path / "rows"
+    folder.mkdir()
+    (folder / "a.json").write_text("".join('{"icode": "1", "name": "a%05d"}\n' % k for k in range(20_000)), encoding="utf-8")
+    (folder / "b.json").write_text('{"icode": "1", "name": "b0"}\n{"icode": "1", "name": "b1"}\n', encoding="utf-8")
+    schema = T.StructType([T.StructField("icode", T.StringType()), T.StructField("name", T.StringType())])
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        for size in ("64k", before):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            got = [r.name for r in read_rows(spark, str(folder), schema).orderBy("_pos").collect()]
+            assert got == sorted(got) and len(got) == 20_002
+            winner = read_rows(spark, str(folder), schema).groupBy("icode").agg(F.max_by("name", "_pos").alias("name"))
+            assert winner.first().name == "b1"
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
