@@ -50,31 +50,46 @@ def _lab(table: str, code: str, name: str, icode: str, price: str, group: str, a
         return x if kind == "Profile" else f"CASE WHEN {text(x)} THEN {x} ELSE 'ไม่ผูกค่าใช้จ่าย' END"
 
     return f"""
-SELECT q.lab_items_group_name, g.{code} AS lab_code, {shown('g.' + icode)} AS lab_icode,
+SELECT g.in_group AS lab_items_group_name, g.{code} AS lab_code, {shown('g.' + icode)} AS lab_icode,
   c.lab_catalog_lc_code AS lab_catalog_icode, g.no_lab_catalog, g.{name} AS lab_name, g.{price} AS price,
   {shown('g.tmlt_code')} AS lab_tmlt, c.lab_catalog_tmlt, c.lab_catalog_name, n.name AS nondrug_name, '{kind}' AS lab_type,
-  n.sks_coverage_price, r.price AS pttype_price,
+  n.sks_coverage_price, n.special AS pttype_price,
   {_state('g.' + icode, 'c.lab_catalog_lc_code', 'g.no_lab_catalog', other)} AS lab_catalog_icode_check,
   {_state('g.tmlt_code', 'c.lab_catalog_tmlt', 'g.no_lab_catalog', other)} AS lab_catalog_tmlt_check,
-  CASE WHEN n.sks_coverage_price IS NULL OR r.price IS NULL THEN '' WHEN n.sks_coverage_price = r.price THEN 'Y'
-       ELSE 'N' END AS sks_price_check
-FROM {table} g LEFT JOIN lab_items_group q ON q.lab_items_group_code = g.{group}
-LEFT JOIN lab_catalog_import_detail c ON c.lab_catalog_lc_code = g.{icode} LEFT JOIN nondrugitems n ON n.icode = g.{icode}
-LEFT JOIN pttype_items_price r ON r.items_table_code = n.icode AND r.pttype = '*1'
-WHERE {active}"""
+  coalesce(CASE n.sks_coverage_price = n.special WHEN true THEN 'Y' WHEN false THEN 'N' END, '') AS sks_price_check
+FROM (
+  SELECT {code}, {name}, {icode}, {price}, tmlt_code, no_lab_catalog,
+    (SELECT max(w.lab_items_group_name) FROM lab_items_group w WHERE w.lab_items_group_code = own.{group}) AS in_group
+  FROM {table} own WHERE {active}) g
+LEFT JOIN (
+  SELECT item.*, (SELECT max(s.price) FROM pttype_items_price s WHERE s.pttype = '*1' AND s.items_table_code = item.icode) AS special
+  FROM nondrugitems item) n ON n.icode = g.{icode}
+LEFT JOIN (SELECT DISTINCT lab_catalog_lc_code, lab_catalog_tmlt, lab_catalog_name FROM lab_catalog_import_detail) c
+  ON c.lab_catalog_lc_code = g.{icode}"""
+
+
+def _name(table: str, key: str, shown: str, own: str) -> str:
+    """The name that a code of ``x`` has in a list."""
+    return f"(SELECT max(w.{shown}) FROM {table} w WHERE w.{key} = x.{own})"
 
 
 def _drug(price: str, extra: str = "") -> str:
-    more = f", {extra}" if extra else ""
+    checked = ck(sks_price=has("d.sks_price"), sks_product_category_name=text("d.sks_product_category_name"),
+                 sks_claim_control_type_name=text("d.sks_claim_control_type_name"), sks_drug_code=text("d.sks_drug_code"))
+    shown = "icode drugname strength units unitprice dosageform generic_name trade_name income_name sks_price " \
+        "sks_product_category_name sks_claim_control_type_name sks_drug_code"
+    columns = ", ".join(f"d.{c}" for c in (*shown.split(), *extra.split()))
     return f"""
-SELECT d.icode, d.name AS drugname, d.strength, d.units, d.unitprice, d.dosageform, d.generic_name, d.trade_name,
-  i.name AS income_name, d.{price} AS sks_price, c.sks_product_category_name, k.sks_claim_control_type_name,
-  d.sks_drug_code{more}, {ck(sks_price=has('d.' + price), sks_product_category_name=text('c.sks_product_category_name'),
-      sks_claim_control_type_name=text('k.sks_claim_control_type_name'), sks_drug_code=text('d.sks_drug_code'))}
-FROM drugitems d LEFT JOIN sks_product_category c ON c.sks_product_category_id = d.sks_product_category_id
-LEFT JOIN sks_claim_control_type k ON k.sks_claim_control_type_id = d.sks_clain_control_type_id
-LEFT JOIN sks_drug_code z ON z.sks_drug_code = d.sks_drug_code LEFT JOIN income i ON i.income = d.income
-LEFT JOIN nhso_adp_type a ON a.nhso_adp_type_id = d.nhso_adp_type_id WHERE d.istatus = 'Y'"""
+SELECT {columns}, {checked}
+FROM (
+  SELECT x.* REPLACE (x.{price} AS sks_price), x.name AS drugname,
+    {_name('income', 'income', 'name', 'income')} AS income_name,
+    {_name('sks_product_category', 'sks_product_category_id', 'sks_product_category_name', 'sks_product_category_id')}
+      AS sks_product_category_name,
+    {_name('sks_claim_control_type', 'sks_claim_control_type_id', 'sks_claim_control_type_name', 'sks_clain_control_type_id')}
+      AS sks_claim_control_type_name,
+    {_name('nhso_adp_type', 'nhso_adp_type_id', 'nhso_adp_type_name', 'nhso_adp_type_id')} AS nhso_adp_type_name
+  FROM drugitems x WHERE x.istatus = 'Y') d"""
 
 
 def _matched(table: str, columns: str, own: str, other: str, key: str, flag: str) -> str:
@@ -158,27 +173,28 @@ SELECT n.icode, n.name, {_CLEAN}, n.unit, n.price, n.billcode, n.income, i.name
 {_ITEMS} WHERE n.istatus = 'Y'""",
     "check_lab": _lab(
         "lab_items_sub_group", "lab_items_sub_group_code", "lab_items_sub_group_name", "group_icode", "group_price",
-        "lab_items_group_code", "coalesce(g.active_status, '') IN ('Y', '')", "Profile",
+        "lab_items_group_code", "coalesce(own.active_status, '') IN ('Y', '')", "Profile",
     )
     + "\nUNION ALL"
     + _lab(
-        "lab_items", "lab_items_code", "lab_items_name", "icode", "service_price", "lab_items_group", "g.active_status = 'Y'", "Item"
+        "lab_items", "lab_items_code", "lab_items_name", "icode", "service_price", "lab_items_group", "own.active_status = 'Y'", "Item"
     ),
     "check_bloodbank": f"""
-SELECT DISTINCT b.blb_bloodbank_items_id AS bloodbank_id, b.blb_bloodbank_items_name AS bloodbank_name,
-  b.icode AS bloodbank_icode, b.blb_bloodbank_items_unit AS bloodbank_unit, b.tmlt_code AS bloodbank_tmlt,
-  c.lab_catalog_lc_code AS lab_catalog_icode, c.lab_catalog_tmlt, c.lab_catalog_name, n.name AS nondrug_name,
-  l.no_lab_catalog, {ck(bloodbank_tmlt=text('b.tmlt_code'), lab_catalog_icode=text('c.lab_catalog_lc_code'),
-                        lab_catalog_tmlt=text('c.lab_catalog_tmlt'))}
-FROM blb_bloodbank_items b LEFT JOIN lab_catalog_import_detail c ON c.lab_catalog_lc_code = b.icode
-LEFT JOIN nondrugitems n ON n.icode = b.icode LEFT JOIN lab_items l ON l.icode = b.icode WHERE b.active = 'Y'""",
+SELECT x.blb_bloodbank_items_id AS bloodbank_id, x.blb_bloodbank_items_name AS bloodbank_name, x.icode AS bloodbank_icode,
+  x.blb_bloodbank_items_unit AS bloodbank_unit, x.tmlt_code AS bloodbank_tmlt, entry.lab_catalog_lc_code AS lab_catalog_icode,
+  entry.lab_catalog_tmlt, entry.lab_catalog_name, {_name('nondrugitems', 'icode', 'name', 'icode')} AS nondrug_name,
+  test.no_lab_catalog, {ck(bloodbank_tmlt=text('x.tmlt_code'), lab_catalog_icode=text('entry.lab_catalog_lc_code'),
+                           lab_catalog_tmlt=text('entry.lab_catalog_tmlt'))}
+FROM (SELECT DISTINCT * FROM blb_bloodbank_items WHERE active = 'Y') x
+LEFT JOIN (SELECT DISTINCT icode, no_lab_catalog FROM lab_items) test USING (icode)
+LEFT JOIN (SELECT DISTINCT * FROM lab_catalog_import_detail) entry ON entry.lab_catalog_lc_code = x.icode""",
     "check_xray": f"""
 SELECT x.xray_items_code AS xray_code, x.xray_items_name AS xray_name, x.exposure_qty, x.service_price AS price,
   x.icode AS xray_icode, n.icode AS n_icode, {ck(n_icode=has('n.icode'))}, n.name AS n_name, n.billcode
 FROM xray_items x LEFT JOIN nondrugitems n ON n.icode = x.icode WHERE x.active_status = 'Y'""",
     "check_drug": _drug("sks_price"),
     "check_drug_reimb": _drug("sks_reimb_price"),
-    "check_drug_fdh": _drug("sks_price", "d.csmbs_claim_cat, a.nhso_adp_type_name, d.nhso_adp_code, d.ttmt_code"),
+    "check_drug_fdh": _drug("sks_price", "csmbs_claim_cat nhso_adp_type_name nhso_adp_code ttmt_code"),
     "check_icd10tm": f"""
 SELECT o.code, c.code AS icd10_sks, {yn(text('c.code'))} AS cut_check, {yn(text('o.code'))} AS import_check
 FROM ovst_sks_icd10tm o LEFT JOIN sks_icd10tm_check c ON c.code = o.code""",
@@ -205,13 +221,11 @@ SELECT spclty, name, provis_code, nhso_code, {yn("provis_code <> '' OR length(pr
         f""", {yn("x.f43_rehab_code <> ''")} AS export43_check""" + _switch("icd9_ipd_active_status", "ipd_active"),
     ),
     "check_health_med": f"""
-SELECT x.health_med_operation_item_id, x.health_med_operation_item_name, x.price, n.name AS nonname, x.icd10tm,
-  r.health_med_operation_item_id AS organ_id, {ck(price="x.icode <> '' AND x.icode = n.icode", icd10tm=has('x.icd10tm'),
-                                                  organ=has('r.health_med_operation_item_id'))}
-FROM health_med_operation_item x LEFT JOIN nondrugitems n ON n.icode = x.icode
-LEFT JOIN health_med_operation_code m ON m.icd10tm = x.icd10tm
-LEFT JOIN (SELECT DISTINCT health_med_operation_item_id FROM health_med_operation_item_organ) r
-  ON r.health_med_operation_item_id = x.health_med_operation_item_id
+SELECT x.health_med_operation_item_id, x.health_med_operation_item_name, x.price,
+  {_name('nondrugitems', 'icode', 'name', 'icode')} AS nonname, x.icd10tm, x.organ_id,
+  {ck(price="x.icode <> '' AND x.icode IN (SELECT icode FROM nondrugitems)", icd10tm=has('x.icd10tm'), organ=has('x.organ_id'))}
+FROM (SELECT *, CASE WHEN health_med_operation_item_id IN (SELECT health_med_operation_item_id FROM health_med_operation_item_organ)
+    THEN health_med_operation_item_id END AS organ_id FROM health_med_operation_item) x
 WHERE x.health_med_operation_type_id IS NOT NULL""",
     "check_dental": _procedure("dttm", "x.code, x.name, x.opd_price1, x.icd9cm", "icd9cm", "icd9cm", "", _switch("export_eclaim_icd10tm", "export_proced")),
     "check_thai_doctor": f"""
