@@ -1,18 +1,24 @@
 """Benchmark decontamination by template windows, in DataFrame functions only.
 
-Text becomes tokens: words and numbers; punctuation only tells where sentences end.
-Numbers, names (a capital inside a sentence) and units become typed placeholders, other
-words lose their case.  Windows of ``width`` tokens with enough literal words are hashed
-and joined with those of the benchmark.  For a document and an item at one alignment,
-the slots (what stood at the placeholders) must be replaced consistently: each value of
-the item by one value of the document and the reverse, so a question asked again with
-other numbers or names is caught and a chance mix of values is not.  An item counts as
+Text becomes tokens: words, numbers, and single characters of scripts written without
+blanks; punctuation only tells where sentences end.  Numbers, names (a capital inside a
+sentence), units and capitalised words that start a sentence (names or not) become typed
+placeholders, other words lose their case.  Windows of ``width`` tokens with enough literal
+words are hashed and joined with those of the benchmark.  For a document and an item at one
+alignment, the slots (what stood at the placeholders) must be replaced consistently: each
+value of the item by one value of the document and the reverse, so a question asked again
+with other numbers or names is caught and a chance mix of values is not.  An item counts as
 leaked when its covered tokens reach ``percent`` of it.
 
+Items without such a window (short ones, sums, lists of names) are looked for as they are:
+by windows of their own length, at most ``width``, over tokens with their values.
+
+Texts are read once: a window that is in the benchmark takes its tokens along.
+
 Defined cases: null and empty texts on either side give nothing; an item of fewer than
-``width`` tokens, or without a window of enough literal words, is not looked for;
-repeated rows are found each, rows with the same doc_id and text count as one document; a null
-doc_id is kept as such; empty tables give no rows; other columns are not looked at.
+``least`` tokens says nothing about a text and is not looked for; repeated rows are found
+each, rows with the same doc_id and text count as one document; a null doc_id is kept as such;
+empty tables give no rows; other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -40,17 +46,21 @@ class Params:
     width: int = 8
     literals: int = 4
     percent: int = 50
+    least: int = 3
     broadcast_rows: int = 500_000
     """Benchmark windows are broadcast up to this many (8 bytes each and a few for the item)."""
 
 
 _DOC = ["doc_id", "text_hash"]
 """What names a document."""
-_MARK = "\x01"
+_NAMED, _FIRST = "\x01", "\x02"
+"""Marks before a capital inside a sentence, and before any other."""
 _INSIDE = r"(?<=[^.!?\s\x01][ \t]{1,4})(?=\p{Lu})"
-"""Before a capital that does not start a sentence."""
-_TOKEN = r"\x01?[\p{L}\p{M}]+|[0-9]+(?:[.,:/][0-9]+)*"
-_NUMBER, _NAME, _UNIT = "<number>", "<name>", "<unit>"
+_OUTSIDE = r"(?<![\p{L}\p{M}\x01])(?=\p{Lu})"
+_JOINED = r"\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}"
+"""Scripts written without blanks."""
+_TOKEN = rf"[\x01\x02]?[\p{{L}}\p{{M}}&&[^{_JOINED}]]+|[{_JOINED}]|[0-9]+(?:[.,:/][0-9]+)*"
+_NUMBER, _NAME, _UNIT, _START = "<number>", "<name>", "<unit>", "<start>"
 
 
 def _forms(tokens: Column) -> Column:
@@ -58,6 +68,7 @@ def _forms(tokens: Column) -> Column:
     return F.transform(
         tokens,
         lambda t: F.when(F.ascii(t) == 1, F.lit(_NAME))
+        .when(F.ascii(t) == 2, F.lit(_START))
         .when(F.ascii(t) <= 57, F.lit(_NUMBER))
         .when(t.isin(*UNITS), F.lit(_UNIT))
         .otherwise(t),
@@ -65,21 +76,50 @@ def _forms(tokens: Column) -> Column:
 
 
 def _tokenised(rows: DataFrame, *keep: str) -> DataFrame:
-    """``keep`` with the columns tokens (lower case, names marked) and forms."""
-    marked = F.regexp_replace(F.replace(F.col("text"), F.lit(_MARK), F.lit(" ")), _INSIDE, _MARK)
+    """``keep`` with the columns tokens (lower case, capitals marked) and forms."""
+    marked = F.regexp_replace(F.translate(F.col("text"), _NAMED + _FIRST, "  "), _INSIDE, _NAMED)
+    marked = F.regexp_replace(marked, _OUTSIDE, _FIRST)
     tokens = F.regexp_extract_all(F.lower(marked), F.lit(_TOKEN), F.lit(0))
     rows = rows.select(*keep, tokens.alias("tokens"))
     return rows.select(*keep, "tokens", _forms(F.col("tokens")).alias("forms"))
 
 
-def _windows(rows: DataFrame, keep: list[str], p: Params) -> DataFrame:
-    """``keep``, place and hash of every window of the column ``forms``."""
-    starts = F.when(F.size("forms") >= p.width, F.sequence(F.lit(0), F.size("forms") - p.width))
+def _plain(token: Column) -> Column:
+    return F.translate(token, _NAMED + _FIRST, "")
+
+
+def _windows(rows: DataFrame, keep: list[str], exact: list[int], p: Params) -> DataFrame:
+    """``keep``, tokens, place, size and hash of every template window, and of every exact window of the sizes ``exact``.
+
+    ``size`` is 0 for a template window of ``width`` tokens.
+    """
+    least = min([p.width, *exact])
+    starts = F.when(F.size("forms") >= least, F.sequence(F.lit(0), F.size("forms") - least))
     # outer: Spark would otherwise compute the tokens a second time to leave out texts without a window
-    placed = rows.select(*keep, "forms", starts.alias("starts")).withColumn("place", F.explode_outer("starts"))
+    placed = rows.select(*keep, "tokens", "forms", starts.alias("starts")).withColumn("place", F.explode_outer("starts"))
     placed = placed.filter("place is not null")
-    forms = [F.get("forms", F.col("place") + k) for k in range(p.width)]
-    return placed.select(*keep, "place", F.xxhash64(*forms).alias("h"))
+    template = F.xxhash64(*(F.get("forms", F.col("place") + k) for k in range(p.width)))
+    if not exact:
+        return placed.select(*keep, "tokens", "place", F.lit(0).alias("size"), template.alias("h"))
+    hashes = [(0, p.width, template)]
+    hashes += [(n, n, F.xxhash64(F.lit(n), *(_plain(F.get("tokens", F.col("place") + k)) for k in range(n)))) for n in exact]
+    inside = [F.when(F.col("place") + n <= F.size("forms"), F.struct(F.lit(size).alias("size"), h.alias("h"))) for size, n, h in hashes]
+    each = placed.select(*keep, "tokens", "place", F.explode(F.array(*inside)).alias("w")).filter("w is not null")
+    return each.select(*keep, "tokens", "place", "w.size", "w.h")
+
+
+def _benchmark_windows(items: DataFrame, p: Params) -> DataFrame:
+    """(item, size, h, item_place): template windows with enough literals; exact ones of items that have none."""
+    literal = F.size(F.filter(F.slice("forms", F.col("place") + 1, p.width), lambda x: ~x.startswith("<")))
+    named = items.select("item", "tokens", "forms")
+    template = _windows(named, ["item", "forms"], [], p).filter(literal >= p.literals).drop("forms", "tokens")
+    template = store(template.withColumnRenamed("place", "item_place"), "windows")
+    rest = named.join(template.select("item"), "item", "left_anti").filter(F.size("tokens") >= p.least)
+    exact = _windows(rest, ["item"], list(range(p.least, p.width + 1)), p).join(
+        rest.select("item", F.least(F.size("tokens"), F.lit(p.width)).alias("own")), "item"
+    )
+    exact = exact.filter("size = own").select("item", F.col("place").alias("item_place"), "size", "h")
+    return store(template.select("item", "item_place", "size", "h").union(exact).distinct(), "windows")
 
 
 def leaks(
@@ -96,32 +136,31 @@ def leaks(
     items = benchmark.select(F.col(item_id).alias("item_id"), F.col(item_text).cast("string").alias("text"))
     items = items.dropDuplicates(["item_id", "text"]).withColumn("item", F.xxhash64("item_id", "text"))
     items = store(_tokenised(items, "item_id", "item"), "items")
-    literal = F.size(F.filter(F.slice("forms", F.col("place") + 1, p.width), lambda x: ~x.startswith("<")))
-    theirs = _windows(items, ["item"], p).join(items.select("item", "forms"), "item")
-    theirs = store(theirs.filter(literal >= p.literals).select("h", "item", F.col("place").alias("item_place")), "windows")
-    keys = theirs.select("h").distinct()
-    if theirs.count() <= p.broadcast_rows:
+    theirs = _benchmark_windows(items, p)
+    sizes = [r["size"] for r in theirs.filter("size > 0").select("size").distinct().collect()]  # at most ``width``
+    keys = theirs.select("size", "h").distinct()
+    small = theirs.count() <= p.broadcast_rows
+    windows = _windows(_tokenised(docs, *_DOC), _DOC, sorted(sizes), p)
+    own = F.slice("tokens", F.col("place") + 1, F.when(F.col("size") == 0, p.width).otherwise(F.col("size"))).alias("window")
+    columns = [*_DOC, "place", "size", "h"]
+    if small:
         keys, theirs = F.broadcast(keys), F.broadcast(theirs)
-    hits = _windows(_tokenised(docs, *_DOC), _DOC, p).join(keys, "h", "left_semi")
-    hits = store(hits.distinct(), "hits").join(theirs, "h")
-    hits = store(hits.select(*_DOC, "item", "place", "item_place").distinct(), "hits")
-    return _leaked(hits, docs, items, p)
+        hits = windows.join(keys, ["size", "h"], "left_semi").select(*columns, own)
+    else:  # a window's tokens are cut out before it is shuffled
+        hits = windows.select(*columns, own).join(keys, ["size", "h"], "left_semi")
+    hits = store(hits.dropDuplicates([*_DOC, "place", "size"]), "hits").join(theirs, ["size", "h"])
+    return _leaked(hits, items, p)
 
 
-def _leaked(hits: DataFrame, docs: DataFrame, items: DataFrame, p: Params) -> DataFrame:
+def _leaked(hits: DataFrame, items: DataFrame, p: Params) -> DataFrame:
     """Alignments of a document and an item, slots checked, coverage over all consistent alignments."""
-    hits = hits.withColumn("shift", F.col("place") - F.col("item_place"))
-    covered = hits.select(*_DOC, "item", "shift", F.explode(F.sequence("item_place", F.col("item_place") + p.width - 1)).alias("at"))
-    covered = covered.distinct().join(items.select("item", "tokens", "forms"), "item")
+    each = hits.select(*_DOC, "item", "item_place", (F.col("place") - F.col("item_place")).alias("shift"), F.posexplode("window").alias("k", "ours"))
+    each = each.withColumn("at", F.col("item_place") + F.col("k"))
+    covered = each.groupBy(*_DOC, "item", "shift", "at").agg(F.min("ours").alias("ours"))  # equal in all windows
+    covered = covered.join(items.select("item", "tokens", "forms"), "item")
     theirs, form = F.get("tokens", F.col("at")).alias("theirs"), F.get("forms", F.col("at")).alias("form")
-    covered = covered.select(*_DOC, "item", "shift", "at", theirs, form)
-    covered = store(covered, "covered")
+    covered = store(covered.select(*_DOC, "item", "shift", "at", "ours", theirs, form), "covered")
     slots = covered.filter(F.col("form").startswith("<"))
-    same = F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("text_hash") == F.col("hash"))
-    found = docs.join(slots.select(F.col("doc_id").alias("id"), F.col("text_hash").alias("hash")).distinct(), same, "left_semi")
-    found = _tokenised(found.distinct(), *_DOC).select(*(F.col(a).alias(b) for a, b in zip(_DOC, ("id", "hash"))), F.col("tokens").alias("raws"))
-    slots = slots.join(found, same)
-    slots = slots.withColumn("ours", F.get("raws", F.col("at") + F.col("shift"))).filter("ours is not null")
     each = slots.groupBy(*_DOC, "item", "shift").agg(
         F.countDistinct("form", "theirs", "ours").alias("pairs"),
         F.countDistinct("form", "theirs").alias("left"),

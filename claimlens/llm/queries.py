@@ -66,7 +66,8 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return minhash.near_duplicates(read(spark, sf_dir, "documents"), minhash.Params(width=3, percent=85)).drop("text_hash")
+    found = minhash.near_duplicates(read(spark, sf_dir, "documents"), minhash.Params(width=3, percent=85))
+    return found.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id"))).drop("text_hash")
 
 
 def op7_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,5 +1,6 @@
 """Text operators against brute force, exact round trips and held-out accuracy, and on awkward rows."""
 
+import functools
 import hashlib
 import zlib
 from itertools import combinations
@@ -446,3 +447,103 @@ def test_labelled_sample(spark):
     assert list(zip(["a", texts[1], "d"], good.tolist())) == [("a", True), (texts[1], False), ("d", True)] and texts[0] == "a"
     assert len(texts) == 3 and len(texts[1]) == 16 * 10 + 15 and set(texts[1]) == {"x", "\n"}
     assert labelled_sample(docs.limit(0), labels, "quality", 10, 160, 3)[0] == []
+
+
+ITEMS = [
+    (1, "12 + 30 * 5 - 7 / 2 = 159"),  # a sum: no literal words
+    (2, "Name the largest inland sea"),  # five words
+    (3, "日本の首都はどこですか教えてください"),  # no blanks
+    (4, "Alice bought 12 red apples for 3 dollars. Alice gave 4 apples to Bob before the long trip home."),
+    (5, "Paris London Rome Berlin Madrid Vienna Oslo Prague Athens"),  # names only
+    (6, "of"),  # says nothing
+]
+NOISE = "some other words that fill the text around it and mean nothing much at all"
+
+
+def test_items_without_template_windows_are_found(spark):
+    items = spark.createDataFrame(ITEMS, "item_id long, text string")
+    texts = [(k, f"{NOISE}. {text} {NOISE}") for k, text in ITEMS]
+    texts += [
+        (14, f"{NOISE}. Robert bought 17 red apples for 9 dollars. Robert gave 6 apples to Sue before the long trip home."),
+        (24, f"{NOISE}. Robert bought 17 red apples for 9 dollars. Martha gave 6 apples to Sue before the long trip home."),
+        (30, f"{NOISE} 12 + 30 * 5 - 8 / 2 = 160 {NOISE}"), (31, f"{NOISE} 日本の首都 {NOISE}"), (32, NOISE), (None, texts[1][1]),
+    ]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    for p in (decontaminate.Params(), decontaminate.Params(broadcast_rows=0)):
+        found = {(r.doc_id, r.item_id) for r in decontaminate.leaks(docs, items, p).collect()}
+        assert {(k, k) for k in (1, 2, 3, 4, 5)} | {(14, 4), (None, 2)} <= found
+        assert {d for d, _ in found} <= {1, 2, 3, 4, 5, 14, 24, 30, None} and not any(i == 6 for _, i in found)
+
+
+@functools.lru_cache(None)
+def plain_tokens(s):
+    import regex
+
+    joined = r"\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}"
+    out = []
+    for m in regex.finditer(rf"(?V1)[\p{{L}}\p{{M}}--[{joined}]]+|[{joined}]|[0-9]+(?:[.,:/][0-9]+)*", s or ""):
+        t = m.group()
+        if t[0].isdigit():
+            kind = "<number>"
+        elif regex.match(r"\p{Lu}", t):
+            inside = regex.search(r"[^.!?\s][ \t]{1,4}$", s[max(0, m.start() - 5) : m.start()])
+            kind = "<name>" if inside else "<start>"
+        else:
+            kind = "<unit>" if t.lower() in decontaminate.UNITS else t.lower()
+        out.append((t.lower(), kind))
+    return out
+
+
+def python_leaks(text, item, p=decontaminate.Params()):
+    """Plain template matching of one text and one item: every alignment, every window."""
+    a, b = plain_tokens(item), plain_tokens(text)
+    w = p.width
+    good = [k for k in range(len(a) - w + 1) if sum(not f.startswith("<") for _, f in a[k : k + w]) >= p.literals]
+    size = w if good else min(len(a), w)
+    if not good:
+        good = list(range(len(a) - size + 1)) if len(a) >= p.least else []
+        key = [t for t, _ in a], [t for t, _ in b]
+    else:
+        key = [f for _, f in a], [f for _, f in b]
+    at = {}
+    for k in range(len(b) - size + 1):
+        at.setdefault(tuple(key[1][k : k + size]), []).append(k)
+    shifts = {}
+    for k in good:
+        for place in at.get(tuple(key[0][k : k + size]), ()):
+            shifts.setdefault(place - k, set()).update(range(k, k + size))
+    covered = set()
+    for shift, places in shifts.items():
+        pairs = {(a[k][1], a[k][0], b[k + shift][0]) for k in places if a[k][1].startswith("<")}
+        if len(pairs) == len({x[:2] for x in pairs}) == len({(x[0], x[2]) for x in pairs}):
+            covered |= places
+    return len(covered) if a and covered and 100 * len(covered) >= p.percent * len(a) else 0
+
+
+def test_leaks_against_plain_template_matching(spark, sf, small):
+    items = spark.read.parquet(f"{sf}/benchmark.parquet").collect()
+    found = {(r.doc_id, r.item_id): r.n_covered for r in QUERIES["op10_decontamination"](spark, sf).collect()}
+    expected = {}
+    for d in small.collect():
+        for i in items:
+            if n := python_leaks(d.text, i.text):
+                expected[d.doc_id, i.item_id] = n
+    assert found == expected and found
+
+
+def test_linking_of_a_crowded_key(spark, monkeypatch):
+    """One key, a large component, many strays and links found only between strays: no pair is lost, none is paired twice over."""
+    monkeypatch.setattr(graph, "DIRECT_PAIRS_PER_ROW", 0)
+    linked = {(k, k + 1) for k in range(100)} | {(200, 205), (205, 230), (210, 299)}
+    members = [(7, k) for k in range(300)] + [(8, 1), (8, 250), (9, 300)]
+    seen = []
+
+    def verify(pairs):
+        rows = [(r.a, r.b) for r in pairs.collect()]
+        seen.append(len(rows))
+        return spark.createDataFrame([r for r in rows if r in linked], "a long, b long")
+
+    found = {r.id: r.component for r in graph.link(spark.createDataFrame(members, "key long, id long"), verify).collect()}
+    roots = {k: (0 if k <= 100 else 200 if k in (205, 230) else 210 if k == 299 else k) for k in range(300)}
+    assert {k: found.get(k, k) for k in range(300)} == roots
+    assert max(seen) <= graph.PIVOTS * 300
