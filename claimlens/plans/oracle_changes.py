@@ -43,6 +43,12 @@ r AS (
   QUALIFY row_number() OVER (PARTITION BY icode ORDER BY _pos DESC) = 1)"""
 
 
+def _taken(value: str, **fields: str) -> str:
+    """Columns of ``t`` that take the value of an edit ``e`` of their field."""
+    value = value.replace("value", "e.value")
+    return ", ".join(f"if(e.field = '{f}', {value}, t.{c}) AS {c}" for f, c in fields.items())
+
+
 def _without(rule: str, code: str) -> str:
     return f"""
 WITH hit AS ({RULES[rule]})
@@ -86,6 +92,38 @@ FROM ipt_pttype y LEFT JOIN approval_updates u ON u.an = y.an""",
     "lab_opt_out": """
 SELECT l.* REPLACE (CASE WHEN u.icode IS NULL THEN l.no_lab_catalog WHEN u.no_lab_catalog = 'Y' THEN 'Y' END AS no_lab_catalog)
 FROM lab_items l LEFT JOIN lab_switches u ON u.icode = l.icode""",
+    "lab_profile_opt_out": """
+WITH u AS (FROM profile_switches QUALIFY row_number() OVER (PARTITION BY group_icode ORDER BY _pos DESC) = 1)
+SELECT s.* REPLACE (CASE WHEN u.group_icode IS NULL THEN s.no_lab_catalog WHEN u.no_lab_catalog = 'Y' THEN 'Y' END AS no_lab_catalog)
+FROM lab_items_sub_group s LEFT JOIN u USING (group_icode)""",
+    "main_hospital": """
+WITH u AS (FROM hospital_updates QUALIFY row_number() OVER (PARTITION BY vn ORDER BY _pos DESC) = 1)
+SELECT v.* REPLACE (if(u.vn IS NULL, v.hospmain, nullif(u.hospmain, '')) AS hospmain) FROM visit_pttype v LEFT JOIN u ON u.vn = v.vn""",
+    "morphine_row": """
+SELECT m.drug_morphine_id, coalesce(u.icode, m.icode) AS icode, if(u.icode IS NULL, m.name, nullif(u.name, '')) AS name,
+  if(u.icode IS NULL, m.strength, nullif(u.strength, '')) AS strength, if(u.icode IS NULL, m.units, nullif(u.units, '')) AS units
+FROM drug_morphine m LEFT JOIN morphine_rows u ON u.drug_morphine_id = m.drug_morphine_id""",
+    "doctor_field_edits": f"""
+SELECT t.* REPLACE ({_taken('value', licenseno='licenseno', d_name='name', pname='pname', cid='cid')})
+FROM doctor t LEFT JOIN doctor_edits e ON e.code = t.code""",
+    "income_field_edits": f"""
+SELECT t.* REPLACE ({_taken("nullif(value, '')", income_name='name', group2='group2', std_group='std_group', drg_group='drg_group')})
+FROM income t LEFT JOIN income_edits e ON e.income = t.income""",
+    "xray_field_edits": f"""
+WITH e AS (FROM xray_edits WHERE field = 'xray_name' OR value IS NULL OR TRY_CAST(value AS DECIMAL(12,2)) IS NOT NULL)
+SELECT t.* REPLACE ({_taken('value', xray_name='xray_items_name')},
+  if(e.field = 'exposure_qty', CAST(e.value AS BIGINT), t.exposure_qty) AS exposure_qty,
+  if(e.field = 'price', CAST(e.value AS DECIMAL(12,2)), t.service_price) AS service_price)
+FROM xray_items t LEFT JOIN e ON e.xray_items_code = t.xray_items_code""",
+    "service_field_edits": f"""
+WITH e AS (SELECT icode, field, nullif(value, '') AS value FROM service_edits
+  WHERE field <> 'price' OR value IS NULL OR value = '' OR TRY_CAST(value AS DECIMAL(12,2)) IS NOT NULL
+  QUALIFY row_number() OVER (PARTITION BY icode, field ORDER BY _pos DESC) = 1),
+one AS (SELECT icode, {', '.join(f"max(value) FILTER (field = '{f}') AS {f}, bool_or(field = '{f}') AS has_{f}"
+                                  for f in ('name', 'unit', 'billcode', 'income', 'price'))} FROM e GROUP BY icode)
+SELECT t.* REPLACE ({', '.join(f"if(one.has_{f}, one.{f}, t.{f}) AS {f}" for f in ('name', 'unit', 'billcode', 'income'))},
+  if(one.has_price, CAST(one.price AS DECIMAL(12,2)), t.price) AS price)
+FROM nondrugitems t LEFT JOIN one ON one.icode = t.icode""",
     "drug_field_edits": """
 WITH e AS (
   SELECT icode, field, trim(value) AS clean FROM drug_edits WHERE field <> 'name'

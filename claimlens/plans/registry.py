@@ -177,6 +177,11 @@ def _update(name: str, updates: str) -> Operator:
     return lambda t, p: corrections.apply_keyed_updates(t[rule.table], t[updates], rule).table
 
 
+def _edits(table: str, edits: str) -> Operator:
+    policy = corrections.EDIT_POLICIES[table]
+    return lambda t, p: corrections.apply_field_edits(t[table], t[edits], policy).table
+
+
 def _cancer_drugs(t: Tables) -> corrections.Changed:
     return corrections.upsert_by_key(t["drugitems_cancer"], t["cancer_drug_rows"], "icode")
 
@@ -200,6 +205,13 @@ CORRECTIONS: dict[str, Operator] = {
     "debt_approval": _update("debt_approval", "approval_updates"),
     "admission_approval": _update("admission_approval", "approval_updates"),
     "lab_opt_out": _update("lab_opt_out", "lab_switches"),
+    "lab_profile_opt_out": _update("lab_profile_opt_out", "profile_switches"),
+    "main_hospital": _update("main_hospital", "hospital_updates"),
+    "morphine_row": _update("morphine_row", "morphine_rows"),
+    "doctor_field_edits": _edits("doctor", "doctor_edits"),
+    "income_field_edits": _edits("income", "income_edits"),
+    "xray_field_edits": _edits("xray_items", "xray_edits"),
+    "service_field_edits": _edits("nondrugitems", "service_edits"),
     "drug_field_edits": lambda t, p: corrections.apply_field_edits(
         t["drugitems"], t["drug_edits"], corrections.general_policy("drugitems")
     ).table,

@@ -734,7 +734,29 @@ SELECT {txt('o_orderkey')} AS vn, {PAYER} AS pttype,
 FROM {{orders}} WHERE {where}"""
 
 
+def _field_edits(key: str, name: str, fields: tuple[str, ...], values: tuple[str, ...]) -> str:
+    """One edit per key: fields and values in turn."""
+    field = " ".join(f"WHEN {i} THEN '{f}'" for i, f in enumerate(fields))
+    value = " ".join(f"WHEN {i} THEN {v}" for i, v in enumerate(values))
+    return f"""
+SELECT {key} AS {name}, CASE k % {len(fields)} {field} END AS field, CASE k % {len(values)} {value} END AS value, k AS _pos
+{_SUP}"""
+
+
+_WORDS = ("' x '", "''", "NULL", "'v' || CAST(k AS STRING)")
+_NUMBERS = ("'x1'", "'7'", "NULL", "'12'", "CAST(k % 90 AS STRING)", "''", "'3'")
 CHANGES: dict[str, str] = {
+    "doctor_edits": _field_edits(txt("k"), "code", ("licenseno", "d_name", "pname", "cid", "nothere"), _WORDS),
+    "income_edits": _field_edits(two("k"), "income", ("income_name", "group2", "std_group", "nothere", "drg_group"), _WORDS),
+    "xray_edits": _field_edits(txt("k"), "xray_items_code", ("xray_name", "exposure_qty", "price"), _NUMBERS),
+    "service_edits": _field_edits(service_of("k"), "icode", ("name", "unit", "billcode", "price", "income"), _NUMBERS),
+    "morphine_rows": f"""
+SELECT p_partkey AS drug_morphine_id, {item('p_partkey + 1')} AS icode, {emp('p_partkey', 3, 4, "'new ' || p_name")} AS name,
+    {emp('p_partkey', 4, 5, "'5 mg'")} AS strength, p_type AS units, p_partkey AS _pos
+FROM {{part}} WHERE p_partkey % 4 = 0""",
+    "profile_switches": f"""
+SELECT {service_of('k')} AS group_icode, CASE k % 3 WHEN 0 THEN 'Y' WHEN 1 THEN 'N' ELSE NULL END AS no_lab_catalog, k AS _pos
+{_SUP} WHERE k % 4 <> 1""",
     "scheme_edits": _edits(0, "TRUE") + "\nUNION ALL" + _edits(7, "k % 4 = 0") + "\nUNION ALL" + _edits(1, "k % 3 = 0"),
     "hospital_updates": _hospital_updates(0, "o_orderkey % 3 = 0") + "\nUNION ALL" + _hospital_updates(1, "o_orderkey % 6 = 0"),
     "cancer_drug_rows": _new_rows(0, "p_partkey % 12 = 0") + "\nUNION ALL" + _new_rows(1, "p_partkey % 24 = 0"),
