@@ -11,7 +11,7 @@ from claimlens.llm.common import discard, store
 
 DIRECT_PAIRS_PER_ROW = 1
 """Pairs left between components are compared at once when they are at most this many per banded row."""
-PIVOTS = 8
+PIVOTS = 16
 """Members of a key that meet the others in one round, after the first."""
 
 

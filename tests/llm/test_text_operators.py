@@ -91,8 +91,6 @@ def test_bayes_bounds_rise_with_the_batches():
 
 
 def brute_lines(rows, p):
-    import re
-
     place, sets = {}, {}
     for doc_id, text in rows:
         for k, line in enumerate((text or "").split("\n")):
@@ -101,7 +99,7 @@ def brute_lines(rows, p):
                 place.setdefault(line, set()).add((doc_id, k))
     lines = {min(at): line for line, at in place.items()}
     for first, line in lines.items():
-        sets[first] = {m.group(1) for m in re.finditer(r"(?=(.{1,%d}))[^ \t\n\x0b\f\r]+" % p.width, line)}
+        sets[first] = {line[k : k + p.width] for k in range(max(1, len(line) - p.width + 1))}
     stays = brute_components(sets, p.percent)
     gone = {}
     for first, line in lines.items():
@@ -116,6 +114,9 @@ def test_lines_against_brute_force(spark):
     vocabulary = ["".join(rng.choice(list("abcdefgh"), 5)) for _ in range(300)]
     lines = [" ".join(rng.choice(vocabulary, 30)) for _ in range(40)]
     near = [" ".join([*line.split()[:29], "changed"]) for line in lines[:10]]
+    near += [line[:47] + "#" + line[48:] for line in lines[10:20]]  # inside a word
+    tail = "z" * 60  # one long word that differs past its first characters only
+    near += [tail + "a" * 40, tail + "b" * 40, tail + "a" * 39 + "c"]
     rows = [(k, "\n".join(["", *rng.choice(lines + near, 4), "short", ""])) for k in range(60)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     p = line_dedup.Params()
@@ -534,6 +535,7 @@ def test_leaks_against_plain_template_matching(spark, sf, small):
 def test_linking_of_a_crowded_key(spark, monkeypatch):
     """One key, a large component, many strays and links found only between strays: no pair is lost, none is paired twice over."""
     monkeypatch.setattr(graph, "DIRECT_PAIRS_PER_ROW", 0)
+    monkeypatch.setattr(graph, "PIVOTS", 8)
     linked = {(k, k + 1) for k in range(40)} | {(42, 45), (45, 50), (46, 59)}
     members = [(7, k) for k in range(60)] + [(8, 1), (8, 55), (9, 300)]
     seen = []
