@@ -33,8 +33,9 @@ def quality_model(spark: SparkSession, sf_dir: str) -> byte_cnn.Model:
 def op1_window_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     counts = store(window_lm.word_counts(id_text(docs)), "word-counts")
-    words, weights = window_lm.fit(docs, counts=counts)
-    return window_lm.score(docs, words, weights, counts=counts)
+    p = window_lm.sized(counts)
+    words, weights = window_lm.fit(docs, p, counts=counts)
+    return window_lm.score(docs, words, weights, p, counts=counts)
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

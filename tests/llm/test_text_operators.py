@@ -16,6 +16,7 @@ from pyspark.sql import functions as F  # noqa: E402
 import corpus_pipeline  # noqa: E402
 from claimlens.llm import (  # noqa: E402
     bpe, byte_cnn, crf, decontaminate, graph, line_dedup, minhash, quality_rules, sharding, token_store, window_lm,
+    wordhash,
 )
 from claimlens.llm.common import shared_path  # noqa: E402
 from claimlens.llm.queries import QUERIES, fold  # noqa: E402
@@ -360,6 +361,106 @@ def test_lm_probabilities_add_up_to_one():
     assert abs(total - 1) < 1e-5
 
 
+def plain_lm(text, words_, w, p, shares):
+    """Sum of log P(word | both sides), place by place, with a softmax over all tokens written out."""
+
+    def token(word):
+        lower = bytes(c + 32 if 65 <= c <= 90 else c for c in word)
+        h = int(wordhash.words(np.frombuffer(lower, np.uint8), np.array([0, len(lower)]))[0][0])
+        at = [k for k, v in enumerate(words_) if int(v) == h]
+        return (at[0] if at else p.common + h % p.rare), h
+
+    found = [token(x) for x in words(text)]
+    ids, total, inside = [t for t, _ in found], 0.0, p.tokens // p.classes
+    for i, (y, h) in enumerate(found):
+        near = [*range(i - p.side, i), *range(i + 1, i + p.side + 1)]
+        pre = w[2].astype(float)
+        for k, j in enumerate(near):
+            pre = pre + w[0][ids[j] if 0 <= j < len(ids) else p.tokens].astype(float) @ w[1][k]
+        hidden = np.tanh(pre)
+        by_class = np.exp(hidden @ w[3] + w[4])
+        each = []
+        for k in range(p.classes):
+            members = np.exp(hidden @ w[5][k] + w[6][k])
+            each.extend(by_class[k] / by_class.sum() * members / members.sum())
+        assert len(each) == p.classes * inside and sum(each) == pytest.approx(1)
+        total += np.log(each[y]) + (np.log(shares(h)) if y >= p.common else 0.0)
+    return len(found), total
+
+
+def test_lm_against_a_scorer_place_by_place(spark):
+    p = window_lm.Params(common=8, rare=8, classes=4, rounds=2)
+    text = "the cat sat on the mat and The dog sat on a rug while rain fell on tin roofs"
+    corpus = spark.createDataFrame([(k, " ".join(text.split()[k % 7 :])) for k in range(40)], "doc_id long, text string")
+    counts = window_lm.word_counts(corpus)
+    words_, weights = window_lm.fit(corpus, p, counts=counts)
+    n = {int(r.word) % (1 << 64): r.n for r in counts.collect()}
+    known = {int(x) for x in words_}
+    bucket = {b: 1 + sum(c + 1 for h, c in n.items() if h not in known and h % p.rare == b) for b in range(p.rare)}
+
+    def shares(h):
+        return (n.get(h, 0) + 1) / bucket[h % p.rare]
+
+    texts = [(1, text), (2, "tin rain zebra the"), (3, "cat"), (4, ""), (5, None), (6, "a\n\trug  ROOFS")]
+    docs_ = spark.createDataFrame(texts, "doc_id long, text string")
+    w = window_lm._unpack(weights, p)
+    scored = window_lm.score(docs_, words_, weights, p, counts=counts).collect()
+    assert len(scored) == len(texts)
+    for r in scored:
+        n_tokens, total = plain_lm(dict(texts)[r.doc_id], words_, w, p, shares)
+        assert r.n_tokens == n_tokens and r.pseudo_log_likelihood == pytest.approx(total, abs=1e-3)
+
+
+def test_lm_steps_follow_the_gradient():
+    p = window_lm.Params(common=8, rare=8, classes=4, depth=3, hidden=5, rate=1e-3)
+    rng = np.random.default_rng(5)
+    w = [x.astype(np.float64) + rng.normal(0, 0.3, x.shape) for x in window_lm.start(p)]
+    ids, context = rng.integers(0, p.tokens, 60), rng.integers(0, p.tokens + 1, (60, 2 * p.side))
+    after = [x.copy() for x in w]
+    window_lm._train(after, ids, context, p)
+
+    def loss(k, at, by):
+        moved = [x.copy() for x in w]
+        moved[k].flat[at] += by
+        return -window_lm.log_probabilities(ids, context, moved, p).sum()
+
+    for k, x in enumerate(w):
+        for at in rng.choice(x.size, min(12, x.size), replace=False):
+            slope = (loss(k, at, 1e-4) - loss(k, at, -1e-4)) / 2e-4
+            step = (after[k].flat[at] - x.flat[at]) / -(p.rate / np.sqrt(len(ids)))
+            # embeddings, inputs and classes move with the members of the step before them
+            assert step == pytest.approx(slope, rel=0.02, abs=0.02), (k, at)
+
+
+def test_lm_copies_are_averaged_by_places(spark):
+    def rows():
+        for k, places in enumerate((1, 3, 4)):
+            for piece in (0, 1):
+                yield window_lm._piece(piece, 0, places, np.array([k, 10.0 * piece], np.float32))
+
+    mean = list(window_lm._mean(sorted(rows(), key=lambda b: b.column("piece")[0].as_py())))
+    assert [b.column("places")[0].as_py() for b in mean] == [8, 8]
+    assert [np.frombuffer(b.column("weights")[0].as_py(), "<f4").tolist() for b in mean] == [[1.375, 0.0], [1.375, 10.0]]
+
+
+def test_lm_trains_on_every_place_and_grows(spark, small):
+    n = sum(len(words(r.text)) for r in small.collect())
+    counts = window_lm.word_counts(small.select(F.col("doc_id").cast("long"), "text"))
+    p = window_lm.sized(counts, words_per_token=4)
+    assert p.common == p.rare == p.classes**2 // 2 and p.classes**2 * 4 >= counts.count() and p.classes > 32
+    assert window_lm.sized(counts.limit(0)).classes == 32
+    ranked = sorted(counts.collect(), key=lambda r: (-r.n, r.word))[: p.common]
+    words_ = window_lm.vocabulary(counts, p)
+    assert [int(x) for x in words_.view(np.int64)] == [r.word for r in ranked]
+    seen = 0
+    for turn in range(p.rounds):
+        slice_ = small.filter(F.pmod(F.xxhash64(F.col("doc_id").cast("long"), "text"), F.lit(p.rounds)) == turn)
+        trainer = window_lm._trainer(window_lm._pack(window_lm.start(p)), words_, p)
+        rows = window_lm.map_arrow(window_lm.id_text(slice_), trainer, window_lm.PIECE)
+        seen += rows.filter("piece = 0").agg(F.sum("places")).first()[0]
+    assert seen == n
+
+
 def test_pipeline(spark, sf, small):
     docs = small
     benchmark = [r.text for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
