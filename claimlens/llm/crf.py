@@ -77,8 +77,8 @@ def tokens(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
 
 def _features(units: np.ndarray, new: np.ndarray, buckets: int) -> np.ndarray:
     """(features, tokens) buckets: units of the token, the words before and after; a missing one is bucket 0."""
-    own = (units % np.uint64(buckets - 1)).astype(np.int64) + 1
-    out = np.zeros((len(units) + 2, units.shape[1]), np.int64)
+    own = (units % np.uint64(buckets - 1)).astype(np.int32) + 1
+    out = np.zeros((len(units) + 2, units.shape[1]), np.int32)
     out[: len(units)] = own
     out[-2, 1:] = np.where(new[1:], 0, own[0][:-1])
     out[-1, :-1] = np.where(new[1:], 0, own[0][1:])
@@ -122,17 +122,23 @@ def _marginals(unary: np.ndarray, step: np.ndarray, new: np.ndarray) -> tuple[np
         beta[i] = b / b.sum(axis=1, keepdims=True)
     joint = alpha * beta
     p = joint[:, 1] / joint.sum(axis=1)
-    i = np.flatnonzero(~new)
-    pair = alpha[i - 1][:, :, None] * t * (local[i] * beta[i])[:, None, :]
-    pair /= pair.sum(axis=(1, 2), keepdims=True)
-    return p, pair.sum(axis=0)
+    inner, moves = np.flatnonzero(~new), np.zeros((2, 2))
+    for k in range(0, len(inner), 1 << 16):
+        i = inner[k : k + (1 << 16)]
+        pair = alpha[i - 1][:, :, None] * t * (local[i] * beta[i])[:, None, :]
+        moves += (pair / pair.sum(axis=(1, 2), keepdims=True)).sum(axis=0)
+    return p, moves
 
 
 def _labels(units: np.ndarray, doc: np.ndarray, toxic: np.ndarray, p: Params) -> np.ndarray:
     """Whether each token has a unit that explains toxic documents."""
-    pairs = np.unique(np.stack([units.ravel(), np.tile(doc, len(units)).astype(np.uint64)], 1), axis=0)
-    unit, at = np.unique(pairs[:, 0], return_inverse=True)
-    where = pairs[:, 1].astype(np.int64)
+    cuts = [0, *np.searchsorted(doc, np.arange(256, len(toxic), 256)).tolist(), len(doc)]
+    # texts side by side, some at a time, so that only distinct units are held for all of them
+    pairs = [
+        wordhash.distinct_per_text(units[:, a:b].ravel(), np.tile(doc[a:b], len(units))) for a, b in zip(cuts[:-1], cuts[1:], strict=True)
+    ]
+    unit, at = np.unique(np.concatenate([u for u, _ in pairs]), return_inverse=True)
+    where = np.concatenate([d for _, d in pairs])
     clean = np.bincount(at, ~toxic[where], len(unit)).astype(np.int64)
     dirty = np.bincount(at, toxic[where], len(unit)).astype(np.int64)
     seen = dirty + clean
@@ -156,7 +162,10 @@ def _labels(units: np.ndarray, doc: np.ndarray, toxic: np.ndarray, p: Params) ->
         open_docs[where[at == best]] = False
         rest = open_docs[where]
         at, where = at[rest], where[rest]
-    return np.isin(units, np.array(chosen, np.uint64)).any(axis=0)
+    chosen, out = np.sort(np.array(chosen, np.uint64)), np.zeros(units.shape[1], bool)
+    for row in units if len(chosen) else ():
+        out |= chosen[np.minimum(np.searchsorted(chosen, row), len(chosen) - 1)] == row
+    return out
 
 
 def _tail(hits: int, n: int, share: float) -> float:
@@ -182,27 +191,34 @@ def _summary(p: np.ndarray, doc: np.ndarray, n: int) -> np.ndarray:
     return np.stack([np.ones(n), np.log(top / (1 - top)), np.log1p(many)], 1)
 
 
+def _sample_tokens(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Units, text and chain start of the tokens of all texts, hashed some texts at a time."""
+    parts = []
+    for a, _, data, at in text_chunks(pa.array(texts, pa.large_string())):
+        h, doc, first, end, new = tokens(data, at)
+        parts.append((_units(h, data, first, end), doc + a, new))
+    return tuple(np.concatenate(x, axis=-1) for x in zip(*parts, strict=True))
+
+
 def fit_texts(texts: list[str], toxic: np.ndarray, p: Params = Params()) -> Model:
     flat = Model(np.zeros((5, p.buckets), np.float32), 0.0, np.zeros((2, 2)), np.zeros(3))
     if not len(toxic) or toxic.all() or not toxic.any():
         share = float(toxic.mean()) if len(toxic) else 0.0
         return Model(flat.unary, 0.0, flat.step, np.array([40 * (share - 0.5), 0, 0]))
-    raw = [t.encode() for t in texts]
-    data = np.frombuffer(b"".join(raw), np.uint8)
-    h, doc, first, end, new = tokens(data, np.cumsum([0, *map(len, raw)]))
-    if not len(h):
+    units, doc, new = _sample_tokens(texts)
+    if not len(doc):
         return Model(flat.unary, 0.0, flat.step, np.array([np.log(toxic.mean() / (1 - toxic.mean())), 0, 0]))
-    units = _units(h, data, first, end)
     y = _labels(units, doc, toxic, p)
-    features = _features(units, new, p.buckets)
+    features, n_units = _features(units, new, p.buckets), len(units)
+    del units
     # start where the units alone would put the field, then fit all weights together
     share = y.mean()
     bias = float(np.log((share + 1e-6) / (1 - share + 1e-6)))
     unary, step = np.zeros((len(features), p.buckets)), np.zeros((2, 2))
-    for k in range(len(units)):
+    for k in range(n_units):
         hot, count = np.bincount(features[k], y, p.buckets), np.bincount(features[k], minlength=p.buckets)
         odds = (hot + 0.5 * share + 1e-6) / (count - hot + 0.5 * (1 - share) + 1e-6)
-        unary[k] = np.where(count > 0, np.clip(np.log(odds) - bias, -9, 18), 0) / len(units)
+        unary[k] = np.where(count > 0, np.clip(np.log(odds) - bias, -9, 18), 0) / n_units
     seen_u, seen_s, seen_b = np.full_like(unary, 1e-6), np.full_like(step, 1e-6), 1e-6
     inside = np.flatnonzero(~new)
     observed = np.zeros((2, 2))
@@ -213,7 +229,7 @@ def fit_texts(texts: list[str], toxic: np.ndarray, p: Params = Params()) -> Mode
         for k in range(len(features)):
             g = np.bincount(features[k], miss, p.buckets) - 0.01 * unary[k]
             seen_u[k] += g * g
-            unary[k] += (0.5 if k < len(units) else 0.1) * g / np.sqrt(seen_u[k])
+            unary[k] += (0.5 if k < n_units else 0.1) * g / np.sqrt(seen_u[k])
         g = observed - expected - 0.02 * step
         seen_s += g * g
         step += 0.1 * g / np.sqrt(seen_s)
