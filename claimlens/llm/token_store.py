@@ -9,7 +9,11 @@ files are written by Spark's committed writer to any file system, so a lost task
 simply written again.
 
 The perfect hash works in levels: a key alone in its cell of a level is placed there,
-the others go on to the next level; the slot is the number of placed cells before it.
+the others go on to the next level; the slot is the number of placed cells before it,
+which the index has for every 64 cells.
+
+``write_keys`` adds the index from a key to its part and block, in hash buckets of the
+same kind, and ``get`` reads documents by key through both.
 
 Defined cases: a null or empty text has only the end id; rows are in order of doc_id
 (null first), then of the text's hash; rows with the same id are documents of their own,
@@ -27,12 +31,12 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from claimlens.llm import wordhash
 from claimlens.llm.bpe import Pieces, piece_encoder
-from claimlens.llm.common import each_batch, id_text, map_arrow
+from claimlens.llm.common import each_batch, id_text, map_arrow, ship
 
 BLOCK = (
     "part int, block int, n_docs long, n_ids long, keys array<long>, repeats array<int>, nulls array<boolean>, "
@@ -51,47 +55,55 @@ def key_hash(ids: np.ndarray, repeats: np.ndarray, nulls: np.ndarray) -> np.ndar
     return wordhash.mix(h ^ wordhash.mix(repeats.astype(np.uint64) * np.uint64(2) + nulls.astype(np.uint64)))
 
 
+_ENTRY = np.dtype([("fp", "<u4"), ("length", "<u4"), ("offset", "<u8")])
+
+
 def build_index(keys: np.ndarray, offsets: np.ndarray, lengths: np.ndarray) -> bytes:
-    """levels: u32 count, u32 size of each; the bits of all; then per slot fingerprint u32, length u32, offset u64."""
-    rest, sizes, bits, slot, placed = np.arange(len(keys)), [], [], np.zeros(len(keys), np.int64), 0
+    """u32 count of levels, u32 cells of each; per level its bits in 64-bit words and, u32 per word, the placed
+    keys before it; then per slot fingerprint u32, length u32, offset u64."""
+    rest, sizes, levels, slot, placed = np.arange(len(keys)), [], [], np.zeros(len(keys), np.int64), 0
     for level in range(_LEVELS):
         if not len(rest):
             break
-        size = max(8, len(rest) * _SPACE)
+        size = -(-len(rest) * _SPACE // 64) * 64
         cell = (_hash(keys[rest], level) % np.uint64(size)).astype(np.int64)
         alone = np.bincount(cell, minlength=size) == 1
-        rank = np.cumsum(alone) - 1
+        rank = placed + np.cumsum(alone) - alone
         good = alone[cell]
-        slot[rest[good]] = placed + rank[cell[good]]
+        slot[rest[good]] = rank[cell[good]]
         placed += int(good.sum())
         sizes.append(size)
-        bits.append(np.packbits(alone))
+        levels += [np.packbits(alone, bitorder="little").tobytes(), rank[::64].astype("<u4").tobytes()]
         rest = rest[~good]
     if len(rest):
         raise ValueError("two keys of a block have the same hash")
-    entries = np.zeros(len(keys), np.dtype([("fp", "<u4"), ("length", "<u4"), ("offset", "<u8")]))
+    entries = np.zeros(len(keys), _ENTRY)
     entries["fp"][slot] = keys >> np.uint64(32)
     entries["length"][slot], entries["offset"][slot] = lengths, offsets
-    head = struct.pack(f"<{1 + len(sizes)}I", len(sizes), *sizes)
-    return head + b"".join(b.tobytes() for b in bits) + entries.tobytes()
+    return struct.pack(f"<{1 + len(sizes)}I", len(sizes), *sizes) + b"".join(levels) + entries.tobytes()
 
 
 def look_up(index: bytes, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(offset, length) in ids of every key; -1 where the block does not have it."""
+    """(offset, length) in ids of every key; -1 where the index does not have it.
+
+    A key costs one word and one rank of each level it is tried at, whatever the index holds.
+    """
     (count,) = struct.unpack_from("<I", index)
     sizes = struct.unpack_from(f"<{count}I", index, 4)
-    at, placed = 4 + 4 * count, 0
+    at = 4 + 4 * count
     slot, rest = np.full(len(keys), -1, np.int64), np.arange(len(keys))
     for level, size in enumerate(sizes):
-        alone = np.unpackbits(np.frombuffer(index, np.uint8, -(-size // 8), at))[:size].astype(bool)
-        at += -(-size // 8)
-        rank = np.cumsum(alone) - 1
-        cell = (_hash(keys[rest], level) % np.uint64(size)).astype(np.int64)
-        good = alone[cell]
-        slot[rest[good]] = placed + rank[cell[good]]
-        placed += int(alone.sum())
-        rest = rest[~good]
-    entries = np.frombuffer(index, np.dtype([("fp", "<u4"), ("length", "<u4"), ("offset", "<u8")]), placed, at)
+        if len(rest):
+            words = np.frombuffer(index, "<u8", size // 64, at)
+            ranks = np.frombuffer(index, "<u4", size // 64, at + size // 8)
+            cell = _hash(keys[rest], level) % np.uint64(size)
+            word, bit = words[cell >> np.uint64(6)], cell & np.uint64(63)
+            good = (word >> bit & np.uint64(1)).astype(bool)
+            below = np.bitwise_count(word & ((np.uint64(1) << bit) - np.uint64(1)))
+            slot[rest[good]] = (ranks[cell >> np.uint64(6)] + below)[good]
+            rest = rest[~good]
+        at += size // 8 + size // 16
+    entries = np.frombuffer(index, _ENTRY, -1, at)
     known = slot >= 0
     known[known] = entries["fp"][slot[known]] == (keys[known] >> np.uint64(32))
     offset, length = np.full(len(keys), -1, np.int64), np.full(len(keys), -1, np.int64)
@@ -187,23 +199,26 @@ def blocks(spark: SparkSession, folder: str) -> DataFrame:
     return table.join(starts, ["part", "block"])
 
 
+def _numbers(batch: pa.RecordBatch, name: str, row: int) -> np.ndarray:
+    """A list of one row, without making Python objects of it."""
+    return batch.column(name)[row].values.to_numpy(zero_copy_only=False)
+
+
 def _crc(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in each_batch(batches):
-        for row in batch.to_pylist():
-            nulls = np.array(row["nulls"], bool)
-            ids = np.array(row["keys"], np.int64)
-            offset, length = look_up(row["index"], key_hash(ids, np.array(row["repeats"]), nulls))
+        for row in range(batch.num_rows):
+            ids, nulls = _numbers(batch, "keys", row), _numbers(batch, "nulls", row)
+            index = batch.column("index")[row].as_buffer()
+            offset, length = look_up(index, key_hash(ids, _numbers(batch, "repeats", row), nulls))
             if (offset < 0).any():
                 raise RuntimeError("a key of the block is not in its index")
-            payload = memoryview(row["payload"])
+            payload = memoryview(batch.column("payload")[row].as_buffer())
             crc = [zlib.crc32(payload[4 * o : 4 * (o + n)]) for o, n in zip(offset.tolist(), length.tolist(), strict=True)]
+            place = [np.full(len(ids), batch.column(c)[row].as_py(), np.int32) for c in ("part", "block")]
             yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(np.full(len(ids), row["part"], np.int32)), pa.array(np.full(len(ids), row["block"], np.int32)),
-                    pa.array(ids, mask=nulls), pa.array(offset), pa.array(length), pa.array(crc, pa.int64()),
-                ],
+                [*map(pa.array, place), pa.array(ids, mask=nulls), pa.array(offset), pa.array(length), pa.array(crc, pa.int64())],
                 names=["part", "block", "doc_id", "offset", "n_tokens", "ids_crc32"],
-            )
+            )
 
 
 def digests(spark: SparkSession, folder: str) -> DataFrame:
@@ -216,3 +231,108 @@ def digests(spark: SparkSession, folder: str) -> DataFrame:
     starts = blocks(spark, folder).select("part", "block", "start")
     rows = found.join(starts, ["part", "block"])
     return rows.select("doc_id", (F.col("start") + F.col("offset")).alias("start"), "n_tokens", "ids_crc32")
+
+
+KEYS = "bucket long, buckets long, index binary"
+
+
+def _homes(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in each_batch(batches):
+        for row in range(batch.num_rows):
+            ids, nulls = _numbers(batch, "keys", row), _numbers(batch, "nulls", row)
+            new = np.ones(len(ids), bool)  # equal ids of a block stand together
+            new[1:] = (ids[1:] != ids[:-1]) | (nulls[1:] != nulls[:-1])
+            place = [np.full(int(new.sum()), batch.column(c)[row].as_py(), np.int32) for c in ("part", "block")]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(ids[new], mask=nulls[new]), *map(pa.array, place)], names=["doc_id", "part", "block"]
+            )
+
+
+def _id_arrays(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    return column.fill_null(0).to_numpy(), column.is_null().to_numpy()
+
+
+def _bucket(buckets: int) -> Column:
+    return F.pmod(F.xxhash64("doc_id"), F.lit(buckets))
+
+
+def _bucket_index(rows: pa.Table) -> pa.Table:
+    rows = rows.sort_by([("doc_id", "ascending"), ("part", "ascending"), ("block", "ascending")])
+    ids, nulls = _id_arrays(rows.column("doc_id"))
+    new = np.ones(len(ids), bool)
+    new[1:] = (ids[1:] != ids[:-1]) | (nulls[1:] != nulls[:-1])
+    start = np.flatnonzero(new)
+    count = np.diff(np.append(start, len(ids)))
+    repeats = np.arange(len(ids)) - np.repeat(start, count)
+    home = rows.column("part").to_numpy().astype(np.int64) << 32 | rows.column("block").to_numpy().astype(np.int64)
+    index = build_index(key_hash(ids, repeats, nulls), home, np.repeat(count, count))
+    named = [rows.column(c)[:1].combine_chunks() for c in ("bucket", "buckets")]
+    return pa.table([*named, pa.array([index], pa.binary())], names=["bucket", "buckets", "index"])
+
+
+def write_keys(spark: SparkSession, folder: str, target: str, bucket_keys: int = 1 << 16) -> None:
+    """The index from keys to blocks of the store in ``folder``, written to ``target``.
+
+    Keys are hashed to buckets of about ``bucket_keys``; a bucket is one row, a minimal perfect
+    hash from a key to the part and block that hold it.  An id that lies in several blocks has
+    an entry for each, numbered from 0, and in each their number.  Only the key columns of the
+    store are read.  An empty store gives no buckets.
+    """
+    table = spark.read.schema(BLOCK).parquet(folder)
+    buckets = -(-(table.agg(F.sum("n_docs")).first()[0] or 0) // bucket_keys) or 1
+    homes = map_arrow(table.select("part", "block", "keys", "nulls"), _homes, "doc_id long, part int, block int")
+    homes = homes.withColumn("bucket", _bucket(buckets)).withColumn("buckets", F.lit(buckets).cast("long"))
+    homes.groupBy("bucket").applyInArrow(_bucket_index, KEYS).write.parquet(target)
+
+
+def _locate(wanted: pa.Table, index: pa.Table) -> pa.Table:
+    ids, nulls = _id_arrays(wanted.column("doc_id"))
+    found = []
+    row, repeat = np.arange(len(ids) if index.num_rows else 0), 0
+    while len(row):  # once for most; as often as the most spread id has blocks
+        home, count = look_up(index.column("index")[0].as_buffer(), key_hash(ids[row], np.full(len(row), repeat), nulls[row]))
+        row, home, count = row[home >= 0], home[home >= 0], count[home >= 0]
+        found.append((row, home))
+        repeat += 1
+        row = row[count > repeat]
+    rows, homes = (np.concatenate([f[k] for f in found] or [np.zeros(0, np.int64)]) for k in (0, 1))
+    columns = [pa.array(ids[rows], pa.int64(), mask=nulls[rows])]
+    columns += [pa.array((homes >> 32).astype(np.int32)), pa.array((homes & 0xFFFFFFFF).astype(np.int32))]
+    return pa.table(columns, names=["doc_id", "part", "block"])
+
+
+def _fetch(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in each_batch(batches):
+        for row in range(batch.num_rows):
+            held, none = _numbers(batch, "keys", row), _numbers(batch, "nulls", row)
+            wanted, blank = _id_arrays(pa.chunked_array([batch.column("wanted")[row].values]))
+            # the block's keys stand in order: they say how many documents an id has, none for a mere equal fingerprint
+            own = held[~none]
+            count = np.searchsorted(own, wanted, "right") - np.searchsorted(own, wanted, "left")
+            count = np.where(blank, none.sum(), count)
+            ids, blank = np.repeat(wanted, count), np.repeat(blank, count)
+            repeats = np.arange(len(ids)) - np.repeat(np.cumsum(count) - count, count)
+            offset, length = look_up(batch.column("index")[row].as_buffer(), key_hash(ids, repeats, blank))
+            payload = batch.column("payload")[row].as_buffer()
+            tokens = [np.frombuffer(payload, "<i4", n, 4 * o) for o, n in zip(offset.tolist(), length.tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(ids, pa.int64(), mask=blank), pa.array(tokens, pa.list_(pa.int32()))], names=["doc_id", "ids"]
+            )
+
+
+def get(spark: SparkSession, folder: str, index: str, keys: DataFrame, doc_id: str = "doc_id") -> DataFrame:
+    """doc_id and ids of every stored document whose id is in ``keys``, through the index that write_keys() wrote.
+
+    Ids that are not in the store give no rows; a repeated key counts once; a null key finds the
+    documents without an id.  Only the blocks that the index names have their payload read out.
+    """
+    table = spark.read.schema(KEYS).parquet(index)
+    head = table.select("buckets").first()
+    wanted = keys.select(F.col(doc_id).cast("long").alias("doc_id")).distinct()
+    wanted = wanted.withColumn("bucket", _bucket(head["buckets"] if head else 1))
+    ship(spark)
+    homes = wanted.groupBy("bucket").cogroup(table.groupBy("bucket")).applyInArrow(_locate, "doc_id long, part int, block int")
+    # collect_list leaves nulls out, a list of structs does not; a block's ids are at most its documents
+    homes = homes.groupBy("part", "block").agg(F.collect_list(F.struct("doc_id"))["doc_id"].alias("wanted"))
+    stored = spark.read.schema(BLOCK).parquet(folder).select("part", "block", "keys", "nulls", "index", "payload")
+    return map_arrow(stored.join(homes, ["part", "block"]), _fetch, "doc_id long, ids array<int>")

@@ -205,6 +205,38 @@ def test_token_store_against_the_library(spark, docs, small):
     assert token_store.digests(spark, folder).collect() == []
 
 
+def test_token_store_by_key(spark, docs, small):
+    """Keys, absent ones, a null and repeated rows over many blocks, each found through both indexes."""
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    library = Tokenizer.from_file(path)
+
+    def stored(rows):
+        folder, index = shared_path(spark, "ids"), shared_path(spark, "keys")
+        token_store.write(rows, folder, path, public_tokenizers.PATTERN, 2, block_ids=300)
+        token_store.write_keys(spark, folder, index, bucket_keys=50)
+        return folder, index
+
+    awkward = docs.select("doc_id", "text")
+    awkward = awkward.union(awkward.filter("doc_id = 9").withColumn("text", F.explode(F.array([F.lit(BASE)] * 9))))
+    for rows in (small.select("doc_id", "text"), awkward):
+        folder, index = stored(rows)
+        everything = rows.collect()
+        asked = {r.doc_id for r in everything[::3]} | {9, None}
+        keys = spark.createDataFrame([(i, "x") for i in [*asked, *asked, -5, 1 << 40]], "doc_id long, ids string")
+        found = sorted((str(r.doc_id), r.ids) for r in token_store.get(spark, folder, index, keys).collect())
+        expected = [
+            (str(r.doc_id), [*library.encode(r.text or "", add_special_tokens=False).ids, 2])
+            for r in everything if r.doc_id in asked
+        ]
+        assert found == sorted(expected)
+        assert token_store.get(spark, folder, index, keys.limit(0)).collect() == []
+    assert spark.read.schema(token_store.BLOCK).parquet(folder).count() > 5
+    folder, index = stored(docs.limit(0))
+    assert token_store.get(spark, folder, index, docs).collect() == []
+
+
 def test_perfect_hash_is_minimal_and_refuses_strangers():
     ids = np.arange(5000) * 7 - 300
     zero = np.zeros(5000, np.int64)
