@@ -95,12 +95,15 @@ class Pieces(dict):
     def __init__(self, encode: Callable[[str], bytes]):
         super().__init__()
         self.encode = encode
-        self.near = regex.compile(f"[{WHITE}] | [{WHITE}]")
+        # white space of each kind, with a blank after or before it
+        self.near = [(c, f"{c} ", f" {c}") for c in map(chr, range(0x3001)) if regex.match(f"[{WHITE}]", c)]
         self.split = regex.compile(f" ?[^{WHITE}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+")
         self.inner = regex.compile(f"[{WHITE}]")
 
     def __missing__(self, piece: str) -> bytes:
-        if self.inner.search(piece, 1) and len(parts := self.split.findall(piece)) > 1:
+        words = piece.split()  # at least at all white space of the patterns
+        plain = len(words) == 1 and len(piece) - len(words[0]) == (piece[0] == " ")
+        if not plain and self.inner.search(piece, 1) and len(parts := self.split.findall(piece)) > 1:
             return b"".join(map(self.__getitem__, parts))
         if len(self) >= CACHE_PIECES:
             self.clear()
@@ -110,7 +113,7 @@ class Pieces(dict):
     def text(self, text: str) -> bytes:
         if not text:
             return b""
-        if text[0] == " " or text[-1] == " " or self.near.search(text):
+        if text[0] == " " or text[-1] == " " or any(c in text and (a in text or b in text) for c, a, b in self.near):
             return b"".join(map(self.__getitem__, self.split.findall(text)))
         # single blanks only: each belongs to the word after it
         first, *rest = text.split(" ")
