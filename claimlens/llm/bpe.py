@@ -31,6 +31,9 @@ WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 CACHE_PIECES = 800_000
 """Pieces remembered by a worker process; a full cache is emptied."""
 
+CACHE_WIDTH = 32
+"""Characters from which on a piece is not remembered, which bounds the cache in bytes; it is encoded each time."""
+
 
 def byte_characters() -> list[str]:
     """One printable character for each byte: itself if printable in Latin-1, else the next from U+0100 on."""
@@ -105,9 +108,11 @@ class Pieces(dict):
         plain = len(words) == 1 and len(piece) - len(words[0]) == (piece[0] == " ")
         if not plain and self.inner.search(piece, 1) and len(parts := self.split.findall(piece)) > 1:
             return b"".join(map(self.__getitem__, parts))
-        if len(self) >= CACHE_PIECES:
-            self.clear()
-        ids = self[piece] = self.encode(piece)
+        ids = self.encode(piece)
+        if len(piece) < CACHE_WIDTH:
+            if len(self) >= CACHE_PIECES:
+                self.clear()
+            self[piece] = ids
         return ids
 
     def text(self, text: str) -> bytes:
@@ -131,7 +136,7 @@ def piece_encoder(pattern: str, encode: Callable[[str], list[int]], kind: type[P
         ids = known.get(pre_token)
         if ids is None:
             ids = array("I", encode(pre_token.encode().decode("latin-1").translate(to_char))).tobytes()
-            if len(pre_token) < 32:
+            if len(pre_token) < CACHE_WIDTH:
                 if len(known) >= CACHE_PIECES // 2:
                     known.clear()
                 known[pre_token] = ids
