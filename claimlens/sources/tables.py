@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Mapping
+from collections.abc import Callable, Collection, Iterator, Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -50,12 +50,57 @@ class Tables(Mapping[str, DataFrame]):
         return Tables(self.spark, {n: m for n, m in self._makers.items() if n not in names}).with_dates(rules)
 
 
-def load_parquet(spark: SparkSession, root: str, names: list[str]) -> Tables:
-    """Tables stored as ``root/<name>`` or ``root/<name>.parquet`` (pass the suffix in the name)."""
-    return Tables(
-        spark,
-        {n.removesuffix(".parquet"): (lambda n=n: spark.read.parquet(f"{root}/{n}")) for n in names},
-    )
+def checked(df: DataFrame, schema: T.StructType, name: str) -> DataFrame:
+    """``df``, if it has every column of ``schema`` with its type; otherwise an error that names what differs."""
+    types = {f.name.lower(): f.dataType for f in df.schema.fields}
+    wrong = [
+        f"{f.name}: {types[f.name.lower()].simpleString() if f.name.lower() in types else 'absent'}, not {f.dataType.simpleString()}"
+        for f in schema.fields
+        if types.get(f.name.lower()) != f.dataType
+    ]
+    if wrong:
+        raise TypeError(f"table {name}: {'; '.join(wrong)}")
+    return df
+
+
+def load_parquet(
+    spark: SparkSession, root: str, names: list[str], schemas: Mapping[str, T.StructType] | None = None
+) -> Tables:
+    """Tables stored as ``root/<name>`` or ``root/<name>.parquet`` (pass the suffix in the name).
+
+    A table with a declared schema (by its name without suffix) is checked against it when first used.
+    """
+    schemas = schemas or {}
+
+    def reader(name: str) -> DataFrame:
+        df, table = spark.read.parquet(f"{root}/{name}"), name.removesuffix(".parquet")
+        return checked(df, schemas[table], table) if table in schemas else df
+
+    return Tables(spark, {n.removesuffix(".parquet"): (lambda n=n: reader(n)) for n in names})
+
+
+def jdbc_options(
+    name: str,
+    split: Mapping[str, tuple[str, object, object, int]],
+    small: Collection[str] = (),
+    schemas: Mapping[str, T.StructType] | None = None,
+) -> dict[str, str]:
+    """The reader options of one table: its slices, or the statement that it is small, and its declared types."""
+    if name in split:
+        column, low, high, slices = split[name]
+        options = {
+            "partitionColumn": column,
+            "lowerBound": str(low),
+            "upperBound": str(high),
+            "numPartitions": str(slices),
+        }
+    elif name in small:
+        options = {}
+    else:
+        raise ValueError(f"table {name} has no split; name it in ``small`` if one connection can read it")
+    if schemas and name in schemas:
+        options["customSchema"] = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schemas[name].fields)
+    return options
 
 
 def load_jdbc(
@@ -64,35 +109,38 @@ def load_jdbc(
     names: list[str],
     properties: Mapping[str, str],
     split: Mapping[str, tuple[str, object, object, int]] | None = None,
+    small: Collection[str] = (),
+    schemas: Mapping[str, T.StructType] | None = None,
 ) -> Tables:
     """Tables read over JDBC.
 
     ``split`` maps a table to (numeric or date column, lowest, highest, slices)
-    so that a large table is read by many tasks instead of one connection.
+    so that a large table is read by many tasks instead of one connection.  A table
+    without a split is refused when used, unless ``small`` names it.  ``schemas``
+    declares the types of a table's columns, to which they are read and checked.
     """
-    split = split or {}
 
     def reader(name: str) -> DataFrame:
-        options = {**properties, "url": url, "dbtable": name}
-        if name in split:
-            column, low, high, slices = split[name]
-            options |= {
-                "partitionColumn": column,
-                "lowerBound": str(low),
-                "upperBound": str(high),
-                "numPartitions": str(slices),
-            }
-        return spark.read.format("jdbc").options(**options).load()
+        options = jdbc_options(name, split or {}, small, schemas)
+        df = spark.read.format("jdbc").options(**properties, url=url, dbtable=name, **options).load()
+        return checked(df, schemas[name], name) if schemas and name in schemas else df
 
     return Tables(spark, {n: (lambda n=n: reader(n)) for n in names})
 
 
-def write_csv(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
+def write_csv(df: DataFrame, path: str, mode: str = "errorifexists", order: Sequence[str] = ()) -> None:
     """Rows as quoted CSV with header, inner quotes doubled, NULL as an empty field.
 
+    With ``order`` the rows are range-partitioned and sorted by these columns, NULL last:
+    the files by name, one after another, hold all rows in order, whatever their number.
+    In a folder named ``*.csv`` ``read_rows`` finds that order again as ``_pos``.
+
     Spark writes UTF-8 without a byte-order mark; a spreadsheet has to be told
     the encoding on import.
     """
+    if order:
+        keys = [F.col(c).asc_nulls_last() for c in order]
+        df = df.repartitionByRange(*keys).sortWithinPartitions(*keys)
     (
         df.write.mode(mode)
         .option("header", True)
