@@ -17,6 +17,7 @@ from claimlens.functions.flags import (
     product,
     yn,
 )
+from claimlens.functions.numbering import durable
 from claimlens.operators.fdh import with_charge_group
 from claimlens.operators.scope import (
     PAYER_PAYS,
@@ -48,10 +49,14 @@ def visit_list(t: Tables, p: Params) -> DataFrame:
     return rows
 
 
-def _visits(t: Tables, p: Params, fund: str) -> DataFrame:
-    """Visits in the window and payer scope that have a line billed to the payer."""
+def _visits(t: Tables, p: Params, fund: str, *columns: str) -> DataFrame:
+    """Visits in the window and payer scope that have a line billed to the payer, with ``vn`` and the columns named.
+
+    Kept on disk: several tables are cut to them, and each would otherwise find the billed
+    visits again, side by side in the same task.
+    """
     visits = t["ovst"].where(date_window("vstdate", p))
-    return keep_billed(payer_scope(visits, "pttype", t, p, "override", fund), "vn", t, p)
+    return durable(keep_billed(payer_scope(visits, "pttype", t, p, "override", fund), "vn", t, p).select("vn", *columns))
 
 
 # -- billing transactions ----------------------------------------------------
@@ -143,7 +148,7 @@ def billitems(t: Tables, p: Params) -> DataFrame:
     while the rows are still partitioned by visit and narrow.
     """
     line_columns = ["icode", "income", "qty", "unitprice", "sum_price", "paidst"]
-    visits = _visits(t, p, "SSS")
+    visits = _visits(t, p, "SSS", "hn", "vstdate")
     lines = link(visits.alias("ov"), of_dates(t, "opitemrece", p), "op", "op.vn = ov.vn", "inner").select(*picks("ov.vn, ov.hn, ov.vstdate"), *[F.col(f"op.{c}") for c in line_columns])
     lines = lines.dropDuplicates()
     debts = children_of(visits, t, "rcpt_debt", p).select("vn", "debt_id")
@@ -229,7 +234,7 @@ def opservice(t: Tables, p: Params) -> DataFrame:
     All measures are maxima, so charge lines, diagnoses and debts are each
     reduced per visit first instead of being multiplied with one another.
     """
-    visits = _visits(t, p, "SSS")
+    visits = _visits(t, p, "SSS", "hn", "vstdate", "vsttime", "ovstist", "ovstost", "spclty")
     lines = of_dates(t, "opitemrece", p).select("vn", "icode")
     lines = link(visits.select("vn").alias("ov"), lines, "oi", "oi.vn = ov.vn", "inner")
     lines = link(lines, t["nondrugitems"], "n", "n.icode = oi.icode")
@@ -382,7 +387,7 @@ def dispensing(t: Tables, p: Params, plan: str = "CS", fanout: str = "reference"
     """
     if fanout not in ("reference", "per_visit"):
         raise ValueError(f"unknown fanout: {fanout}")
-    visits = _visits(t, p, "SSS")
+    visits = _visits(t, p, "SSS", "hn", "vstdate")
     lines = children_of(visits, t, "opitemrece", p).groupBy("vn").agg(
         F.count("icode").alias("n_items"), F.sum("unitprice").alias("unit_prices")
     )
@@ -429,7 +434,7 @@ def _visits_with_lab_code(visits: DataFrame, t: Tables, p: Params) -> DataFrame:
 
 def opdx(t: Tables, p: Params) -> DataFrame:
     """Diagnoses per visit: class, rank, and code set by priority IN, LC, TT."""
-    visits = _visits(t, p, "SSS").select("vn", "hn", "vstdate")
+    visits = _visits(t, p, "SSS", "hn", "vstdate")
     diagnoses = children_of(visits, t, "ovstdiag", p).select("vn", F.lit(True).alias("has_diagnosis"), "icd10", "diagtype")
     rows = with_children(visits, diagnoses, "vn").alias("di")
     rows = link(rows, _visits_with_operation(visits, t, p), "o", "o.vn = di.vn AND di.has_diagnosis")

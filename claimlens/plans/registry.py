@@ -34,7 +34,7 @@ class Query:
     long_lists: bool = False
 
     def run(self, spark: SparkSession, sf_dir: str, params: Params | None = None) -> DataFrame:
-        tune(spark)
+        tune(spark, sf_dir)
         return self.operator(bind(spark, sf_dir, self.long_lists), params or self.params)
 
     def oracle(self, params: Params | None = None) -> str | None:
@@ -44,14 +44,42 @@ class Query:
         return with_clause(dated(self.sql, str(p.date_from), str(p.date_to)), self.long_lists)
 
 
-def tune(spark: SparkSession) -> None:
-    """Let adaptive execution split skewed joins even when that costs a shuffle."""
+# What a task should read of its shuffles, and the input files for which one shuffle partition is cut.
+TASK_BYTES = 16 << 20
+SLICE_BYTES = 4 << 20
+HOSPITAL_SOURCES = ("customer", "supplier", "part", "orders", "lineitem", "events")
+
+
+def input_bytes(spark: SparkSession, sf_dir: str) -> int:
+    """Size of the files that the hospital tables are read from."""
+    total = 0
+    for name in HOSPITAL_SOURCES:
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/{name}.parquet")
+        files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        total += files.getContentSummary(path).getLength() if files.exists(path) else 0
+    return total
+
+
+def tune(spark: SparkSession, sf_dir: str) -> None:
+    """Keep what one task holds the same when the input grows.
+
+    Shuffles start with a partition for every ``SLICE_BYTES`` of input, which adaptive
+    execution merges up to ``TASK_BYTES`` (a size the session sets itself stands); it may
+    split skewed joins even when that costs a shuffle.  A grouping over rows that a join
+    has already sorted by its keys needs no hash table, and its rows stay sorted.
+    """
     for key in (
         "spark.sql.adaptive.enabled",
         "spark.sql.adaptive.skewJoin.enabled",
         "spark.sql.adaptive.forceOptimizeSkewedJoin",
+        "spark.sql.execution.replaceHashWithSortAgg",
     ):
         spark.conf.set(key, "true")
+    advisory = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    if spark.conf.get(advisory, None) is None:
+        spark.conf.set(advisory, str(TASK_BYTES))
+    slices = max(int(spark.conf.get("spark.sql.shuffle.partitions")), input_bytes(spark, sf_dir) // SLICE_BYTES)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.initialPartitionNum", str(slices))
 
 
 def _family(operators: dict[str, Operator], sql: dict[str, str], **options) -> dict[str, Query]:
