@@ -44,9 +44,12 @@ class Query:
         return with_clause(dated(self.sql, str(p.date_from), str(p.date_to)), self.long_lists)
 
 
-# What a task should read of its shuffles, and the input files for which one shuffle partition is cut.
-TASK_BYTES = 16 << 20
-SLICE_BYTES = 4 << 20
+# What a task should read of its shuffles, from where on a hot key is split, what a task should read
+# of a file, and the input files for which one shuffle partition is cut.
+TASK_BYTES = 8 << 20
+SKEW_BYTES = 4 * TASK_BYTES
+SCAN_BYTES = 16 << 20
+SLICE_BYTES = 2 << 20
 HOSPITAL_SOURCES = ("customer", "supplier", "part", "orders", "lineitem", "events")
 
 
@@ -75,9 +78,14 @@ def tune(spark: SparkSession, sf_dir: str) -> None:
         "spark.sql.execution.replaceHashWithSortAgg",
     ):
         spark.conf.set(key, "true")
-    advisory = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
-    if spark.conf.get(advisory, None) is None:
-        spark.conf.set(advisory, str(TASK_BYTES))
+    sizes = {
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": TASK_BYTES,
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": SKEW_BYTES,
+        "spark.sql.files.maxPartitionBytes": SCAN_BYTES,
+    }
+    for key, size in sizes.items():
+        if spark.conf.get(key, None) is None:
+            spark.conf.set(key, str(size))
     slices = max(int(spark.conf.get("spark.sql.shuffle.partitions")), input_bytes(spark, sf_dir) // SLICE_BYTES)
     spark.conf.set("spark.sql.adaptive.coalescePartitions.initialPartitionNum", str(slices))
 

@@ -4,7 +4,7 @@ import pytest
 
 from claimlens.operators import outpatient
 from claimlens.params import Params
-from claimlens.plans.registry import SLICE_BYTES, TASK_BYTES, tune
+from claimlens.plans.registry import SCAN_BYTES, SKEW_BYTES, SLICE_BYTES, TASK_BYTES, tune
 from claimlens.sources.binding import bind
 
 WHOLE = Params("1990-01-01", "2029-12-31")
@@ -36,3 +36,23 @@ def test_shuffle_partitions_follow_the_input(spark, tmp_path):
     finally:
         for key, value in kept.items():
             spark.conf.unset(key) if value is None else spark.conf.set(key, value)
+
+
+def test_scans_and_hot_keys_have_a_size(spark, tmp_path):
+    """A piece of a file and a hot key that is not split are no larger when the input is."""
+    sizes = {
+        "spark.sql.files.maxPartitionBytes": SCAN_BYTES,
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": SKEW_BYTES,
+    }
+    kept = {key: spark.conf.get(key, None) for key in sizes}
+    try:
+        for key, size in sizes.items():
+            spark.conf.unset(key)
+            tune(spark, str(tmp_path))
+            assert spark.conf.get(key) == str(size)
+            spark.conf.set(key, "5m")
+            tune(spark, str(tmp_path))
+            assert spark.conf.get(key) == "5m"
+    finally:
+        for key, value in kept.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
