@@ -500,36 +500,42 @@ def fdh_cha(t: Tables, p: Params) -> DataFrame:
 def fdh_dru(t: Tables, p: Params) -> DataFrame:
     """Drug lines with eight checks and the patient's and payer's share.
 
-    Lines outside the scope go first; the rest, partitioned by visit, are
-    counted where equal before the catalogues are joined.  Visits without any
-    priced line keep one empty row.
+    Lines outside the scope go first; the rest are counted where equal before the
+    catalogues are joined.  What a visit adds meets the visits and what an item adds
+    meets the lines, so the wide rows are brought together by visit once and grouped
+    there.  Visits without any priced line keep one empty row; they share no group
+    with the others, since the visit is part of it.
     """
     visits = scoped_visits(t, p).select("vn", "hn", "spclty", "vstdate", F.col("an").alias("visit_an"))
     keys = ["icode", "qty", "unitprice", "cost", "paidst", "doctor"]
     lines = of_dates(t, "opitemrece", p).where((F.col("qty") > 0) & (F.col("sum_price") > 0) & F.col("paidst").isin("01", "02", "03"))
     lines = lines.select("vn", *keys).join(visits.select("vn"), "vn", "left_semi")
     lines = lines.groupBy("vn", *keys).agg(F.count(F.lit(1)).alias("n"))
-    rows = with_children(visits, lines, "vn").alias("op")
-    rows = link(rows, t["ovst_presc_ned"], "ned", "ned.vn = op.vn AND ned.icode = op.icode AND ned.doctor = op.doctor")
-    rows = link(rows, t["vn_stat"].select("vn", "cid"), "st", "st.vn = op.vn")
-    rows = link(rows, t["ipt"].select("an"), "ip", "ip.an = op.visit_an")
+    # visits without an admission would all meet in one task
+    admitted = link(visits.where("visit_an IS NOT NULL").alias("v"), t["ipt"].select("an"), "ip", "ip.an = v.visit_an")
+    stays = admitted.select("v.*", "ip.an").unionByName(visits.where("visit_an IS NULL").withColumn("an", F.col("visit_an")))
+    stays = link(stays.alias("v"), t["vn_stat"].select("vn", "cid"), "st", "st.vn = v.vn")
+    stays = stays.select(*picks("v.vn, v.hn, v.spclty, v.vstdate, v.an, st.cid"))
+    rows = link(lines.alias("op"), t["ovst_presc_ned"], "ned", "ned.vn = op.vn AND ned.icode = op.icode AND ned.doctor = op.doctor")
     rows = link(rows, t["drugitems"], "di", "di.icode = op.icode")
+    item = ["did", "name", "strength", "units", "tmt_tp_code", "packqty"]
+    rows = rows.select(
+        *picks("op.vn, op.n, op.qty, op.unitprice, op.cost, op.paidst, op.doctor, ned.presc_reason, ned.nhso_authorize_code"),
+        *[F.col(f"di.{c}") for c in item],
+    )
     blank = F.lit(" ")
-    value = F.col("op.n") * F.col("op.qty") * F.col("op.unitprice")
+    value = F.col("n") * F.col("qty") * F.col("unitprice")
 
     def share(condition: Column) -> Column:
         return F.sum(F.when(condition, value).otherwise(F.lit(0))).cast("decimal(18,4)")
 
     # group by what the file shows of a line; the item code is not part of it
-    grouped = rows.groupBy(
-        *picks(
-            "op.hn, ip.an, op.vn, op.spclty, st.cid, op.vstdate, di.did, di.name, di.strength, di.units, op.qty, "
-            "op.unitprice, op.cost, di.tmt_tp_code, di.packqty, ned.presc_reason, ned.nhso_authorize_code, op.paidst, op.doctor"
-        )
-    ).agg(
-        share(F.col("op.paidst").isin(*PATIENT_PAYS)).alias("totcopay"),
-        share(F.col("op.paidst") == PAYER_PAYS).alias("total"),
-    )
+    shown = ["hn", "an", "vn", "spclty", "cid", "vstdate", *item, "qty", "unitprice", "cost", "presc_reason", "nhso_authorize_code", "paidst", "doctor"]
+    totals = share(F.col("paidst").isin(*PATIENT_PAYS)).alias("totcopay"), share(F.col("paidst") == PAYER_PAYS).alias("total")
+    priced = stays.join(rows, "vn").groupBy(*shown).agg(*totals)
+    empty = stays.join(lines.select("vn"), "vn", "left_anti")
+    empty = empty.unionByName(rows.where(F.lit(False)), allowMissingColumns=True).groupBy(*shown).agg(*totals)
+    grouped = priced.unionByName(empty)
     return grouped.select(
         *picks(
             "hn, an, vn, spclty AS clinic, cid AS person_id, vstdate AS date_serv, did, qty AS amount, unitprice AS drugprice, "
