@@ -7,7 +7,10 @@
    With a uniform prior, after m matches in n places the similarity is Beta(m+1, n-m+1);
    a pair is pruned as soon as the chance that it reaches the threshold falls under
    the chosen miss probability.
-4. Survivors are verified exactly on the full shingle sets of the whole texts.
+4. Survivors are verified exactly on the full shingle sets of the whole texts, which are
+   written once.  Every class meets one pivot of each of its keys; keys that still hold
+   several components are cut into cells of bounded size, in which all pairs meet (steps 3
+   and 4) and only the links that connect something are returned.
 5. Verified links become components by distributed union-find.
 
 Defined cases: null and empty texts have the empty set and are linked with nothing; a
@@ -30,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from claimlens.llm import wordhash
-from claimlens.llm.common import each_batch, id_text, map_arrow, store, text_bytes, text_chunks, with_hash
+from claimlens.llm.common import each_batch, id_text, map_arrow, store, text_chunks, with_hash
 from claimlens.llm.graph import link
 
 
@@ -147,28 +150,103 @@ def _likely(p: Params):
     return keep
 
 
+def _setter(p: Params):
+    def sets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in each_batch(batches):
+            one = batch.column("one").to_numpy(zero_copy_only=False).view(np.uint64)
+            for first, end, data, at in text_chunks(batch.column("text")):
+                sh, doc = _sets(data, at, p.width)
+                parts = np.split(sh, np.searchsorted(doc, np.arange(1, end - first)))
+                if any(x.sum() != y for x, y in zip(parts, one[first:end], strict=True)):
+                    raise RuntimeError("two texts of one id share a 64-bit hash")
+                rows = batch.slice(first, end - first)
+                size = pa.array([len(x) for x in parts], pa.int64())
+                raw = pa.array([x.astype("<u8").tobytes() for x in parts], pa.binary())
+                yield pa.RecordBatch.from_arrays(
+                    [rows.column("id"), size, rows.column("signature"), raw], names=["id", "size", "signature", "shingles"]
+                )
+
+    return sets
+
+
 def _exactly(p: Params):
     def keep(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in each_batch(batches):
             good: list[int] = []
-            named = [batch.column(c).to_numpy(zero_copy_only=False).view(np.uint64) for c in ("oa", "ob")]
-            for first, end, data, at in text_chunks(batch.column("ta"), 1 << 19):
-                sides = []
-                other = text_bytes(batch.column("tb").slice(first, end - first))
-                for d, o in ((data, at), other):
-                    sh, doc = _sets(d, o, p.width)
-                    sides.append(np.split(sh, np.searchsorted(doc, np.arange(1, len(o) - 1))))
-                for k, (x, y) in enumerate(zip(*sides, strict=True)):
-                    if x.sum() != named[0][first + k] or y.sum() != named[1][first + k]:
-                        raise RuntimeError("two texts of one id share a 64-bit hash")
-                    both = len(np.intersect1d(x, y, assume_unique=True))
-                    if both and 100 * both >= p.percent * (len(x) + len(y) - both):
-                        good.append(first + k)
+            for k, (x, y) in enumerate(zip(batch.column("xa"), batch.column("xb"), strict=True)):
+                x, y = (np.frombuffer(v.as_buffer(), "<u8") for v in (x, y))
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                if both and 100 * both >= p.percent * (len(x) + len(y) - both):
+                    good.append(k)
             yield batch.select(["a", "b"]).take(pa.array(good, pa.int64()))
 
     return keep
 
 
+CELL_ROWS = 256
+"""Members of a key that are compared in one place, with as many others."""
+CELL_SHINGLES = 1 << 18
+"""Shingles that they have together; a larger set is alone."""
+
+
+def _common(sets: list[np.ndarray], width: int = 4096) -> np.ndarray:
+    """Sizes of the intersections of all pairs of sets."""
+    n = len(sets)
+    out = np.zeros((n, n), np.int64)
+    row = np.repeat(np.arange(n), [len(x) for x in sets])
+    _, value, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = count[value] > 1
+    row, value = row[shared], value[shared]
+    order = np.argsort(value, kind="stable")
+    row, value = row[order], value[order]
+    value = np.cumsum(np.diff(value, prepend=value[:1]) != 0)
+    for first in range(0, int(value[-1]) + 1 if len(value) else 0, width):
+        part = slice(*np.searchsorted(value, [first, first + width]))
+        marks = np.zeros((n, width), np.float32)  # sums of ones up to 4096 are exact
+        marks[row[part], value[part] - first] = 1
+        out += (marks @ marks.T).astype(np.int64)
+    return out
+
+
+def _cell(p: Params):
+    bounds = least_matches(p)
+
+    def links(rows: pa.Table) -> pa.Table:
+        """Of all pairs between components of a cell that are linked, as many as connect what they connect."""
+        ids, component, part = (rows.column(c).to_numpy() for c in ("id", "component", "part"))
+        sets = [np.frombuffer(v.as_buffer(), "<u8") for v in rows.column("shingles")]
+        signed = np.frombuffer(b"".join(rows.column("signature").to_pylist()), "<u4").reshape(-1, p.places)
+        _, group = np.unique(component, return_inverse=True)
+        open_ = group[:, None] != group
+        if rows.column("lo")[0].as_py() != rows.column("hi")[0].as_py():
+            open_ &= part[:, None] != part  # pairs within one part meet in its own cell
+        one, two = np.nonzero(np.triu(open_))
+        matches = np.zeros(len(one), np.int64)
+        for k, bound in enumerate(bounds):
+            for at in range(k * p.batch, (k + 1) * p.batch):
+                matches += signed[one, at] == signed[two, at]
+            alive = matches >= bound
+            one, two, matches = one[alive], two[alive], matches[alive]
+        if len(one):
+            both, size = _common(sets)[one, two], np.array([len(x) for x in sets])
+            good = (both > 0) & (100 * both >= p.percent * (size[one] + size[two] - both))
+            one, two = one[good], two[good]
+        top, found = np.arange(int(group.max()) + 1).tolist(), []
+        for x, y in zip(one.tolist(), two.tolist(), strict=True):
+            u, v = int(group[x]), int(group[y])
+            while top[u] != u:
+                top[u] = u = top[top[u]]
+            while top[v] != v:
+                top[v] = v = top[top[v]]
+            if u != v:
+                top[u] = v
+                found.append((x, y))
+        a, b = np.array(found, np.int64).reshape(-1, 2).T
+        return pa.table({"a": pa.array(ids[a], pa.int64()), "b": pa.array(ids[b], pa.int64())})
+
+    return links
+
+
 def near_duplicates(docs: DataFrame, p: Params = Params(), doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, text_hash, n_shingles, component_id (smallest linked doc_id), kept: one row per document."""
     docs = with_hash(id_text(docs, doc_id, text))
@@ -184,19 +262,33 @@ def near_duplicates(docs: DataFrame, p: Params = Params(), doc_id: str = "doc_id
     def side(rows: DataFrame, *names: str) -> DataFrame:
         return rows.toDF(*names)
 
+    sets: list[DataFrame] = []
+
     def verify(pairs: DataFrame) -> DataFrame:
-        mark = classes.select("id", "signature")
+        if not sets:  # the first pairs name every class that any later pair can name
+            wanted = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
+            wanted = wanted.join(classes.select("id", "row", "one", "signature"), "id")
+            # one whole text of each class: the row that names it, found by its id and text
+            texts = docs.join(wanted, (F.col("text_hash") == F.col("row.text_hash")) & docs.doc_id.eqNullSafe(F.col("row.doc_id")))
+            texts = texts.groupBy("id", "one", "signature").agg(F.min("text").alias("text"))
+            sets.append(store(map_arrow(texts, _setter(p), "id long, size long, signature binary, shingles binary"), "sets"))
+        mark, whole = sets[0].select("id", "signature"), sets[0].select("id", "shingles")
         both = pairs.join(side(mark, "a", "sa"), "a").join(side(mark, "b", "sb"), "b")
         likely = store(map_arrow(both.select("a", "b", "sa", "sb"), _likely(p), "a long, b long"), "likely")
-        wanted = likely.select(F.col("a").alias("id")).union(likely.select("b")).distinct()
-        wanted = wanted.join(classes.select("id", "row", "one"), "id")
-        # one whole text of each class: the row that names it, found by its id and text
-        texts = docs.join(wanted, (F.col("text_hash") == F.col("row.text_hash")) & docs.doc_id.eqNullSafe(F.col("row.doc_id")))
-        texts = texts.groupBy("id", "one").agg(F.min("text").alias("text"))
-        both = likely.join(side(texts, "a", "oa", "ta"), "a").join(side(texts, "b", "ob", "tb"), "b")
-        return map_arrow(both.select("a", "b", "oa", "ob", "ta", "tb"), _exactly(p), "a long, b long")
-
-    found = link(classes.select(F.explode("keys").alias("key"), "id"), verify)
+        both = likely.join(side(whole, "a", "xa"), "a").join(side(whole, "b", "xb"), "b")
+        return map_arrow(both.select("a", "b", "xa", "xb"), _exactly(p), "a long, b long")
+
+    def rest(members: DataFrame) -> DataFrame:
+        rows = members.join(sets[0].select("id", "size"), "id")
+        parts = F.greatest(F.count("*") / CELL_ROWS, F.sum("size") / CELL_SHINGLES)
+        parts = rows.groupBy("key").agg(F.ceil(parts).cast("int").alias("parts"))
+        rows = members.join(parts, "key").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+        rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        lo, hi = F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi")
+        rows = rows.select("key", lo, hi, "id", "component", "part").join(sets[0], "id")
+        return rows.groupBy("key", "lo", "hi").applyInArrow(_cell(p), "a long, b long").distinct()
+
+    found = link(classes.select(F.explode("keys").alias("key"), "id"), verify, rest)
     groups = classes.select("id", "row").join(found, "id", "left")
     groups = groups.withColumn("component", F.coalesce("component", "id"))
     least = groups.groupBy("component").agg(F.min("row").alias("stays"))

@@ -682,3 +682,40 @@ def test_linking_of_a_crowded_key(spark, monkeypatch):
     roots = {k: (0 if k <= 40 else 42 if k in (45, 50) else 46 if k == 59 else k) for k in range(60)}
     assert {k: found.get(k, k) for k in range(60)} == roots
     assert max(seen) <= graph.PIVOTS * 60
+
+
+def test_minhash_crowd_meets_in_cells_of_bounded_size(spark, monkeypatch):
+    """What many near copies of a text leave after one round is compared in cells; no pair rows are made of it."""
+    rng = np.random.default_rng(3)
+    base, rows = [f"word{k}" for k in range(200)], []
+    for k in range(120):  # around 0.85 to the first copy of their dozen, less to all others
+        if k % 12 == 0:
+            centre = [f"x{k}y{j}" if rng.random() < 0.04 else w for j, w in enumerate(base)]
+        text = [f"z{k}y{j}" if rng.random() < 0.022 else w for j, w in enumerate(centre)]
+        rows.append((k + 1, " ".join(text)))
+    sets = {k: shingle_set(t, 3) for k, t in rows}
+    monkeypatch.setattr(graph, "DIRECT_PAIRS_PER_ROW", 0)
+    monkeypatch.setattr(graph, "_pivots", None)  # no second round of pairs
+    monkeypatch.setattr(minhash, "CELL_ROWS", 16)
+    kind, cells = type(spark.range(0)), []
+    make = kind.groupBy
+
+    def seen(df, *keys):
+        if list(map(str, keys)) == ["key", "lo", "hi"]:
+            cells.append(max(r["count"] for r in make(df, *keys).count().collect()))
+        return make(df, *keys)
+
+    monkeypatch.setattr(kind, "groupBy", seen)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r.doc_id: r.component_id for r in minhash.near_duplicates(docs, minhash.Params(3, 85)).collect()}
+    expected = brute_components(sets, 85)
+    assert found == expected and 12 < len(set(expected.values())) < 120
+    assert cells and max(cells) < 4 * 2 * minhash.CELL_ROWS
+
+
+def test_common_counts_every_pair_of_sets():
+    rng = np.random.default_rng(4)
+    sets = [np.unique(rng.integers(0, 900, n).astype(np.uint64)) for n in (0, 1, 40, 700, 300, 700)]
+    expected = [[len(np.intersect1d(x, y)) if len(x) and len(y) else 0 for y in sets] for x in sets]
+    shared = minhash._common(sets, 64)
+    assert all(shared[i, j] == expected[i][j] for i, j in combinations(range(len(sets)), 2))
