@@ -32,10 +32,11 @@ class Query:
     sql: str | None = None
     params: Params = WHOLE
     long_lists: bool = False
+    by_visit: bool = False
 
     def run(self, spark: SparkSession, sf_dir: str, params: Params | None = None) -> DataFrame:
         tune(spark, sf_dir)
-        return self.operator(bind(spark, sf_dir, self.long_lists), params or self.params)
+        return self.operator(bind(spark, sf_dir, self.long_lists, self.by_visit), params or self.params)
 
     def oracle(self, params: Params | None = None) -> str | None:
         if self.sql is None:
@@ -105,13 +106,15 @@ def _with(operator: Operator, **changes) -> Operator:
 OUTPATIENT = {
     **_of(
         outpatient,
-        *"visit_list billtran billtran_ssop billtran_funnel billitems visit_expenses opservice dispenseditem".split(),
-        *"dispenseditem_csop dispenseditem_ssop dispensing dispensing_ssop opdx visit_statistics".split(),
+        *"visit_list billtran billtran_ssop billtran_funnel billitems visit_expenses opservice".split(),
+        *"dispensing dispensing_ssop opdx visit_statistics".split(),
     ),
     "billtran_csop": _with(outpatient.billtran, fund="OFC"),
     "dispensing_per_visit": partial(outpatient.dispensing, fanout="per_visit"),
 }
 
+DISPENSED = _of(outpatient, "dispenseditem", "dispenseditem_csop", "dispenseditem_ssop")
+
 FDH = {
     **_of(
         fdh,
@@ -302,4 +305,5 @@ QUERIES: dict[str, Query] = {
     **_family(LIST_CORRECTIONS, oracle_changes.SQL, long_lists=True),
     **_family(INVOICE, oracle_changes.SQL),
     **_family(OUTPATIENT, oracle_outpatient.SQL),
+    **_family(DISPENSED, oracle_outpatient.SQL, by_visit=True),
 }

@@ -104,3 +104,27 @@ def test_drug_lines_of_repeated_and_missing_visits(spark, make):
         ("2", "", "", "", "10.0000"),
         ("3", "", "e", "", "0.0000"),
     ]
+
+
+def test_charge_lines_lie_by_visit_where_asked(spark, tmp_path):
+    """The same rows, and a grouping by visit moves nothing after lines have met their orders."""
+    day = dt.datetime(2020, 1, 1)
+    orders = [(k, 7, "O", 1.0, day, "1-URGENT") for k in (1, 2, 2, 30, None)]
+    lines = [(k, 3, 4, n, 2.0, 5.0, 0.0, 0.0, "A", "O", day) for k in (1, 2, 30, 30, None, 99) for n in (1, 2)]
+    spark.createDataFrame(
+        orders, "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, o_orderdate timestamp_ntz, o_orderpriority string"
+    ).write.parquet(f"{tmp_path}/orders.parquet")
+    spark.createDataFrame(
+        lines,
+        "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double, "
+        "l_discount double, l_tax double, l_returnflag string, l_linestatus string, l_shipdate timestamp_ntz",
+    ).write.parquet(f"{tmp_path}/lineitem.parquet")
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        plain, by_visit = (bind(spark, str(tmp_path), by_visit=v)["opitemrece"] for v in (False, True))
+        assert sorted(map(str, plain.collect())) == sorted(map(str, by_visit.collect())) and plain.count() == 10
+        moves = [t.groupBy("vn").count()._jdf.queryExecution().executedPlan().toString().count("Exchange") for t in (plain, by_visit)]
+        assert moves == [3, 2]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
