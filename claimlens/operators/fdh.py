@@ -262,6 +262,8 @@ def fdh_odx(t: Tables, p: Params, match: str = "vn") -> DataFrame:
     visits = scoped_visits(t, p).select("vn", "hn", "vstdate", "spclty")
     diagnoses = _diagnoses(visits, t, p, match).select(match, "icd10", "diagtype", "doctor")
     rows = link(with_children(visits, diagnoses, match).alias("v"), t["spclty"], "sp", "sp.spclty = v.spclty")
+    if "diagtype" in t:  # shows no column; a type that is listed twice repeats its diagnoses
+        rows = link(rows, t["diagtype"].select("diagtype"), "dx", "dx.diagtype = v.diagtype")
     rows = link(rows, t["doctor"], "d", "d.code = v.doctor")
     rows = link(rows, t["patient"], "p", "p.hn = v.hn")
     return rows.select(

@@ -58,6 +58,38 @@ def test_with_children_is_a_left_join(make):
     assert sorted((str(r.k), r.a) for r in rows if r.b is None) == [("None", 3), ("y", 2)]
 
 
+def test_diagnosis_types_join_as_in_the_sql(make, spark):
+    """Rows of fdh_odx equal its chain of plain left joins, with repeated, null and unlisted types, codes and visits."""
+    t = Tables(
+        spark,
+        {
+            "ovst": make(
+                "vn string, hn string, vstdate date, pttype string, spclty string",
+                ("1", "a", DAY, "10", "01"), ("2", "a", DAY, "10", None), ("3", "b", DAY, "10", "02"), (None, "c", DAY, "10", "01"),
+            ),
+            "ovstdiag": make(
+                "vn string, hn string, vstdate date, icd10 string, diagtype string, doctor string",
+                ("1", "a", DAY, "J10", "1", "d"), ("1", "a", DAY, "J10", "1", "d"), ("1", "a", DAY, "J11", "2", None),
+                ("2", "a", DAY, None, None, "d"), ("2", "a", DAY, "J12", "9", "e"), (None, "c", DAY, "J13", "1", "d"),
+            ),
+            "diagtype": make("diagtype string, name string", ("1", "main"), ("1", "main again"), ("2", "other"), (None, "none")),
+            "pttype": make("pttype string, hipdata_code string, isuse string", ("10", "UCS", "Y")),
+            "spclty": make("spclty string, provis_code string", ("01", "x"), ("02", None)),
+            "doctor": make("code string, licenseno string", ("d", "L1"), ("e", "")),
+            "patient": make("hn string, cid string", ("a", "C1"), ("b", None)),
+        },
+    )
+    found = fdh.fdh_odx(t, Params(DAY, DAY))
+    for name in ("ovst", "ovstdiag", "diagtype", "doctor", "patient"):
+        t[name].createOrReplaceTempView(f"odx_{name}")
+    plain = spark.sql(
+        "SELECT v.hn, g.icd10, g.diagtype, m.licenseno, p.cid, v.vn FROM odx_ovst v LEFT JOIN odx_ovstdiag g ON g.vn = v.vn "
+        "LEFT JOIN odx_diagtype t ON t.diagtype = g.diagtype LEFT JOIN odx_doctor m ON m.code = g.doctor LEFT JOIN odx_patient p ON p.hn = v.hn"
+    )
+    rows = sorted(map(str, map(tuple, found.select("hn", "diag", "dxtype", "licenseno", "cid", "vn").collect())))
+    assert rows == sorted(map(str, map(tuple, plain.collect()))) and len(rows) == 9
+
+
 def _narrow(df, days, column):
     lo, mid, hi = days
     return df(Params(lo, mid)).unionByName(df(Params(mid + dt.timedelta(days=1), hi))), df(Params(lo, hi))
