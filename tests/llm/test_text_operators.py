@@ -154,6 +154,29 @@ def test_line_shingles_start_at_every_character(spark):
         assert len(r.set) == len(set(r.cut))
 
 
+def test_marks_rule_out_no_link(spark):
+    """Pairs that brute force links pass the marks, most others do not; equal lines have one row of keys."""
+    rng, p = np.random.default_rng(3), line_dedup.Params()
+    letters = list("abcdefgh éж日𝄞")
+    texts = ["".join(rng.choice(letters, n)) for n in (*range(1, 30), 80, 300, 1033, 1034, 3000)] + ["日" * 40, "x" * 5000]
+    near = [t[:k] + "#" + t[k + 1 :] for t in texts for k in {0, len(t) // 2, len(t) - 1}]
+    lines = spark.createDataFrame(list(enumerate(texts + near)), "id long, line string")
+    sets = {k: {t[i : i + p.width] for i in range(max(1, len(t) - p.width + 1))} for k, t in enumerate(texts + near)}
+    pairs = [(a, b) for a in sets for b in sets if a < b]
+    linked = {(a, b) for a, b in pairs if 100 * len(sets[a] & sets[b]) >= p.percent * len(sets[a] | sets[b])}
+    table = spark.createDataFrame(pairs, "a long, b long")
+    marked = line_dedup._marked_lines(table, lines, p)
+    left = {(r.a, r.b) for r in line_dedup._may_link(table, marked, p).collect()}
+    assert linked <= left and len(left) < len(pairs) / 4 and len(linked) > 20
+    found = line_dedup._verifier(lines, p)(table)
+    assert {(r.a, r.b) for r in found.collect()} == linked
+    twice = lines.union(lines).repartition(3)
+    keys = line_dedup.band_keys(twice, p)
+    assert keys.count() == len(sets)
+    again = {r.id: r["keys"] for r in line_dedup.band_keys(lines.coalesce(1), p).collect()}
+    assert {r.id: r["keys"] for r in keys.collect()} == again
+
+
 def test_rows_without_an_id_are_documents_of_their_own(spark):
     schema = "doc_id long, text string"
     rows = [(1, "x" * 20), (None, "x" * 20 + "\nA"), (None, "B\nC"), (None, "same line\nD"), (None, "same line\nE")]
